@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, simhash, token_files
+from . import byte_bpe, packing, pii, simhash, token_files
 from .common import shared_dir, table
 
 
@@ -30,11 +30,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, size=2048)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_simhash": op5_simhash,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
+    "op10_pii": op10_pii,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
