@@ -22,8 +22,10 @@ from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 CHUNK = re.compile(r" (?=\S)")
 #: Characters of which every version of Unicode's tables says the same, and which have one form.
 BEYOND_LATIN = re.compile("[^\x00-ȳ]|İ|<\\|")
-#: Entries of each worker's two dictionaries; a bound on memory, not on results.
-CACHE = 250_000
+#: Entries of each worker's dictionary of chunks; a bound on memory, not on results.
+CACHE = 800_000
+#: Marks that, after a letter, are always a piece of their own at a chunk's end.
+ENDS = frozenset(".,;:!?")
 
 #: The printable stand-ins of the 256 bytes in byte-level vocabularies.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -56,11 +58,21 @@ class Encoder:
     def __init__(self, tokenizer: Tokenizer, pattern: str, lower: bool = False, entries: int = CACHE):
         self.tokenizer, self.lower = tokenizer, lower
         self.model, self.find = tokenizer.model, regex.compile(pattern).findall
-        self.pieces = _Memo(self._piece, entries)
-        self.chunks = _Memo(lambda x: self._chunk(" " + x), entries)
-
-    def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(stand_ins(piece.encode()))]).tobytes()
+        self.blank = "" if lower else BYTE_TO_CHAR[32]
+        self.pieces = _Memo(lambda x: self._merged(stand_ins(x.encode())), entries // 8)
+        self.chunks = _Memo(self._after_blank, entries)
+
+    def _merged(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _after_blank(self, chunk: str) -> bytes:
+        """The ids of a blank and a chunk; one word, or a word and a mark, needs no pattern."""
+        if chunk.isalpha() and (chunk.isascii() or not BEYOND_LATIN.search(chunk)):
+            word = chunk.lower() if self.lower else chunk
+            return self._merged(self.blank + (word if word.isascii() else stand_ins(word.encode())))
+        if chunk[-1:] in ENDS and chunk[:-1].isalpha():
+            return self.chunks[chunk[:-1]] + self.pieces[chunk[-1]]
+        return self._chunk(" " + chunk)
 
     def _chunk(self, chunk: str) -> bytes:
         if BEYOND_LATIN.search(chunk):
