@@ -1,14 +1,7 @@
-"""The registry of the engine's own queries and their DuckDB oracles."""
+"""The engine's own queries and their DuckDB oracles, all registered."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy("url").count()
+from agora.plans import model_plans, page_plans, store_plans, text_plans  # noqa: F401
+from agora.plans.page_plans import flagship  # noqa: F401
+from agora.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
