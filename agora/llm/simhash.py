@@ -1,10 +1,16 @@
-"""SimHash near-dedup: exact linking of fingerprints within a Hamming radius, tile by tile.
+"""SimHash near-dedup: linking of fingerprints within a Hamming radius, tile by tile.
 
-Distinct fingerprints alone are compared, so copies cost nothing.  A fingerprint is cut into
+``near_duplicates`` is exact for fingerprints of 64 bits and a small radius.  Distinct fingerprints alone are compared, so copies cost nothing.  A fingerprint is cut into
 blocks; two fingerprints within the radius agree on at least ``blocks - radius`` of them, so they
 meet in a bucket of some choice of that many blocks.  Within a bucket fingerprints lie in tiles by
 population count.  Tile pairs whose counts differ by more than the radius are skipped; the others
 are compared bit by bit with numpy.  Buckets too large for one task are dealt out as tile pairs.
+
+A Jaccard similarity of 0.8 leaves 64-bit fingerprints about ten bits apart, which no small radius
+reaches and where chance pairs begin.  ``similar`` takes fingerprints of 320 bits instead, from the
+same hashes, where a radius of 60 bits tells 0.8 from chance, and looks for partners in buckets of
+twelve equal bits, of which there are 25: a pair at 0.8 shares one with a chance of 0.98, one at 0.9
+with a chance of over 0.9999.  Within buckets all are compared as above.
 """
 
 from __future__ import annotations
@@ -27,22 +33,40 @@ TILE = 2048
 BUCKET = 512
 
 
-def fingerprint(text: str, words: int = 4) -> int:
-    """64 bits: a bit is 1 if over half the shingles' XXH64 have it.  A text without words has 0."""
+def shingle_hashes(text: str, words: int) -> list[int]:
+    """XXH64 of a text's shingles; of a text with fewer words, of all its words; none without words."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return []
     if len(found) <= words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(found), SEED)]
-    else:
-        line = b" ".join(found)
-        sizes = list(map(len, found))
-        starts = [0, *itertools.accumulate(n + 1 for n in sizes)]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a : b - 1], SEED) for a, b in zip(starts, starts[words:])]
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    ones = bits.sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+        return [xxhash.xxh64_intdigest(b" ".join(found), SEED)]
+    line = b" ".join(found)
+    starts = [0, *itertools.accumulate(len(w) + 1 for w in found)]
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a : b - 1], SEED) for a, b in zip(starts, starts[words:])]
+
+
+def _majority(hashes: np.ndarray) -> int:
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int32) > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str, words: int = 4) -> int:
+    """64 bits: a bit is 1 if over half the shingles' XXH64 have it.  A text without words has 0."""
+    hashes = shingle_hashes(text, words)
+    return _majority(np.array(hashes, np.uint64)) if hashes else 0
+
+
+def wide_fingerprint(text: str, words: int, parts: int) -> list[int]:
+    """``parts`` fingerprints of 64 bits from the same shingles, each of the hashes mixed in another way."""
+    hashes = np.array(shingle_hashes(text, words), np.uint64)
+    out = []
+    for part in range(parts):
+        mixed = hashes + np.uint64((0x9E3779B97F4A7C15 * part) & 0xFFFFFFFFFFFFFFFF)
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(mixed ^ (mixed >> np.uint64(31))) if len(hashes) else 0)
+    return out
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -83,13 +107,14 @@ def _signed(mask: int) -> int:
 def stars(ids: np.ndarray, bits: np.ndarray, split: int, radius: int) -> tuple[list, list]:
     """Links that connect what lies within the radius: each row with the least of its kind.
 
-    Rows before ``split`` and from it on are two tiles whose pairs across are compared; where
-    ``split`` is 0 all pairs are.  Steps over pairs of smaller tiles, sorted by population count.
+    ``bits`` has a row of 64-bit parts for each id.  Rows before ``split`` and from it on are two
+    tiles whose pairs across are compared; where ``split`` is 0 all pairs are.  Steps over pairs of
+    smaller tiles, sorted by population count.
     """
     n, step = len(bits), 512
-    counts = np.bitwise_count(bits)
+    counts = np.bitwise_count(bits).sum(axis=1, dtype=np.int16)
     order = np.argsort(counts, kind="stable") if not split else np.concatenate([np.argsort(counts[:split], kind="stable"), split + np.argsort(counts[split:], kind="stable")])
-    bits, ids, counts = bits[order], ids[order], counts[order].astype(np.int16)
+    bits, ids, counts = bits[order], ids[order], counts[order]
     near: dict[int, list[np.ndarray]] = {}
     left, right = (range(0, n, step), range(0, n, step)) if not split else (range(0, split, step), range(split, n, step))
     for a in left:
@@ -100,7 +125,10 @@ def stars(ids: np.ndarray, bits: np.ndarray, split: int, radius: int) -> tuple[l
                 continue
             if counts[b] > counts[a_end - 1] + radius or counts[b_end - 1] < counts[a] - radius:
                 continue
-            close = np.bitwise_count(bits[a:a_end, None] ^ bits[None, b:b_end]) <= radius
+            apart = np.zeros((a_end - a, b_end - b), np.int16)
+            for part in range(bits.shape[1]):
+                apart += np.bitwise_count(bits[a:a_end, None, part] ^ bits[None, b:b_end, part])
+            close = apart <= radius
             if not split and a == b:
                 np.fill_diagonal(close, False)
             for row in np.flatnonzero(close.any(axis=1)).tolist():
@@ -121,8 +149,8 @@ def stars(ids: np.ndarray, bits: np.ndarray, split: int, radius: int) -> tuple[l
                 seen[fresh] = True
                 members.extend(fresh.tolist())
             at += 1
-        least = int(ids[members].min())
         mine = ids[members]
+        least = int(mine.min())
         mine = mine[mine != least]
         out_a.extend(mine.tolist())
         out_b.extend([least] * len(mine))
@@ -130,14 +158,19 @@ def stars(ids: np.ndarray, bits: np.ndarray, split: int, radius: int) -> tuple[l
 
 
 def links(found: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """(a, b) over the ids of distinct ``found`` (id, bits) that connect all within the radius.
+    """(a, b) over the ids of distinct ``found`` (id, bits: long) that connect all within the radius.
 
     Exact: no link between different components' fingerprints is made, none within is lost.
     """
-    spark = found.sparkSession
     masks = choices(blocks_for(found.count(), radius), radius)
-    keyed = found.select("id", "bits", F.posexplode(F.array(*(F.col("bits").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks))).alias("choice", "part"))
-    keyed = keyed.select(F.xxhash64("choice", "part").alias("bucket"), F.bit_count("bits").alias("ones"), "id", "bits")
+    parts = F.array(*(F.col("bits").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks))
+    keyed = found.select("id", F.array("bits").alias("bits"), F.bit_count("bits").alias("ones"), F.posexplode(parts).alias("choice", "part"))
+    return _linked(keyed.select(F.xxhash64("choice", "part").alias("bucket"), "ones", "id", "bits"), radius, tile)
+
+
+def _linked(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Links among the rows (bucket, ones, id, bits: array) of each bucket; a bucket over ``tile`` rows is dealt out as pairs of tiles."""
+    spark = keyed.sparkSession
     sizes = keyed.groupBy("bucket", "ones").agg(F.count("*").alias("n"))
     large = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("ones", "n"))).alias("by_ones")).where(F.col("all") > tile)
     large = written(large, "large-buckets")
@@ -158,7 +191,8 @@ def links(found: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
             if rows.num_rows < 2:
                 continue
             side = rows.column("side").to_numpy()
-            ids, bits = rows.column("id").to_numpy(), rows.column("bits").to_numpy().view(np.uint64)
+            ids = rows.column("id").to_numpy()
+            bits = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
             a, b = stars(ids, bits, int(np.count_nonzero(side == 1)) if side[0] else 0, radius)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -181,3 +215,34 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     classes = distinct.join(joined, "bits", "left").withColumn("component", F.coalesce("component", "bits"))
     classes = classes.join(classes.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("bits", "component_id")
     return prints.join(written(classes, "classes"), "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Parts of a wide fingerprint, how many bits similar texts may differ in, and the bits of a bucket.
+PARTS, WIDE_RADIUS, BUCKET_BITS = 5, 60, 12
+
+
+def similar(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(doc_id, component_id) of every row of ``docs`` (doc_id, text): the least doc_id that similar texts lead to.
+
+    Texts with a Jaccard similarity of 0.8 or more of their shingles are linked, by wide
+    fingerprints.  Texts are compared once each, however often they occur.  Null and empty texts
+    are alike; a row without doc_id joins its component but does not name it.
+    """
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            made = np.array([wide_fingerprint(t, words, PARTS) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, PARTS)
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(made.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "bits"])
+
+        return step
+
+    prints = written(map_rows(docs.select("doc_id", text_or_empty()), make, "doc_id long, bits array<long>"), "wide")
+    distinct = written(prints.groupBy("bits").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "distinct-wide")
+    per = 64 // BUCKET_BITS
+    ones = sum((F.bit_count(F.col("bits")[k]) for k in range(1, PARTS)), F.bit_count(F.col("bits")[0]))
+    buckets = F.array(*(F.xxhash64(F.lit(k), F.shiftrightunsigned(F.col("bits")[k // per], BUCKET_BITS * (k % per)).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1).cast("long"))) for k in range(PARTS * per)))
+    keyed = distinct.select(F.explode(buckets).alias("bucket"), ones.cast("int").alias("ones"), "id", "bits")
+    joined = components(written(_linked(keyed, radius, TILE), "wide-links"))
+    classes = distinct.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    classes = classes.join(classes.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("bits", "component_id")
+    return prints.join(written(classes, "wide-classes"), "bits").select("doc_id", "component_id")

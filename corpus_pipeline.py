@@ -33,7 +33,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, simhash.near_duplicates(docs, words=5, radius=4).where("doc_id != component_id").select("doc_id"))
+    return _without(docs, simhash.similar(docs, words=5).where("doc_id != component_id").select("doc_id"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
