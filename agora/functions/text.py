@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as JavaScript sees it, as a class of Java's regular expressions.
 BLANK = r"[\s\x0B   -     　﻿]"
@@ -17,7 +18,7 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{BLANK}+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def keyword_text(texts: pd.Series) -> pd.Series:
     """NFKD without the combining marks U+0300 to U+036F, in lower case; null is empty."""
     marks = {c: None for c in range(0x300, 0x370)}

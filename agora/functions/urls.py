@@ -7,11 +7,19 @@ from urllib.parse import parse_qsl, urlencode, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType, StructType
 
 #: Parameters that only track, and those that identify a page.
 TRACKING = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "ref", "ref_src", "source", "src", "si", "spm")
 IMPORTANT = ("v", "id", "p", "story_fbid", "comment_id", "review_id", "thread_id")
 
+_TEXTS = ("href", "origin", "host", "pathname", "path_key", "last_segment")
+#: What an address is taken apart into.
+PARTS = StructType()
+for _name in _TEXTS:
+    PARTS = PARTS.add(_name, StringType())
+PARTS = PARTS.add("params", MapType(StringType(), StringType()))
+
 
 def normalized_input(url: Column) -> Column:
     """http and https stay; ``//x`` and bare domains get https; the rest stays as it is."""
@@ -44,7 +52,7 @@ def same_site(host: Column, other: Column) -> Column:
     return (host == other) | host.endswith(F.concat(F.lit("."), other)) | other.endswith(F.concat(F.lit("."), host))
 
 
-@F.pandas_udf("href string, origin string, host string, pathname string, path_key string, last_segment string, params map<string,string>")
+@F.pandas_udf(PARTS)
 def lookup_parts(urls: pd.Series) -> pd.DataFrame:
     """The parts by which saved pages are matched: tracking parameters, fragment and default ports dropped, parameters sorted."""
 
@@ -65,7 +73,7 @@ def lookup_parts(urls: pd.Series) -> pd.DataFrame:
             first.setdefault(k, v)
         return origin + path + ("?" + urlencode(kept) if kept else ""), origin, host, short, origin + short, segments[-1] if segments else "", {k: first[k] for k in IMPORTANT if first.get(k)}
 
-    return pd.DataFrame([one(u) for u in urls], columns=["href", "origin", "host", "pathname", "path_key", "last_segment", "params"])
+    return pd.DataFrame([one(u) for u in urls], columns=[*_TEXTS, "params"])
 
 
 def match_score(left: Column, right: Column, required: Column | None = None, snapshot: Column | None = None) -> Column:
