@@ -26,7 +26,7 @@ from .common import text_or_empty
 AFTER_SENTENCE, IN_SENTENCE, SEQUENCE = 8, 48, 4
 #: A stream is planned in blocks of whole documents that hold at least so many ids.
 BLOCK_IDS = 1 << 18
-#: Within sentences, a cut is offered every so many ids.
+#: Within sentences, a cut is offered every so many ids (in short sequences, every quarter).
 STRIDE = 128
 
 
@@ -37,9 +37,9 @@ def plan(doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int) -> list[int
     kind[sentence_ends] = 1
     kind[doc_ends] = 2
     kind[0] = 2
-    found = np.flatnonzero(kind >= 0)
-    gaps = np.flatnonzero(np.diff(found) > STRIDE)
-    extra = [np.arange(found[g] + STRIDE, found[g + 1], STRIDE) for g in gaps.tolist()]
+    found, stride = np.flatnonzero(kind >= 0), min(STRIDE, max(1, size // 4))
+    gaps = np.flatnonzero(np.diff(found) > stride)
+    extra = [np.arange(found[g] + stride, found[g + 1], stride) for g in gaps.tolist()]
     if extra:
         kind[np.concatenate(extra)] = 0
         found = np.flatnonzero(kind >= 0)
