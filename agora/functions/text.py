@@ -44,9 +44,9 @@ def statistics(text: Column) -> dict[str, Column]:
     clean, found = squeezed(text), words(text)
     letters = F.aggregate(found, F.lit(0), lambda n, w: n + F.length(w))
     return {
-        "text_word_count": F.size(found),
-        "text_char_count": F.length(clean),
-        "text_sentence_count": F.size(F.filter(F.split(clean, "[.!?]+"), lambda s: F.trim(s) != "")),
+        "text_word_count": F.size(found).cast("long"),
+        "text_char_count": F.length(clean).cast("long"),
+        "text_sentence_count": F.size(F.filter(F.split(clean, "[.!?]+"), lambda s: F.trim(s) != "")).cast("long"),
         "avg_word_length": F.when(F.size(found) > 0, half_up(letters / F.size(found), 1)).otherwise(0.0),
     }
 
@@ -54,10 +54,10 @@ def statistics(text: Column) -> dict[str, Column]:
 def mark_counts(text: Column) -> dict[str, Column]:
     held = F.coalesce(text, F.lit(""))
     return {
-        "mention_count": F.regexp_count(held, F.lit(r"@[A-Za-z0-9_]+")),
-        "hashtag_count": F.regexp_count(held, F.lit(r"#[A-Za-z0-9_]+")),
-        "question_mark_count": F.regexp_count(held, F.lit(r"\?")),
-        "exclamation_mark_count": F.regexp_count(held, F.lit("!")),
+        "mention_count": F.regexp_count(held, F.lit(r"@[A-Za-z0-9_]+")).cast("long"),
+        "hashtag_count": F.regexp_count(held, F.lit(r"#[A-Za-z0-9_]+")).cast("long"),
+        "question_mark_count": F.regexp_count(held, F.lit(r"\?")).cast("long"),
+        "exclamation_mark_count": F.regexp_count(held, F.lit("!")).cast("long"),
     }
 
 

@@ -26,7 +26,7 @@ def statement(sql: Column) -> dict[str, Column]:
         "statement_type": F.when(flat == "", "UNKNOWN").otherwise(F.upper(F.split(flat, " ")[0])),
         "is_write": flat.rlike(f"(?i)^(?:{WRITES})\\b"),
         "tables": F.array_distinct(named),
-        "token_count": F.when(flat == "", 0).otherwise(F.size(F.split(flat, " "))),
+        "token_count": F.when(flat == "", 0).otherwise(F.size(F.split(flat, " "))).cast("long"),
     }
 
 

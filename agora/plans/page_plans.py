@@ -68,7 +68,7 @@ def site_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id AS item_id, turn AS candidate_turn, role AS candidate_role, length(text) AS candidate_chars FROM conversations")
 def candidates_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", F.length("text").alias("chars"))).alias("candidates"))
+    nested = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", F.length("text").cast("long").alias("chars"))).alias("candidates"))
     return nested.select(F.col("conv_id").alias("item_id"), F.explode("candidates").alias("c")).select("item_id", F.col("c.turn").alias("candidate_turn"), F.col("c.role").alias("candidate_role"), F.col("c.chars").alias("candidate_chars"))
 
 

@@ -100,7 +100,7 @@ def unseen_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k_sum, count(json_extract_string(props, '$.k')) AS k_count FROM events GROUP BY event_type")
+@query("SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k_sum, count(json_extract_string(props, '$.k')) AS k_count FROM events GROUP BY event_type")
 def json_path_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("k_sum"), F.count(k).alias("k_count"))
@@ -186,4 +186,4 @@ def refill_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, event_type AS status, n, rank FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS rank FROM events GROUP BY 1, 2) WHERE rank = 1")
 def dominant_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
-    return sized.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("n").desc(), "status"))).where("rank = 1")
+    return sized.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("n").desc(), "status")).cast("long")).where("rank = 1")

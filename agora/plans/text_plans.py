@@ -51,7 +51,7 @@ def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT page_id, length(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g'))) AS chars FROM pages""")
 def stripped_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.length(text.stripped_tags(F.col("html"))).alias("chars"))
+    return table(spark, sf_dir, "pages").select("page_id", F.length(text.stripped_tags(F.col("html"))).cast("long").alias("chars"))
 
 
 @query(r"""SELECT page_id, regexp_extract(html, '(?i)<html[^>]*\blang\s*=\s*["'']?([A-Za-z-]+)', 1) AS html_lang, regexp_extract(html, '(?i)<meta[^>]*charset\s*=\s*["'']?([A-Za-z0-9_-]+)', 1) AS charset,
@@ -64,7 +64,7 @@ def raw_html_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract(html, r"(?i)<meta[^>]*charset\s*=\s*[\"']?([A-Za-z0-9_-]+)", 1).alias("charset"),
         html.rlike(r"(?i)<script[^>]*application/ld\+json").alias("has_json_ld"),
         html.rlike("(?i)csrf").alias("has_csrf"),
-        F.regexp_count(html, F.lit(r"(?i)<a\b")).alias("anchors"),
+        F.regexp_count(html, F.lit(r"(?i)<a\b")).cast("long").alias("anchors"),
     )
 
 
