@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions.urls import crawl_url
+from agora.session import written
 
 #: What marks each category in a page's HTML, whatever the case.
 CATEGORIES = {
@@ -52,7 +53,7 @@ def ancestry(pages: DataFrame, start: DataFrame, most: int = 64, key: str = "id"
     levels, edges = [], pages.select(F.col(key).alias("_k"), F.col(parent).alias("_p"))
     for step in range(most):
         levels.append(level.withColumn("steps", F.lit(step)))
-        level = level.join(edges, F.col(key) == F.col("_k")).where("_p IS NOT NULL").select("start", F.col("_p").alias(key))
+        level = written(level.join(edges, F.col(key) == F.col("_k")).where("_p IS NOT NULL").select("start", F.col("_p").alias(key)), "ancestry")
         if level.isEmpty():
             break
     return reduce(DataFrame.unionByName, levels)
@@ -64,6 +65,6 @@ def frontier(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     level = seen
     for d in range(1, depth + 1):
         found = level.join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        level = found.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
+        level = written(found.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)), "frontier")
         seen = seen.unionByName(level)
     return seen

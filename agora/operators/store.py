@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions.text import search_terms
+from agora.session import written
 
 
 def status_ladder(total: Column, pending: Column, queued: Column, running: Column, completed: Column, failed: Column) -> Column:
@@ -108,16 +109,23 @@ def stale_failed(items: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
     return items.withColumn("status", F.when(stale, "failed").otherwise(F.col("status")))
 
 
-def combined(parts: list[DataFrame], order: list[str]) -> DataFrame:
-    """Items of several jobs as one, numbered anew by job order, then ``order``.
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows numbered from 1 over ``order``: dealt by ranges, numbered within each, shifted by what came before.
 
-    Ranks are made within each source job and shifted by what came before, so that no task sorts all rows.
+    No task holds more than a range; only the ranges' sizes come together.
     """
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = written(spread.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    ahead = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    return held.withColumn("_part", part).join(F.broadcast(ahead), "_part").withColumn("row_number", at + 1 + F.col("_ahead")).drop("_id", "_part", "_ahead")
+
+
+def combined(parts: list[DataFrame], order: list[str]) -> DataFrame:
+    """Items of several jobs as one, numbered anew by job order, then ``order``."""
     both = reduce(DataFrame.unionByName, [p.withColumn("source_ord", F.lit(k)) for k, p in enumerate(parts)])
-    sizes = both.groupBy("source_ord").count()
-    ahead = sizes.select("source_ord", F.coalesce(F.sum("count").over(Window.orderBy("source_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    ranked = both.withColumn("_rank", F.row_number().over(Window.partitionBy("source_ord").orderBy(*order)))
-    return ranked.join(F.broadcast(ahead), "source_ord").withColumn("row_number", F.col("_rank") + F.col("_ahead")).drop("_rank", "_ahead")
+    return numbered(both, ["source_ord", *order])
 
 
 def resumed(items: DataFrame) -> DataFrame:
