@@ -83,21 +83,24 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: long): rows (id, component), the smallest id reachable.
 
     Large-star and small-star rounds in turn: every round links nodes nearer to the smallest
-    neighbour, so that the number of rounds grows with the logarithm of the longest path.  Each
-    round's edges are written to the shared folder.  Ids without an edge are not returned.
+    neighbour, so that the number of rounds grows with the logarithm of the longest path.  Edges and
+    minima are written to the shared folder before they are joined, so that Spark can split the
+    join of a node with very many neighbours.  Ids without an edge are not returned.
     """
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
         both = now.union(now.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = large.where("a != b").distinct()
-        small_min = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large, "large")
+        small_min = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(small_min, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         after = written(small.select("e.a", "e.b").where("a != b").distinct())
         size = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        forget(now)
+        for gone in (now, least, large, small_min):
+            forget(gone)
         now = after
         if size == before:
             break

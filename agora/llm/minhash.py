@@ -19,8 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, groups, map_rows, text_or_empty, written
+from .simhash import dealt
 
 WORDS, SLOTS, BANDS = 5, 128, 32
+#: Larger buckets are dealt out as pairs of tiles of so many rows.
+BUCKET_ROWS = 2048
 _RANDOM = np.random.default_rng(42)
 A = (_RANDOM.integers(0, 1 << 32, SLOTS, np.uint64) | 1).astype(np.uint32)
 B = _RANDOM.integers(0, 1 << 32, SLOTS, np.uint64).astype(np.uint32)
@@ -151,14 +154,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     signed = written(signatures(docs), "signatures")
     distinct = written(signed.groupBy("signature").agg(F.min("doc_id").alias("least")).withColumn("id", F.xxhash64("signature")), "distinct-signatures")
     width = SLOTS // BANDS * 4
-    banded = distinct.select("id", "signature", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.expr("signature").substr(k * width + 1, F.lit(width))))).alias("bucket"))
+    banded = distinct.select("id", F.col("signature").alias("bits"), F.lit(0).alias("ones"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.expr("signature").substr(k * width + 1, F.lit(width))))).alias("bucket"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups(batches, "bucket"):
+        for rows in groups(batches, "unit"):
             if rows.num_rows < 2:
                 continue
             ids = rows.column("id").to_numpy()
-            slots = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(len(ids), SLOTS)
+            slots = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint32).reshape(len(ids), SLOTS)
             open_, a, b = np.arange(len(ids)), [], []
             queue: list[int] = []
             while len(open_) or queue:  # breadth first: each row is compared with those not reached yet
@@ -173,8 +176,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = written(banded.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct(), "links")
+    edges = written(dealt(banded, 0, BUCKET_ROWS).mapInArrow(run, "a long, b long").distinct(), "links")
     classes = distinct.join(components(edges), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    classes = classes.join(classes.groupBy("component").agg(F.min("least").alias("class_id")), "component").select("signature", "class_id")
+    named = written(classes.groupBy("component").agg(F.min("least").alias("class_id")), "components")
+    classes = classes.join(named, "component").select("signature", "class_id")
     return signed.join(written(classes, "classes"), "signature").select("doc_id", "class_id")

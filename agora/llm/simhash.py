@@ -168,9 +168,13 @@ def links(found: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     return _linked(keyed.select(F.xxhash64("choice", "part").alias("bucket"), "ones", "id", "bits"), radius, tile)
 
 
-def _linked(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
-    """Links among the rows (bucket, ones, id, bits: array) of each bucket; a bucket over ``tile`` rows is dealt out as pairs of tiles."""
-    spark = keyed.sparkSession
+def dealt(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Rows (bucket, ones, id, bits) dealt into units of work: (unit, side, id, bits), sorted by unit and side.
+
+    A bucket is one unit, its rows of side 0.  One of over ``tile`` rows is cut into tiles by ``ones``
+    and a hash; each pair of tiles whose ``ones`` differ by at most ``radius`` is a unit, with sides
+    1 and 2, and so is each tile, with side 0.
+    """
     sizes = keyed.groupBy("bucket", "ones").agg(F.count("*").alias("n"))
     large = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("ones", "n"))).alias("by_ones")).where(F.col("all") > tile)
     large = written(large, "large-buckets")
@@ -182,9 +186,14 @@ def _linked(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
 
     own = F.struct(F.col("ones"), F.pmod(F.xxhash64("bits"), parts(F.col("ones"))).cast("int").alias("part"))
     others = F.flatten(F.transform(F.filter(F.map_keys("by_ones"), lambda o: F.abs(o - F.col("ones")) <= radius), lambda o: F.transform(F.sequence(F.lit(0), parts(o) - 1), lambda p: F.struct(o.alias("ones"), p.cast("int").alias("part")))))
-    dealt = joined.withColumn("own", F.when(F.col("all").isNotNull(), own)).withColumn("other", F.explode(F.when(F.col("all").isNotNull(), others).otherwise(F.array(F.lit(None).cast("struct<ones:int,part:int>")))))
+    units = joined.withColumn("own", F.when(F.col("all").isNotNull(), own)).withColumn("other", F.explode(F.when(F.col("all").isNotNull(), others).otherwise(F.array(F.lit(None).cast("struct<ones:int,part:int>")))))
     unit = F.when(F.col("own").isNull(), F.xxhash64("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
-    dealt = dealt.select(unit.alias("unit"), F.when(F.col("own").isNull() | (F.col("own") == F.col("other")), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "id", "bits")
+    units = units.select(unit.alias("unit"), F.when(F.col("own").isNull() | (F.col("own") == F.col("other")), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "id", "bits")
+    return units.repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit").sortWithinPartitions("unit", "side")
+
+
+def _linked(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Links among the rows (bucket, ones, id, bits: array) of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, "unit"):
@@ -197,8 +206,7 @@ def _linked(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    alone = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit").sortWithinPartitions("unit", "side")
-    return alone.mapInArrow(run, "a long, b long").distinct()
+    return dealt(keyed, radius, tile).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -213,7 +221,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     # components are found over fingerprints themselves: a bijection of the 64 bits serves as id
     joined = components(written(links(distinct.select(F.col("bits").alias("id"), "bits"), radius), "links")).withColumnsRenamed({"id": "bits"})
     classes = distinct.join(joined, "bits", "left").withColumn("component", F.coalesce("component", "bits"))
-    classes = classes.join(classes.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("bits", "component_id")
+    named = written(classes.groupBy("component").agg(F.min("least").alias("component_id")), "components")  # a plain join on a hot component can be split
+    classes = classes.join(named, "component").select("bits", "component_id")
     return prints.join(written(classes, "classes"), "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -244,5 +253,6 @@ def similar(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS) -> DataF
     keyed = distinct.select(F.explode(buckets).alias("bucket"), ones.cast("int").alias("ones"), "id", "bits")
     joined = components(written(_linked(keyed, radius, TILE), "wide-links"))
     classes = distinct.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    classes = classes.join(classes.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("bits", "component_id")
+    named = written(classes.groupBy("component").agg(F.min("least").alias("component_id")), "components")  # a plain join on a hot component can be split
+    classes = classes.join(named, "component").select("bits", "component_id")
     return prints.join(written(classes, "wide-classes"), "bits").select("doc_id", "component_id")
