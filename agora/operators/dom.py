@@ -30,11 +30,12 @@ def _plain(text: Column) -> Column:
 def marked(nodes: DataFrame) -> DataFrame:
     """Nodes with one 0/1 column (or length) for each thing that regions count in their subtrees."""
     attr = lambda name: F.coalesce(F.col("attrs")[name], F.lit(""))
-    tag, text = F.col("tag"), _plain(squeezed(F.col("text")))
-    blob = _plain(F.concat_ws(" ", attr("class"), attr("id"), attr("name"), attr("aria-label"), attr("title"), attr("placeholder")))
-    label = F.concat_ws(" ", text, _plain(attr("aria-label")), _plain(attr("title")))
+    # what many flags read is made once, in a projection of its own
+    nodes = nodes.withColumns({"_space": squeezed(F.col("text")), "_href": F.lower(attr("href"))})
+    nodes = nodes.withColumns({"_text": _plain(F.col("_space")), "_blob": _plain(F.concat_ws(" ", attr("class"), attr("id"), attr("name"), attr("aria-label"), attr("title"), attr("placeholder")))})
+    nodes = nodes.withColumn("_label", F.concat_ws(" ", F.col("_text"), _plain(attr("aria-label")), _plain(attr("title"))))
+    tag, text, blob, label, href = (F.col(c) for c in ("tag", "_text", "_blob", "_label", "_href"))
     control = tag.isin("button", "a") | (attr("role") == "button")
-    href = F.lower(attr("href"))
     shown = ~tag.isin("script", "style")
     flags = {
         "m_link": (tag == "a") & (href != ""),
@@ -80,12 +81,12 @@ def marked(nodes: DataFrame) -> DataFrame:
         "m_external": (tag == "a") & href.rlike("^(?:https?:)?//"),
     }
     amounts = {
-        "a_chars": F.when(shown, F.length(squeezed(F.col("text")))).otherwise(0),
-        "a_words": F.when(shown, F.size(F.filter(F.split(squeezed(F.col("text")), " "), lambda w: w != ""))).otherwise(0),
-        "a_link_chars": F.when(tag == "a", F.length(squeezed(F.col("text")))).otherwise(0),
+        "a_chars": F.when(shown, F.length("_space")).otherwise(0),
+        "a_words": F.when(shown, F.when(F.col("_space") == "", 0).otherwise(F.size(F.split("_space", " ")))).otherwise(0),
+        "a_link_chars": F.when(tag == "a", F.length("_space")).otherwise(0),
     }
     out = nodes.withColumns({k: F.coalesce(v, F.lit(False)).cast("int") for k, v in flags.items()} | amounts)
-    return out.withColumn("container_text", blob)
+    return out.withColumn("container_text", blob).drop("_space", "_text", "_blob", "_label", "_href")
 
 
 def counted(nodes: DataFrame) -> DataFrame:
