@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -97,18 +98,81 @@ def test_base_counts_like_brute_force():
         assert quality.base(text) == want, repr(text)
 
 
-def test_model_is_a_distribution():
+class PlainKneserNey:
+    """The model in one process, by numpy alone."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        levels = [(keys[order], counts[order])]
+        for k in range(quality.ORDER - 1, 0, -1):  # lower orders count the different grams that end so
+            levels.append(np.unique(levels[-1][0] & np.uint64((1 << 16 * k) - 1), return_counts=True))
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        for k, (grams_, n) in enumerate(reversed(levels), start=1):
+            seen = [np.count_nonzero(n == c) for c in (1, 2, 3, 4)]
+            y = seen[0] / max(1, seen[0] + 2 * seen[1])
+            discounts = np.array([0.0, *(min(max(c - (c + 1) * y * seen[c] / max(1, seen[c - 1]), 0.05), 0.95 * c) for c in (1, 2, 3))])
+            taken = discounts[np.minimum(n, 3)]
+            contexts, at = np.unique(grams_ >> np.uint64(16), return_inverse=True)
+            total = np.bincount(at, n)
+            back = np.bincount(at, taken) / total
+            lower = 1 / 65536 if k == 1 else np.exp(self._log(grams_ & np.uint64((1 << 16 * (k - 1)) - 1), k - 1))
+            self.levels.append((grams_, np.log((n - taken) / total[at] + back[at] * lower), contexts, np.log(back)))
+
+    def _log(self, keys: np.ndarray, k: int) -> np.ndarray:
+        if k == 0:
+            return np.full(len(keys), -16 * np.log(2))
+        grams_, logs, contexts, backs = self.levels[k - 1]
+        if not len(grams_):
+            return np.full(len(keys), -16 * np.log(2))
+        at = np.minimum(np.searchsorted(grams_, keys), len(grams_) - 1)
+        out = logs[at]
+        missing = np.flatnonzero(grams_[at] != keys)
+        if len(missing):
+            rest = keys[missing]
+            where = np.minimum(np.searchsorted(contexts, rest >> np.uint64(16)), len(contexts) - 1)
+            weight = np.where(contexts[where] == rest >> np.uint64(16), backs[where], 0.0)
+            out[missing] = weight + self._log(rest & np.uint64((1 << 16 * (k - 1)) - 1), k - 1)
+        return out
+
+    def log_perplexity(self, text: str) -> float:
+        """Mean negative log probability of a text's characters, in nats; 0 for the empty text."""
+        return float(-self._log(quality.grams(text), quality.ORDER).mean()) if text else 0.0
+
+
+def quality_rows():
+    rng = random.Random(11)
+    rows = [(k, prose(rng, rng.randint(20, 90)), rng.choice(["en", "de", None])) for k in range(80)]
+    rows += [(100 + k, "".join(chr(rng.randint(33, 0x2FF)) + " " * (rng.random() < 0.2) for _ in range(400)), "en") for k in range(6)]
+    return rows + [(200, None, "en"), (201, "", "en"), (202, "\U0001F600 a \uFFFF", "en"), (0, rows[0][1], "en")]
+
+
+def taught(rows):
+    return [quality.grams(t) for _, t, _ in rows if t and quality.teaches(t, quality.base(t))]
+
+
+def test_plain_model_is_a_distribution():
     """Over all characters that can follow a context, seen or not, probabilities add up to 1."""
-    import numpy as np
-
     keys, counts = np.unique(np.concatenate([quality.grams(t) for t in ("abab cab", "abc abd", "bad cab")]), return_counts=True)
-    model = quality.KneserNey(keys, counts)
+    model = PlainKneserNey(keys, counts)
     for context in ("\n\n\n", "aba", "zzz", "b c"):
         base = sum(ord(c) << 16 * (3 - k) for k, c in enumerate(context))
         every = np.arange(65536, dtype=np.uint64) | np.uint64(base)
         assert abs(np.exp(model._log(every, 4)).sum() - 1) < 1e-6
 
 
+@pytest.mark.parametrize("share", [2.0**-22, 1e-3, 2.0])
+def test_perplexity_like_the_plain_model(spark, monkeypatch, share):
+    """Whatever share of the grams is sent and whatever is joined, all of them count."""
+    monkeypatch.setattr(quality, "LEAST_SHARE", share)
+    rows = quality_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    plain = PlainKneserNey(*np.unique(np.concatenate(taught(rows)), return_counts=True))
+    got = sorted((r.doc_id, r.log_perplexity) for r in quality.judge(df).collect())
+    want = sorted((i, plain.log_perplexity(t or "")) for i, t, _ in rows)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(math.isclose(a, b, rel_tol=1e-9) for (_, a), (_, b) in zip(got, want))
+
+
 def test_quality_keeps_clean_and_rejects_junk(spark):
     rng = random.Random(2)
     rows = [(k, prose(rng, 80), "en") for k in range(60)]
