@@ -92,3 +92,55 @@ def match_score(left: Column, right: Column, required: Column | None = None, sna
     if snapshot is not None:
         base = base - F.when(snapshot, 10).otherwise(0)
     return base
+
+
+#: Parameters that a candidate page's address keeps, and patterns by which its path is scored.
+KEPT = r"(?i)^(?:id|p|q|page|commentid|discussion|item)="
+NEGATIVE_PAGE = r"\b(help|support|faq|policy|guidelines?|rules?|terms?|privacy|account|login|logout|sign[ -]?in|sign[ -]?out|sign[ -]?up|register|subscribe|subscription|newsletter|contact|feedback|about|careers?|jobs?|advertis(?:e|ing)|accessibility|authors?|tag|tags|category|categories|search|sitemap|cookie|preferences|comment(?:ing)? experience|comments? section|how to comment)\b"
+POSITIVE_PATH = r"\b(comments?|discussion|discussions|thread|threads|topic|topics|forum|forums|question|questions|answer|answers|review|reviews|posts?|community|communities|reply|replies)\b"
+ARTICLE_PATH = r"/(?:\d{4}/\d{2}/\d{2}/|article|articles|story|stories|blog|blogs|post|posts|news|politics|world|technology|tech|sports|travel|food|lifestyle)/"
+TOPIC_END = r"/(?:topic|topics|forum|forums|questions|discussions?)/?$"
+SECTION_END = r"/(?:news|politics|world|business|tech|technology|travel|food|blog|blogs|community|forums?)/?$"
+KIND_PATHS = {"qa": (r"/questions?/", 10), "forum": (r"/(?:forum|forums|thread|threads|topic|topics|discussion|discussions|comments)/", 10), "review": (r"/(?:title|movie|show|book|album|game|games|recipe|recipes|product|products|review|reviews)/", 8)}
+
+
+def path_of(url: Column) -> Column:
+    """The path of an absolute address, ``/`` where it has none."""
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    return F.when(path == "", "/").otherwise(path)
+
+
+def candidate_url(url: Column) -> Column:
+    """Without fragment, slashes at the path's end and all but a few parameters; empty if it is no address."""
+    found = url.rlike(r"(?i)^https?://[^/?#]+")
+    origin = F.lower(F.regexp_extract(url, r"^([^:]+://[^/?#]*)", 1))
+    path = path_of(url)
+    short = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
+    kept = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p.rlike(KEPT))
+    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    return F.when(found, F.concat(origin, F.when(short == "", "/").otherwise(short), query)).otherwise("")
+
+
+def store_key(url: Column, most: int = 200) -> Column:
+    """Origin, path and query without one slash at the end, cut to ``most`` characters."""
+    whole = F.concat(F.lower(F.regexp_extract(url, r"^([^:]+://[^/?#]*)", 1)), path_of(url), F.regexp_extract(url, r"^[^?#]*(\?[^#]+)", 1))
+    return F.substring(F.when(url.rlike(r"(?i)^https?://[^/?#]+"), F.regexp_replace(whole, "/$", "")).otherwise(url), 1, most)
+
+
+def path_score(url: Column, title: Column, kind: Column | None = None, hint: Column | None = None) -> Column:
+    """How likely an address leads to a page with discussion, by its path, its title and the site's kind; -100 for none."""
+    path, text = F.lower(path_of(url)), F.lower(F.coalesce(title, F.lit("")))
+    parts = F.filter(F.split(path, "/"), lambda s: s != "")
+    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+    rules = [
+        (F.size(parts) == 0, -4), (F.size(parts) >= 2, 3), (F.size(parts) >= 3, 2),
+        (path.rlike(ARTICLE_PATH), 4), (path.rlike(POSITIVE_PATH), 8), (path.rlike(r"\d{4}/\d{2}/\d{2}"), 3), (path.rlike(r"\d{5,}"), 3),
+        (last.contains("-"), 2), (F.length(text) >= 24, 2),
+        (path.rlike(NEGATIVE_PAGE), -16), (text.rlike(NEGATIVE_PAGE), -12), (path.rlike(TOPIC_END), -3), (path.rlike(SECTION_END), -4),
+    ]
+    if hint is not None:
+        rules.append((F.coalesce((hint != "") & path.contains(F.lower(hint)), F.lit(False)), 2))
+    if kind is not None:
+        rules += [((kind == k) & path.rlike(pattern), points) for k, (pattern, points) in KIND_PATHS.items()]
+    total = sum((F.when(c, points).otherwise(0) for c, points in rules), F.lit(0))
+    return F.when(url.rlike(r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]+"), total).otherwise(-100)
