@@ -8,9 +8,10 @@ are compared bit by bit with numpy.  Buckets too large for one task are dealt ou
 
 A Jaccard similarity of 0.8 leaves 64-bit fingerprints about ten bits apart, which no small radius
 reaches and where chance pairs begin.  ``similar`` takes fingerprints of 320 bits instead, from the
-same hashes, where a radius of 60 bits tells 0.8 from chance, and looks for partners in buckets of
-twelve equal bits, of which there are 25: a pair at 0.8 shares one with a chance of 0.98, one at 0.9
-with a chance of over 0.9999.  Within buckets all are compared as above.
+same hashes, and looks for candidates within 60 bits in buckets of twelve equal bits, of which there
+are 25: a pair at 0.8 shares one with a chance of 0.98, one at 0.9 with a chance of over 0.9999.
+Candidates are joined to their sets of shingles, and those of a Jaccard similarity of 0.8 or more
+are links.
 """
 
 from __future__ import annotations
@@ -226,33 +227,125 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return prints.join(written(classes, "classes"), "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Parts of a wide fingerprint, how many bits similar texts may differ in, and the bits of a bucket.
+#: Parts of a wide fingerprint, how many bits candidates may differ in, and the bits of a bucket.
 PARTS, WIDE_RADIUS, BUCKET_BITS = 5, 60, 12
+#: The least Jaccard similarity of the shingle sets of a link.
+SIMILARITY = 0.8
+#: The bits of each bucket, in turn.
+PLACES = np.arange(64 * PARTS // BUCKET_BITS * BUCKET_BITS).reshape(-1, BUCKET_BITS)
+
+
+def bucket_keys(bits: np.ndarray) -> np.ndarray:
+    """(rows, buckets): the bits of each bucket of fingerprints of ``PARTS`` parts, as a number."""
+    single = np.unpackbits(np.ascontiguousarray(bits).astype(">u8").view(np.uint8).reshape(-1, 8 * PARTS), axis=1)
+    out = np.zeros((len(single), len(PLACES)), np.int64)
+    for k in range(BUCKET_BITS):
+        out = out * 2 + single[:, PLACES[:, k]]
+    return out
+
+
+def candidates(ids: np.ndarray, bits: np.ndarray, split: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (greater id, less id) of one bucket's rows within the radius, those for which it is the first they share.
+
+    ``bits`` has the number of the bucket after the parts of the fingerprint; ``split`` is as in ``stars``.
+    """
+    n, step = len(bits), 512
+    bits, bucket = bits[:, :PARTS], int(bits[0, PARTS])
+    left, right = (range(0, n, step), range(0, n, step)) if not split else (range(0, split, step), range(split, n, step))
+    for a in left:
+        for b in right:
+            if not split and b < a:
+                continue
+            one, other = bits[a : min(a + step, split or n)], bits[b : b + step]
+            apart = np.zeros((len(one), len(other)), np.int16)
+            for part in range(PARTS):
+                apart += np.bitwise_count(one[:, None, part] ^ other[None, :, part])
+            close = apart <= radius
+            if not split and a == b:
+                close = np.triu(close, 1)
+            x, y = np.nonzero(close)
+            for at in range(0, len(x), 8192):
+                i, j = x[at : at + 8192], y[at : at + 8192]
+                first = np.argmax(bucket_keys(one[i]) == bucket_keys(other[j]), axis=1) == bucket
+                i, j = ids[a + i[first]], ids[b + j[first]]
+                yield np.maximum(i, j), np.minimum(i, j)
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(id, shingles: array<long>) of every row: its distinct shingles' hashes, sorted, and their hash."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            made = [np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in batch.column("text").to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in made], pa.int64()), pa.array([x.view(np.int64) for x in made], pa.list_(pa.int64()))], ["id", "shingles"])
+
+        return step
+
+    return map_rows(docs.select(text_or_empty()), make, "id long, shingles array<long>")
+
 
+def set_id(hashes: np.ndarray) -> int:
+    """A signed 64-bit hash of a sorted set of hashes."""
+    found = xxhash.xxh3_64_intdigest(hashes.tobytes())
+    return found - (1 << 64) if found >> 63 else found
 
-def similar(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``sets`` (id, shingles) have at least this Jaccard similarity."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("other")), "b")
+    # sets whose sizes alone rule the similarity out are not compared
+    sizes = F.least(F.size("one"), F.size("other")) / F.greatest(F.size("one"), F.size("other")) >= similarity
+    shared = F.size(F.array_intersect("one", "other"))
+    return both.where(F.when(sizes, shared / (F.size("one") + F.size("other") - shared) >= similarity).otherwise(False)).select("a", "b")
+
+
+def similar(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of every row of ``docs`` (doc_id, text): the least doc_id that similar texts lead to.
 
-    Texts with a Jaccard similarity of 0.8 or more of their shingles are linked, by wide
-    fingerprints.  Texts are compared once each, however often they occur.  Null and empty texts
-    are alike; a row without doc_id joins its component but does not name it.
+    Texts are linked whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+    Wide fingerprints find candidates, whose sets are then compared.  Equal sets are compared
+    once, however often they occur.  Null and empty texts are alike; a row without doc_id joins its
+    component but does not name it.
     """
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            made = np.array([wide_fingerprint(t, words, PARTS) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, PARTS)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(made.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "bits"])
+            texts = batch.column("text").to_pylist()
+            made = np.array([wide_fingerprint(t, words, PARTS) for t in texts], np.uint64).reshape(-1, PARTS)
+            ids = [set_id(np.unique(np.array(shingle_hashes(t, words), np.uint64))) for t in texts]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(list(made.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "id", "bits"])
 
         return step
 
-    prints = written(map_rows(docs.select("doc_id", text_or_empty()), make, "doc_id long, bits array<long>"), "wide")
-    distinct = written(prints.groupBy("bits").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "distinct-wide")
-    per = 64 // BUCKET_BITS
-    ones = sum((F.bit_count(F.col("bits")[k]) for k in range(1, PARTS)), F.bit_count(F.col("bits")[0]))
-    buckets = F.array(*(F.xxhash64(F.lit(k), F.shiftrightunsigned(F.col("bits")[k // per], BUCKET_BITS * (k % per)).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1).cast("long"))) for k in range(PARTS * per)))
-    keyed = distinct.select(F.explode(buckets).alias("bucket"), ones.cast("int").alias("ones"), "id", "bits")
-    joined = components(written(_linked(keyed, radius, TILE), "wide-links"))
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                bits = some.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, PARTS)
+                found = bucket_keys(bits) + (np.arange(len(PLACES)) << BUCKET_BITS)
+                rows = np.repeat(np.arange(len(bits)), len(PLACES))
+                wide = np.concatenate([bits[rows].view(np.int64), np.tile(np.arange(len(PLACES)), len(bits))[:, None]], axis=1)
+                ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1)), pa.array(ones[rows]), pa.array(some.column("id").to_numpy()[rows]), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (PARTS + 1)), pa.array(wide.reshape(-1)))], ["bucket", "ones", "id", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, "unit"):
+            if rows.num_rows < 2:
+                continue
+            side = rows.column("side").to_numpy()
+            ids = rows.column("id").to_numpy()
+            bits = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+            for a, b in candidates(ids, bits, int(np.count_nonzero(side == 1)) if side[0] else 0, radius):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    prints = written(map_rows(docs.select("doc_id", text_or_empty()), make, "doc_id long, id long, bits array<long>"), "wide")
+    distinct = written(prints.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits")), "distinct-wide")
+    keyed = distinct.select("id", "bits").mapInArrow(keys, "bucket long, ones int, id long, bits array<long>")
+    pairs = written(dealt(keyed, radius, TILE).mapInArrow(run, "a long, b long"), "wide-pairs")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = written(shingle_sets(docs, words).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "wide-sets")
+    joined = components(written(verified(pairs, sets, similarity), "wide-links"))
     classes = distinct.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = written(classes.groupBy("component").agg(F.min("least").alias("component_id")), "components")  # a plain join on a hot component can be split
-    classes = classes.join(named, "component").select("bits", "component_id")
-    return prints.join(written(classes, "wide-classes"), "bits").select("doc_id", "component_id")
+    classes = classes.join(named, "component").select("id", "component_id")
+    return prints.join(written(classes, "wide-classes"), "id").select("doc_id", "component_id")

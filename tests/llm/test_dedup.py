@@ -107,6 +107,35 @@ def test_similar_finds_edited_copies(spark):
     assert by[500] == by[501] == 500
 
 
+def shingle_set(text, n=5):
+    words = text.split()
+    return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))}
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def spread_pairs(rng, n=160):
+    """Pairs of texts of similarity 0.6 to 0.98: the second has another end."""
+    out = []
+    for k in range(n):
+        words = prose(rng, 100 + 2 * k).split()
+        keep = int(len(words) * (0.76 + 0.22 * k / n))
+        out.append((" ".join(words), " ".join(words[:keep] + prose(rng, len(words) - keep).split())))
+    return out
+
+
+def test_similar_links_no_pair_below_the_similarity(spark):
+    made = spread_pairs(random.Random(11))
+    by = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, [(2 * k + side, t) for k, both in enumerate(made) for side, t in enumerate(both)])).collect()}
+    below = [k for k, both in enumerate(made) if jaccard(*both) < 0.8]
+    near = [k for k in below if jaccard(*made[k]) > 0.7]
+    assert len(near) > 20 and all(by[2 * k + 1] == 2 * k + 1 for k in below)
+    assert all(by[2 * k + 1] == 2 * k for k, both in enumerate(made) if jaccard(*both) > 0.9)
+
+
 def test_empty_tables(spark):
     nothing = frame(spark, [])
     assert simhash.near_duplicates(nothing).count() == simhash.similar(nothing).count() == minhash.compare_with_next(nothing).count() == minhash.near_duplicates(nothing).count() == 0
