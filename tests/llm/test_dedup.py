@@ -136,6 +136,21 @@ def test_similar_links_no_pair_below_the_similarity(spark):
     assert all(by[2 * k + 1] == 2 * k for k, both in enumerate(made) if jaccard(*both) > 0.9)
 
 
+def test_similar_ignores_repeats_and_finds_pairs_at_the_similarity(spark):
+    rng = random.Random(12)
+    pairs = []
+    for k in range(20):
+        words = prose(rng, 200).split()
+        pairs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + words[50:64] * (20, 60)[k % 2]))]
+    for k in range(20, 220):
+        words = prose(rng, 84).split()  # 80 shingles, and 100
+        pairs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + prose(rng, 20).split()))]
+    assert all(jaccard(pairs[2 * k][1], pairs[2 * k + 1][1]) >= 0.8 for k in range(220))
+    by = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, pairs)).collect()}
+    assert all(by[2 * k + 1] == 2 * k for k in range(20))
+    assert sum(by[2 * k + 1] == 2 * k for k in range(20, 220)) >= 199
+
+
 def test_empty_tables(spark):
     nothing = frame(spark, [])
     assert simhash.near_duplicates(nothing).count() == simhash.similar(nothing).count() == minhash.compare_with_next(nothing).count() == minhash.near_duplicates(nothing).count() == 0
