@@ -21,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import text_or_empty
 
 #: At most so many labelled rows of either class are learnt from.
 SAMPLE = 1200
+#: Rows of a class of at least this shingle similarity are copies.
+COPY = 0.5
 #: N-grams: lengths, the least number and share of toxic sample documents, the least log odds, and how many.
 LENGTHS, LEAST_DOCS, LEAST_PART, LEAST_ODDS, FEATURES = (4, 6), 3, 0.015, 1.6, 4096
 #: What a toxic row counts, as classes are sampled evenly but clean rows prevail.
@@ -94,20 +97,22 @@ class Toxicity:
 
 
 def _without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """One row of those of a class whose long words have the same least hash: copies would make chance words count."""
-    kept: dict[tuple, tuple[str, int]] = {}
+    """Rows without near copies of a kept one of their class, by MinHash of five-word shingles: copies would make chance words count."""
+    out, kept, n = [], {k: np.empty((len(rows), minhash.SLOTS), np.uint32) for k in {k for _, k in rows}}, Counter()
     for text, k in rows:
-        least = min((zlib.crc32(w.encode()) for w in set(marked(text)[1:-1].split("><")) if len(w) >= 7), default=text)
-        kept.setdefault((k, least), (text, k))
-    return list(kept.values())
+        signed = minhash.signature(text)
+        if (np.count_nonzero(kept[k][: n[k]] == signed, axis=1) < COPY * minhash.SLOTS).all():
+            kept[k][n[k]] = signed
+            n[k] += 1
+            out.append((text, k))
+    return out
 
 
 def _pairs(texts: list[str], terms: dict[str, list[str]], n: int) -> list[tuple[str, str]]:
     """Sentences with an identity term swapped for another of its language; where a sentence has none, one is put in front."""
     rng = random.Random(0)
     known = {t: lang for lang, listed in terms.items() for t in listed}
-    every = [s for text in texts for s in re.split(r"[.!?\n]+", text.lower())[:40] if s.strip()]
-    rng.shuffle(every)
+    every = sorted({s for text in texts for s in re.split(r"[.!?\n]+", text.lower()) if s.strip()}, key=lambda s: (zlib.crc32(s.encode("utf-8", "surrogatepass")), s))
     out = []
     for sentence in sorted(every, key=lambda s: not any(w in known for w in s.split()))[:n]:
         words = sentence.split()

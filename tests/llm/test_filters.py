@@ -219,6 +219,15 @@ def test_toxicity_learns_and_spares_neutral_mentions(spark):
     assert model.score(neutral) <= free.score(neutral)
 
 
+def test_toxicity_learns_from_all_rows_but_near_copies():
+    rng = random.Random(9)
+    rows = [("government " + prose(rng, 60), k % 2) for k in range(100)]  # texts that share a long word
+    copies = [(t + " and more", k) for t, k in rows[:20]]
+    assert toxicity._without_copies(rows + copies) == rows
+    late = [f"nothing {k}." for k in range(60)] + ["the women sang"]
+    assert any("sang" in a for a, _ in toxicity._pairs([" ".join(late)], toxicity.IDENTITY_TERMS, 1))
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
