@@ -2,8 +2,8 @@
 
 A shingle is five words in lower case.  A signature holds, for each of 128 permutations
 ``(a * x + b) mod 2**32`` of the shingles' hashes, the least value; the share of equal values
-estimates the Jaccard similarity.  ``near_duplicates`` joins signature bands in Spark and verifies
-the similarity of those that meet.
+estimates the Jaccard similarity.  ``near_duplicates`` joins signature bands in Spark and compares
+the shingle sets of those that meet.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, groups, map_rows, text_or_empty, written
-from .simhash import dealt
+from .simhash import dealt, set_id, verified
 
 WORDS, SLOTS, BANDS = 5, 128, 32
+#: How far below the similarity a signature's estimate may be for the sets to be compared: over three deviations at 0.8.
+SLACK = 0.125
 #: Larger buckets are dealt out as pairs of tiles of so many rows.
 BUCKET_ROWS = 2048
 _RANDOM = np.random.default_rng(42)
@@ -131,28 +133,46 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     return inner.unionByName(ends.mapInArrow(meet, _ROW))
 
 
+def _set(text: str) -> np.ndarray:
+    return np.unique(shingle_hashes(text)).astype(np.int64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, signature: binary) of every row; null texts are empty."""
+    """(doc_id, id, signature: binary) of every row, ``id`` being its shingle set's hash; null texts are empty."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column("text").to_pylist()
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_id(_set(t)) for t in texts], pa.int64()), pa.array([signature(t).tobytes() for t in texts], pa.binary())], ["doc_id", "id", "signature"])
+
+        return step
+
+    return map_rows(docs.select("doc_id", text_or_empty()), make, "doc_id long, id long, signature binary")
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(id, shingles: array<long>) of every row."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([signature(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "signature"])
+            made = [_set(t) for t in batch.column("text").to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in made], pa.int64()), pa.array(made, pa.list_(pa.int64()))], ["id", "shingles"])
 
         return step
 
-    return map_rows(docs.select("doc_id", text_or_empty()), make, "doc_id long, signature binary")
+    return map_rows(docs.select(text_or_empty()), make, "id long, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, class_id) of every row: the least doc_id linked by verified similarity, directly or in steps.
+    """(doc_id, class_id) of every row: the least doc_id linked by exact similarity, directly or in steps.
 
-    Equal signatures are one class from the start.  Different ones meet where a band of four slots
-    is equal; those in a bucket are compared with one another slot by slot, a block at a time, and
-    each that is similar enough is linked to the first it is similar to.  Null texts are empty and
-    alike; rows without doc_id keep a null class unless a row with one is in it.
+    Equal shingle sets are one class from the start.  Different ones meet where a band of four slots
+    is equal; pairs in a bucket whose signatures are at most ``SLACK`` less alike are joined to
+    their shingle sets, and those similar enough are links.  Null texts are empty and alike; rows
+    without doc_id keep a null class unless a row with one is in it.
     """
     signed = written(signatures(docs), "signatures")
-    distinct = written(signed.groupBy("signature").agg(F.min("doc_id").alias("least")).withColumn("id", F.xxhash64("signature")), "distinct-signatures")
+    distinct = written(signed.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature")), "distinct-signatures")
     width = SLOTS // BANDS * 4
     banded = distinct.select("id", F.col("signature").alias("bits"), F.lit(0).alias("ones"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.expr("signature").substr(k * width + 1, F.lit(width))))).alias("bucket"))
 
@@ -160,24 +180,20 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         for rows in groups(batches, "unit"):
             if rows.num_rows < 2:
                 continue
-            ids = rows.column("id").to_numpy()
+            side, ids = rows.column("side").to_numpy(), rows.column("id").to_numpy()
+            split = int(np.count_nonzero(side == 1)) if side[0] else 0
             slots = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint32).reshape(len(ids), SLOTS)
-            open_, a, b = np.arange(len(ids)), [], []
-            queue: list[int] = []
-            while len(open_) or queue:  # breadth first: each row is compared with those not reached yet
-                if not queue:
-                    queue, open_ = [int(open_[0])], open_[1:]
-                at = queue.pop()
-                near = np.concatenate([np.count_nonzero(slots[open_[k : k + 4096]] == slots[at], axis=1) >= similarity * SLOTS for k in range(0, len(open_), 4096)]) if len(open_) else np.zeros(0, bool)
-                found, open_ = open_[near], open_[~near]
-                queue.extend(found.tolist())
-                a.extend(ids[found].tolist())
-                b.extend([int(ids[at])] * len(found))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    edges = written(dealt(banded, 0, BUCKET_ROWS).mapInArrow(run, "a long, b long").distinct(), "links")
+            for at in range(split or len(ids)):
+                others = split or at + 1
+                near = others + np.flatnonzero(np.count_nonzero(slots[others:] == slots[at], axis=1) >= (similarity - SLACK) * SLOTS)
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[near], ids[at])), pa.array(np.minimum(ids[near], ids[at]))], ["a", "b"])
+
+    pairs = written(dealt(banded, 0, BUCKET_ROWS).mapInArrow(run, "a long, b long").distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = written(shingle_sets(docs).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    edges = written(verified(pairs, sets, similarity), "links")
     classes = distinct.join(components(edges), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = written(classes.groupBy("component").agg(F.min("least").alias("class_id")), "components")
-    classes = classes.join(named, "component").select("signature", "class_id")
-    return signed.join(written(classes, "classes"), "signature").select("doc_id", "class_id")
+    classes = classes.join(named, "component").select("id", "class_id")
+    return signed.join(written(classes, "classes"), "id").select("doc_id", "class_id")

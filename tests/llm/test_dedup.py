@@ -199,6 +199,17 @@ def test_minhash_near_duplicates(spark):
     assert all(by[3 * k + 1] == 3 * k for k in range(30)) and all(by[3 * k + 2] == 3 * k + 2 for k in range(30))
 
 
+def test_minhash_pairs_near_the_similarity_like_brute_force(spark):
+    rng = random.Random(13)
+    made = []
+    for k in range(120):
+        words = prose(rng, 204).split()  # 200 shingles, of which 156 to 164 of 200 are left in the other
+        made.append((" ".join(words), " ".join(words[: 160 + k % 9] if k % 3 else words + prose(rng, 46 + k % 9).split())))
+    assert {jaccard(*both) >= 0.8 for both in made} == {True, False} and all(0.78 <= jaccard(*both) <= 0.84 for both in made)
+    by = {r.doc_id: r.class_id for r in minhash.near_duplicates(frame(spark, [(2 * k + side, t) for k, both in enumerate(made) for side, t in enumerate(both)])).collect()}
+    assert [by[2 * k + 1] == 2 * k for k in range(120)] == [jaccard(*both) >= 0.8 for both in made]
+
+
 def test_stars_across_tiles():
     rng = np.random.default_rng(2)
     bits = rng.integers(0, 1 << 63, (40, 1), np.uint64)
