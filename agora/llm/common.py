@@ -62,6 +62,11 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit("")).alias("text")
 
 
+def row_hash(*others: str) -> Column:
+    """A hash of a row's doc_id and text (and other columns): rows with equal ones are alike in them."""
+    return F.xxhash64("doc_id", "text", *others)
+
+
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Runs of rows with equal keys in a sorted stream, each whole, though batches cut them."""
     held: list[pa.RecordBatch] = []
@@ -79,17 +84,17 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: long): rows (id, component), the smallest id reachable.
 
-    Large-star and small-star rounds in turn: every round links nodes nearer to the smallest
-    neighbour, so that the number of rounds grows with the logarithm of the longest path.  Edges and
-    minima are written to the shared folder before they are joined, so that Spark can split the
-    join of a node with very many neighbours.  Ids without an edge are not returned.
+    Large-star and small-star rounds in turn, until one changes nothing: every round links nodes
+    nearer to the smallest neighbour, so that the number of rounds grows with the logarithm of the
+    longest path.  Edges and minima are written to the shared folder before they are joined, so that
+    Spark can split the join of a node with very many neighbours.  Ids without an edge are not returned.
     """
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select(F.col("b"), F.col("a"))).toDF("u", "v")
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -103,6 +108,5 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             forget(gone)
         now = after
         if size == before:
-            break
+            return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id").unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()).groupBy("id").agg(F.min("component").alias("component"))
         before = size
-    return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id").unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()).groupBy("id").agg(F.min("component").alias("component"))
