@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Share that follows links, rounds, and how much distrust must exceed trust.
-DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.5
-#: Verdicts of so many hosts are sent to every task; more are joined.
-BROADCAST_HOSTS = 100_000
+#: Share that follows links, how little a round may still move a host's score, and how much distrust must exceed trust.
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-4, 0.5
+#: Scores of hosts are sent to every task up to so many bytes; more are joined.
+BROADCAST_BYTES = 16 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -51,28 +51,40 @@ def links(pages: DataFrame) -> DataFrame:
     return far.where("src != '' AND dst != '' AND src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, score): seeds (host, weight) and what reaches others over edges (src, dst, n), by PageRank from the seeds.
 
-    Without edges the seeds alone have scores.  Rounds are written to the shared folder; joins on hosts are split by Spark where a host has many links.
+    Each round moves what the last one brought, and ends when no host gains more than
+    ``tolerance``: weights shrink by the damping with every link, so that it always ends.  Without
+    edges the seeds alone have scores.  Rounds are written to the shared folder; joins on hosts are
+    split by Spark where a host has many links.
     """
+    fresh = written(seeds.select("host", F.col("weight").alias("score")), "ranks")
     if edges.isEmpty():
-        return seeds.select("host", F.col("weight").alias("score"))
+        return fresh
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     shares = written(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "shares")
-    now = seeds.select("host", F.col("weight").alias("score"))
-    for _ in range(rounds):
-        moved = shares.join(now, F.col("src") == F.col("host")).groupBy(F.col("dst").alias("host")).agg((DAMPING * F.sum(F.col("share") * F.col("score"))).alias("score"))
-        now = moved.unionByName(seeds.select("host", F.col("weight").alias("score"))).groupBy("host").agg(F.sum("score").alias("score"))
-        now = written(now, "ranks")
-    return now
+    total = fresh
+    while (fresh.agg(F.max("score")).first()[0] or 0.0) > tolerance:
+        moved = shares.join(fresh, F.col("src") == F.col("host")).groupBy(F.col("dst").alias("host")).agg((DAMPING * F.sum(F.col("share") * F.col("score"))).alias("score"))
+        moved = written(moved, "moved")
+        summed = written(total.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score")), "ranks")
+        forget(total)
+        if fresh is not total:
+            forget(fresh)
+        total, fresh = summed, moved
+    forget(shares)
+    return total
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every row of ``pages`` (page_id, url, html).
 
     Null urls and those without ``://`` have an empty host and path, no links and no scores, and
-    are allowed unless a rule fits.  Repeated rows each count and each give a row.
+    are allowed unless a rule fits.  Repeated rows each count and each give a row; of rules of one
+    length the first given wins; an empty table gives no rows.  Urls and pages of any length are read
+    whole, by native functions alone.  Columns of ``pages`` beyond these three are not read, so that
+    names such as ``host``, ``rule`` or ``trust`` among them do no harm.
     """
     parted = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     ruled = judged_by_rules(parted.drop("html"), rules)
@@ -83,7 +95,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = THR
     distrust = spread(hosts.where("blocked > 0").select("host", F.col("blocked").alias("weight")), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).withColumnRenamed("score", "distrust")
     scored = hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0)
     scored = written(scored, "host-scores")
-    if scored.count() <= BROADCAST_HOSTS:
+    for gone in (hosts, edges, trust, distrust):
+        forget(gone)
+    if (scored.agg(F.sum(F.octet_length("host") + F.lit(64))).first()[0] or 0) <= BROADCAST_BYTES:
         scored = F.broadcast(scored)
     verdict = F.coalesce("ruled", F.when(F.col("distrust") - F.col("trust") >= threshold, "block").otherwise("allow"))
     return ruled.join(scored, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
