@@ -41,11 +41,11 @@ def stand_ins(piece: bytes) -> str:
 class _Memo(dict):
     """A dictionary that fills itself up to a number of entries."""
 
-    def __init__(self, of: Callable[[str], bytes], entries: int):
+    def __init__(self, of: Callable, entries: int):
         super().__init__()
         self.of, self.entries = of, entries
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: str):
         value = self.of(key)
         if len(self) < self.entries:
             self[key] = value
@@ -61,6 +61,7 @@ class Encoder:
         self.blank = "" if lower else BYTE_TO_CHAR[32]
         self.pieces = _Memo(lambda x: self._merged(stand_ins(x.encode())), entries // 8)
         self.chunks = _Memo(self._after_blank, entries)
+        self.counts = _Memo(lambda x: len(self.model.tokenize(stand_ins(x.encode()))), entries)
 
     def _merged(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
@@ -79,6 +80,21 @@ class Encoder:
             return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.pieces.__getitem__, self.find(chunk.lower() if self.lower else chunk)))
 
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text, which together are the text (for vocabularies that neither lower-case nor drop)."""
+        if not BEYOND_LATIN.search(text):
+            return self.find(text)
+        head, *rest = CHUNK.split(text)
+        out, plain = [], ""
+        for chunk in [head, *(" " + x for x in rest)]:
+            if not BEYOND_LATIN.search(chunk):
+                plain += chunk
+                continue
+            out += self.find(plain)
+            plain = ""
+            out += [chunk[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)]
+        return out + self.find(plain)
+
     def raw(self, text: str) -> bytes:
         head, *rest = CHUNK.split(text)
         return self._chunk(head) + b"".join(map(self.chunks.__getitem__, rest))
