@@ -53,8 +53,8 @@ def byte_table(path: str) -> ByteTable:
 def encode(docs: DataFrame, ranks: str) -> DataFrame:
     """(doc_id, text) to (doc_id, ids, starts, ends): ids with their character offsets.
 
-    Null texts are empty and give empty arrays; rows that repeat are each encoded; other columns
-    are ignored.  Nothing is shuffled.
+    Null texts are empty and give empty arrays; rows that repeat are each encoded; an empty table
+    gives no rows; other columns are ignored, whatever their names.  Nothing is shuffled.
     """
 
     def make():
@@ -91,7 +91,9 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
 def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
     """Encodes, decodes and digests every whole text: one row per row of ``docs``.
 
-    Null or empty texts have no ids and the digest of nothing; repeated rows each give a row.
+    Null or empty texts have no ids and the digest of nothing; texts of any length are encoded
+    whole; repeated rows each give a row; an empty table gives none; other columns are ignored,
+    whatever their names.
     """
 
     def make():

@@ -80,9 +80,10 @@ def unpack_shard(shard: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard_ids: int = SHARD_IDS) -> None:
     """Writes ids of all ``docs`` (doc_id, text) to ``path``, ascending by doc_id, ``end_id`` after each.
 
-    Texts move once, dealt by ranges of doc_id; each range is encoded in order.  Null texts are
-    empty (``end_id`` alone); a null doc_id comes first; rows with equal doc_id stand side by side
-    in order of their text; other columns are not read.
+    Texts move once, dealt by ranges of doc_id; each range is encoded in order.  Null and empty
+    texts are ``end_id`` alone; a null doc_id comes first; rows with equal doc_id stand side by side
+    in order of their texts' hashes, so that ranges can cut them.  Very long texts have shards of
+    their own.  An empty table gives no files' rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +108,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard_ids
         if each:
             yield full()
 
-    ordered = docs.select("doc_id", text_or_empty()).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select("doc_id", text_or_empty(), F.xxhash64(text_or_empty()).alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    ordered = keyed.repartitionByRange("doc_id", "_hash", "_row").sortWithinPartitions("doc_id", "_hash", "text", "_row").select("doc_id", "text")
     ordered.mapInArrow(run, "part int, shard int, before long, n_ids long, payload binary").write.mode("overwrite").parquet(path)
 
 
