@@ -1,8 +1,9 @@
 """Document fingerprints: MinHash signatures by universal hash permutations, in vectorised numpy.
 
 A shingle is five words in lower case.  A signature holds, for each of 128 permutations
-``(a * x + b) mod 2**32`` of the shingles' hashes, the least value; the share of equal values
-estimates the Jaccard similarity.  ``near_duplicates`` joins signature bands in Spark and compares
+``(a * x + b) mod 2**32`` of the shingles' hashes, the low 16 bits of the least value; the share of
+equal slots estimates the Jaccard similarity, and fingerprints are these slots, so that likeness is
+a function of the fingerprints.  ``near_duplicates`` joins signature bands in Spark and compares
 the shingle sets of those that meet.
 """
 
@@ -15,13 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, groups, map_rows, text_or_empty, written
-from .simhash import dealt, set_id, verified
+from .common import map_rows, text_or_empty, written
+from .simhash import classes_of, connected, set_id
 
-WORDS, SLOTS, BANDS = 5, 128, 32
+#: Words of a shingle, slots of a signature, bands, and the type of a slot.
+WORDS, SLOTS, BANDS, SLOT = 5, 128, 32, np.uint16
 #: How far below the similarity a signature's estimate may be for the sets to be compared: over three deviations at 0.8.
 SLACK = 0.125
 #: Larger buckets are dealt out as pairs of tiles of so many rows.
@@ -31,7 +33,7 @@ A = (_RANDOM.integers(0, 1 << 32, SLOTS, np.uint64) | 1).astype(np.uint32)
 B = _RANDOM.integers(0, 1 << 32, SLOTS, np.uint64).astype(np.uint32)
 _MIX = (_RANDOM.integers(0, 1 << 63, WORDS, np.uint64) << np.uint64(1)) | np.uint64(1)
 #: The signature of a text without words.
-EMPTY = np.full(SLOTS, 0xFFFFFFFF, np.uint32)
+EMPTY = np.full(SLOTS, 0xFFFF, SLOT)
 
 
 def shingle_hashes(text: str) -> np.ndarray:
@@ -48,19 +50,21 @@ def shingle_hashes(text: str) -> np.ndarray:
 
 def signature(text: str) -> np.ndarray:
     hashes = shingle_hashes(text)
-    least = EMPTY
+    least = np.full(SLOTS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(hashes), 1024):
         least = np.minimum(least, (A[:, None] * hashes[None, at : at + 1024] + B[:, None]).min(axis=1))
-    return least
+    return least.astype(SLOT)
 
 
 def likeness(one: np.ndarray, other: np.ndarray) -> float:
+    """The share of equal slots of two signatures."""
     return float(np.count_nonzero(one == other)) / SLOTS
 
 
-def fingerprint(signed: np.ndarray) -> str:
-    """The low byte of each slot, in hex."""
-    return signed.astype(np.uint8).tobytes().hex()
+def band_keys(signature: Column) -> Column:
+    """A hash of each band of a signature (binary): texts are candidates where one is equal."""
+    width = SLOTS // BANDS * np.dtype(SLOT).itemsize
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(signature, k * width + 1, F.lit(width))))
 
 
 def edited(text: str, following: str) -> str:
@@ -69,7 +73,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _NAMES = [x.split()[0] for x in _ROW.split(", ")]
 
 
@@ -77,21 +81,27 @@ def _row(doc_id: int | None, text: str, signed: np.ndarray, following: str, foll
     changed = edited(text, following)
     changed_signed = signature(changed)
     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-    return doc_id, len(text), digest, fingerprint(signed), fingerprint(changed_signed), likeness(signed, changed_signed), likeness(signed, following_signed)
+    return doc_id, len(text), digest, signed.tobytes(), changed_signed.tobytes(), likeness(signed, changed_signed), likeness(signed, following_signed)
 
 
 def _table(rows: list[tuple]) -> list[pa.Array]:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
     return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness to each other and to the next document's.
 
+    Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
+    bands), fingerprints in hex, a slot's bytes lowest first; ``bands`` are the keys at which
+    ``near_duplicates`` has texts meet.
+
     The next document is the one before in doc_id (after the least, the greatest); rows with equal
-    doc_id follow in order of their text; rows without doc_id come last.  Null texts are empty: no
-    shingles, equal only to each other.  A table of one row is its own next.  Texts are dealt once,
-    by ranges of doc_id; the last row of each range meets the first of the next range afterwards.
+    doc_id follow in order of their texts' hashes; rows without doc_id come last.  Null texts are
+    empty: no shingles, equal only to texts without words.  Texts of any length are read whole.  A
+    table of one row is its own next; an empty table gives no rows; other columns are ignored,
+    whatever their names.  Texts are dealt once, by ranges of doc_id and hash; the last row of each
+    range meets the first of the next range afterwards.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +126,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         if last is not None:
             yield rows([(last[0], *[None] * 6)], 2, last[1])
 
-    ordered = docs.select("doc_id", text_or_empty()).repartitionByRange(F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc(), "text")
+    keyed = docs.select("doc_id", text_or_empty(), F.xxhash64(text_or_empty()).alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    by = F.col("doc_id").desc()
+    ordered = keyed.repartitionByRange(by, "_hash", "_row").sortWithinPartitions(by, "_hash", "text", "_row").select("doc_id", "text")
     made = written(ordered.mapInArrow(run, f"part int, kind int, text string, {_ROW}"), "fingerprints")
     inner = made.where("kind = 0").select(*_NAMES)
     # one first and one last row of each range: as few as there are ranges
@@ -130,7 +142,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             kept = [_row(i, t, signature(t), f, signature(f)) for i, t, f in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "following")))]
             yield pa.RecordBatch.from_arrays(_table(kept), _NAMES)
 
-    return inner.unionByName(ends.mapInArrow(meet, _ROW))
+    hexed = lambda c: F.lower(F.hex(c)).alias(c)
+    return inner.unionByName(ends.mapInArrow(meet, _ROW)).select("doc_id", "n_chars", "edited_sha256", hexed("fingerprint"), hexed("edited_fingerprint"), "near_edited", "near_next", band_keys(F.col("fingerprint")).alias("bands"))
 
 
 def _set(text: str) -> np.ndarray:
@@ -168,32 +181,30 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     Equal shingle sets are one class from the start.  Different ones meet where a band of four slots
     is equal; pairs in a bucket whose signatures are at most ``SLACK`` less alike are joined to
-    their shingle sets, and those similar enough are links.  Null texts are empty and alike; rows
-    without doc_id keep a null class unless a row with one is in it.
+    their shingle sets, and those similar enough are links.  A pair at 0.8 shares a band with a
+    chance of more than 0.9999999.  Null and empty texts are alike; rows without doc_id keep a null
+    class unless a row with one is in it; repeated rows each give a row; an empty table gives none.
     """
     signed = written(signatures(docs), "signatures")
     distinct = written(signed.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature")), "distinct-signatures")
-    width = SLOTS // BANDS * 4
-    banded = distinct.select("id", F.col("signature").alias("bits"), F.lit(0).alias("ones"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.expr("signature").substr(k * width + 1, F.lit(width))))).alias("bucket"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups(batches, "unit"):
-            if rows.num_rows < 2:
-                continue
-            side, ids = rows.column("side").to_numpy(), rows.column("id").to_numpy()
-            split = int(np.count_nonzero(side == 1)) if side[0] else 0
-            slots = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint32).reshape(len(ids), SLOTS)
-            for at in range(split or len(ids)):
-                others = split or at + 1
-                near = others + np.flatnonzero(np.count_nonzero(slots[others:] == slots[at], axis=1) >= (similarity - SLACK) * SLOTS)
-                if len(near):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[near], ids[at])), pa.array(np.minimum(ids[near], ids[at]))], ["a", "b"])
-
-    pairs = written(dealt(banded, 0, BUCKET_ROWS).mapInArrow(run, "a long, b long").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = written(shingle_sets(docs).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
-    edges = written(verified(pairs, sets, similarity), "links")
-    classes = distinct.join(components(edges), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = written(classes.groupBy("component").agg(F.min("least").alias("class_id")), "components")
-    classes = classes.join(named, "component").select("id", "class_id")
-    return signed.join(written(classes, "classes"), "id").select("doc_id", "class_id")
+    def keyed(rows: DataFrame) -> DataFrame:
+        """Rows (bucket, ones, id, bits, component) of buckets with two texts at least; signatures join them alone."""
+        banded = rows.select("id", F.explode(band_keys(F.col("signature"))).alias("bucket"))
+        shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+        return banded.join(shared, "bucket").join(rows, "id").select("bucket", F.lit(0).alias("ones"), "id", F.col("signature").alias("bits"), "component")
+
+    def near(ids: np.ndarray, bits: pa.Array, component: np.ndarray, split: int, firsts: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        slots = np.frombuffer(b"".join(bits.to_pylist()), SLOT).reshape(len(ids), SLOTS)
+        linked = np.zeros(len(ids), bool)
+        for at in range(split or len(ids)):
+            others = split or at + 1
+            close = np.count_nonzero(slots[others:] == slots[at], axis=1) >= (similarity - SLACK) * SLOTS
+            close &= ~linked[others:] if firsts else component[others:] != component[at]
+            found = others + np.flatnonzero(close)
+            linked[found] = True
+            if len(found):
+                yield np.maximum(ids[found], ids[at]), np.minimum(ids[found], ids[at])
+
+    joined = connected(distinct.select("id", "signature"), keyed, near, shingle_sets(docs), 0, BUCKET_ROWS, similarity)
+    return signed.join(classes_of(distinct, joined), "id").select("doc_id", F.col("component_id").alias("class_id"))

@@ -8,16 +8,18 @@ are compared bit by bit with numpy.  Buckets too large for one task are dealt ou
 
 A Jaccard similarity of 0.8 leaves 64-bit fingerprints about ten bits apart, which no small radius
 reaches and where chance pairs begin.  ``similar`` takes fingerprints of 320 bits instead, from the
-hashes of its distinct shingles, and looks for candidates within 88 bits in buckets of twelve equal
-bits, of which there are 52: in simulations 0.9987 or more of the pairs at exactly 0.8 share one and
-lie within the radius, of texts with 4 and 5 shingles 0.981.  Candidates are joined to their sets of
-shingles, and those of a Jaccard similarity of 0.8 or more are links.
+hashes of its distinct shingles, and looks for candidates within 88 bits in buckets of some equal
+bits.  How many bits a bucket has follows the number of rows, so that buckets stay small; how many
+buckets there are follows that, so that a pair at exactly 0.8 shares one with a chance of 0.99 or
+more (simulated: 0.9987 of 12 bits, 0.9913 of 24; nearer pairs more).  Candidates are joined to their sets of shingles, and those of a Jaccard similarity of 0.8 or
+more are links.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, groups, map_rows, text_or_empty, written
+from .common import components, forget, groups, map_rows, row_hash, text_or_empty, written
 
 SEED = 42
 #: Rows of a tile: at most two of them meet in a task at once.
@@ -174,7 +176,7 @@ def links(found: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
 
 
 def dealt(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
-    """Rows (bucket, ones, id, bits) dealt into units of work: (unit, side, id, bits), sorted by unit and side.
+    """Rows (bucket, ones, id, bits, ...) dealt into units of work: (unit, side, id, bits, ...), sorted by unit and side.
 
     A bucket is one unit, its rows of side 0.  One of over ``tile`` rows is cut into tiles by ``ones``
     and a hash; each pair of tiles whose ``ones`` differ by at most ``radius`` is a unit, with sides
@@ -193,7 +195,7 @@ def dealt(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
     others = F.flatten(F.transform(F.filter(F.map_keys("by_ones"), lambda o: F.abs(o - F.col("ones")) <= radius), lambda o: F.transform(F.sequence(F.lit(0), parts(o) - 1), lambda p: F.struct(o.alias("ones"), p.cast("int").alias("part")))))
     units = joined.withColumn("own", F.when(F.col("all").isNotNull(), own)).withColumn("other", F.explode(F.when(F.col("all").isNotNull(), others).otherwise(F.array(F.lit(None).cast("struct<ones:int,part:int>")))))
     unit = F.when(F.col("own").isNull(), F.xxhash64("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
-    units = units.select(unit.alias("unit"), F.when(F.col("own").isNull() | (F.col("own") == F.col("other")), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "id", "bits")
+    units = units.select(unit.alias("unit"), F.when(F.col("own").isNull() | (F.col("own") == F.col("other")), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), *(c for c in keyed.columns if c not in ("bucket", "ones")))
     return units.repartition(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit").sortWithinPartitions("unit", "side")
 
 
@@ -219,7 +221,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
 
     Null and empty texts have fingerprint zero and link like any other.  Repeated rows each give a
     row.  A row without doc_id keeps its fingerprint and joins its component, but names none: a
-    component of such rows alone has a null id.  Other columns are ignored.
+    component of such rows alone has a null id.  Texts of any length are read whole; an empty table
+    gives no rows; other columns are ignored, whatever their names.
     """
     prints = written(fingerprints(docs, words), "simhash")
     distinct = written(prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "distinct")
@@ -231,49 +234,71 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return prints.join(written(classes, "classes"), "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Parts of a wide fingerprint, how many bits candidates may differ in, and the bits of a bucket.
-PARTS, WIDE_RADIUS, BUCKET_BITS = 5, 88, 12
+#: Parts of a wide fingerprint, and how many bits candidates may differ in.
+PARTS, WIDE_RADIUS = 5, 88
+#: Of pairs at exactly 0.8: the share of equal bits that most have at least, and the chance of no shared bucket that is left.
+EQUAL_BITS, MISSED = 0.84, 0.002
 #: The least Jaccard similarity of the shingle sets of a link.
 SIMILARITY = 0.8
-#: The bits of each bucket: all but a few of a fingerprint's, dealt out twice.
-_DEALS = np.random.default_rng(42)
-PLACES = np.concatenate([_DEALS.permutation(64 * PARTS)[: 64 * PARTS // BUCKET_BITS * BUCKET_BITS].reshape(-1, BUCKET_BITS) for _ in range(2)])
 
 
-def bucket_keys(bits: np.ndarray) -> np.ndarray:
+def bits_for(rows: int) -> int:
+    """The bits of a bucket, from 12 to 24, at which evenly spread fingerprints fill it with about ``BUCKET`` rows."""
+    return min(24, max(12, (rows // BUCKET).bit_length()))
+
+
+def places_for(bits: int) -> np.ndarray:
+    """The bits of each bucket: all of a fingerprint's but a remainder, dealt out as often as the chance needs."""
+    deals = np.random.default_rng(42)
+    each = 64 * PARTS // bits
+    times = math.ceil(math.log(MISSED) / math.log(1 - EQUAL_BITS**bits) / each)
+    return np.concatenate([deals.permutation(64 * PARTS)[: each * bits].reshape(-1, bits) for _ in range(times)])
+
+
+def bucket_keys(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     """(rows, buckets): the bits of each bucket of fingerprints of ``PARTS`` parts, as a number."""
     single = np.unpackbits(np.ascontiguousarray(bits).astype(">u8").view(np.uint8).reshape(-1, 8 * PARTS), axis=1)
-    out = np.zeros((len(single), len(PLACES)), np.int64)
-    for k in range(BUCKET_BITS):
-        out = out * 2 + single[:, PLACES[:, k]]
+    out = np.zeros((len(single), len(places)), np.int64)
+    for k in range(places.shape[1]):
+        out = out * 2 + single[:, places[:, k]]
     return out
 
 
-def candidates(ids: np.ndarray, bits: np.ndarray, split: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (greater id, less id) of one bucket's rows within the radius, those for which it is the first they share.
+def candidates(ids: np.ndarray, bits: np.ndarray, component: np.ndarray, split: int, radius: int, places: np.ndarray, firsts: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (greater id, less id) of one bucket's rows within the radius; ``split`` is as in ``stars``.
 
-    ``bits`` has the number of the bucket after the parts of the fingerprint; ``split`` is as in ``stars``.
+    With ``firsts`` each row is paired with the first that is near it alone.  Otherwise with all of
+    other components, if this is the first bucket that the two share.  ``bits`` has the number of
+    the bucket after the parts of the fingerprint.
     """
     n, step = len(bits), 512
     bits, bucket = bits[:, :PARTS], int(bits[0, PARTS])
+    linked = np.zeros(n, bool)
     left, right = (range(0, n, step), range(0, n, step)) if not split else (range(0, split, step), range(split, n, step))
     for a in left:
+        a_end = min(a + step, split or n)
         for b in right:
+            b_end = min(b + step, n)
             if not split and b < a:
                 continue
-            one, other = bits[a : min(a + step, split or n)], bits[b : b + step]
-            apart = np.zeros((len(one), len(other)), np.int16)
+            apart = np.zeros((a_end - a, b_end - b), np.int16)
             for part in range(PARTS):
-                apart += np.bitwise_count(one[:, None, part] ^ other[None, :, part])
+                apart += np.bitwise_count(bits[a:a_end, None, part] ^ bits[None, b:b_end, part])
             close = apart <= radius
             if not split and a == b:
                 close = np.triu(close, 1)
-            x, y = np.nonzero(close)
+            if firsts:
+                y = np.flatnonzero(close.any(axis=0) & ~linked[b:b_end])
+                x = close[:, y].argmax(axis=0)
+                linked[b + y] = True
+            else:
+                x, y = np.nonzero(close & (component[a:a_end, None] != component[None, b:b_end]))
             for at in range(0, len(x), 8192):
-                i, j = x[at : at + 8192], y[at : at + 8192]
-                first = np.argmax(bucket_keys(one[i]) == bucket_keys(other[j]), axis=1) == bucket
-                i, j = ids[a + i[first]], ids[b + j[first]]
-                yield np.maximum(i, j), np.minimum(i, j)
+                i, j = a + x[at : at + 8192], b + y[at : at + 8192]
+                if not firsts:
+                    own = np.argmax(bucket_keys(bits[i], places) == bucket_keys(bits[j], places), axis=1) == bucket
+                    i, j = i[own], j[own]
+                yield np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -304,13 +329,64 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.when(sizes, shared / (F.size("one") + F.size("other") - shared) >= similarity).otherwise(False)).select("a", "b")
 
 
-def similar(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of every row of ``docs`` (doc_id, text): the least doc_id that similar texts lead to.
+def connected(distinct: DataFrame, keyed: Callable[[DataFrame], DataFrame], near: Callable[..., Iterator], sets: DataFrame, radius: int, tile: int, similarity: float) -> DataFrame:
+    """(id, component) of the rows of ``distinct`` (id, ...) that links of at least this similarity join.
+
+    ``keyed`` puts rows with their component into buckets (bucket, ones, id, bits, component);
+    ``near`` finds candidates among a unit's rows; ``sets`` (id, shingles) verify them.  First each
+    row meets one near row of each unit, which joins groups of near copies without all their
+    pairs.  Then all candidates that are still in different components are verified, so that no
+    link is lost.
+    """
 
-    Texts are linked whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
-    Wide fingerprints find candidates, whose sets are then compared.  Equal sets are compared
-    once, however often they occur.  Null and empty texts are alike; a row without doc_id joins its
-    component but does not name it.
+    def pairs(rows: DataFrame, firsts: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for unit in groups(batches, "unit"):
+                if unit.num_rows < 2:
+                    continue
+                side = unit.column("side").to_numpy()
+                split = int(np.count_nonzero(side == 1)) if side[0] else 0
+                for a, b in near(unit.column("id").to_numpy(), unit.column("bits").combine_chunks(), unit.column("component").to_numpy(), split, firsts):
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        return written(dealt(keyed(rows), radius, tile).mapInArrow(run, "a long, b long").distinct(), "candidates")
+
+    def similar_ones(found: DataFrame) -> DataFrame:
+        wanted = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
+        held = written(sets.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
+        out = written(verified(found, held, similarity), "links")
+        for gone in (held, found):
+            forget(gone)
+        return out
+
+    first = written(components(similar_ones(pairs(distinct.withColumn("component", F.col("id")), True))), "first-components")
+    rows = written(distinct.join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "with-components")
+    more = similar_ones(pairs(rows, False))
+    across = more.join(rows.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(rows.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
+    second = components(across.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("joined"))
+    return written(rows.select("id", "component").join(second, "component", "left").select("id", F.coalesce("joined", "component").alias("component")), "all-components")
+
+
+def classes_of(distinct: DataFrame, joined: DataFrame) -> DataFrame:
+    """(id, component_id) of ``distinct`` (id, least, ...): the least of its component in ``joined`` (id, component)."""
+    classes = distinct.select("id", "least").join(joined, "id")
+    named = written(classes.groupBy("component").agg(F.min("least").alias("component_id")), "components")  # a plain join on a hot component can be split
+    return written(classes.join(named, "component").select("id", "component_id"), "classes")
+
+
+def similar(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY, bits: int | None = None) -> DataFrame:
+    """(doc_id, row, component_id, first) of every row of ``docs`` (doc_id, text): the least doc_id that similar texts lead to.
+
+    Texts are linked whose sets of shingles have a Jaccard similarity of ``similarity`` or more, if
+    the search finds them: wide fingerprints are candidates where they share a bucket of ``bits``
+    bits (by the number of rows, if not given) and lie within ``radius``, which of pairs at exactly
+    0.8 at least 0.99 do, of closer ones more; candidates' sets are then compared.  Equal sets are
+    compared once, however often they occur.  Null and empty texts are alike; a row without doc_id
+    joins its component but does not name it, so that one of such rows alone has a null id.
+    ``row`` is a hash of the row's doc_id and text, and ``first`` says whether it is the row of its
+    component to keep: one with the least doc_id, then of least hash; repeated rows are alike in
+    all of this.  Texts of any length are read whole; an empty table gives no rows; other columns
+    are ignored, whatever their names.
     """
 
     def make():
@@ -318,39 +394,33 @@ def similar(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, similari
             sets = [distinct_hashes(t, words) for t in batch.column("text").to_pylist()]
             made = np.array([wide_fingerprint(x, PARTS) for x in sets], np.uint64).reshape(-1, PARTS)
             ids = [set_id(x) for x in sets]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(list(made.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "id", "bits"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.int64()), pa.array(list(made.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "row", "id", "bits"])
 
         return step
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                bits = some.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, PARTS)
-                found = bucket_keys(bits) + (np.arange(len(PLACES)) << BUCKET_BITS)
-                rows = np.repeat(np.arange(len(bits)), len(PLACES))
-                wide = np.concatenate([bits[rows].view(np.int64), np.tile(np.arange(len(PLACES)), len(bits))[:, None]], axis=1)
-                ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1)), pa.array(ones[rows]), pa.array(some.column("id").to_numpy()[rows]), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (PARTS + 1)), pa.array(wide.reshape(-1)))], ["bucket", "ones", "id", "bits"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups(batches, "unit"):
-            if rows.num_rows < 2:
-                continue
-            side = rows.column("side").to_numpy()
-            ids = rows.column("id").to_numpy()
-            bits = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-            for a, b in candidates(ids, bits, int(np.count_nonzero(side == 1)) if side[0] else 0, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    prints = written(map_rows(docs.select("doc_id", text_or_empty()), make, "doc_id long, id long, bits array<long>"), "wide")
-    distinct = written(prints.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits")), "distinct-wide")
-    keyed = distinct.select("id", "bits").mapInArrow(keys, "bucket long, ones int, id long, bits array<long>")
-    pairs = written(dealt(keyed, radius, TILE).mapInArrow(run, "a long, b long"), "wide-pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = written(shingle_sets(docs, words).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "wide-sets")
-    joined = components(written(verified(pairs, sets, similarity), "wide-links"))
-    classes = distinct.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = written(classes.groupBy("component").agg(F.min("least").alias("component_id")), "components")  # a plain join on a hot component can be split
-    classes = classes.join(named, "component").select("id", "component_id")
-    return prints.join(written(classes, "wide-classes"), "id").select("doc_id", "component_id")
+    prints = written(map_rows(docs.select("doc_id", row_hash().alias("row"), text_or_empty()), make, "doc_id long, row long, id long, bits array<long>"), "wide")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    distinct = written(prints.groupBy("id").agg(F.min(key).alias("least"), F.first("bits").alias("bits")), "distinct-wide")
+    places = places_for(bits or bits_for(distinct.count()))
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    some = batch.slice(at, 512)
+                    held = some.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, PARTS)
+                    found = bucket_keys(held, places) + (np.arange(len(places)) << places.shape[1])
+                    at_row = np.repeat(np.arange(len(held)), len(places))
+                    wide = np.concatenate([held[at_row].view(np.int64), np.tile(np.arange(len(places)), len(held))[:, None]], axis=1)
+                    ones = np.bitwise_count(held).sum(axis=1, dtype=np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at_row) + 1, dtype=np.int32) * (PARTS + 1)), pa.array(wide.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1)), pa.array(ones[at_row]), *(pa.array(some.column(c).to_numpy()[at_row]) for c in ("id", "component")), lists], ["bucket", "ones", "id", "component", "bits"])
+
+        return rows.select("id", "component", "bits").mapInArrow(keys, "bucket long, ones int, id long, component long, bits array<long>")
+
+    def near(ids: np.ndarray, held: pa.Array, component: np.ndarray, split: int, firsts: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return candidates(ids, held.flatten().to_numpy().view(np.uint64).reshape(len(ids), -1), component, split, radius, places, firsts)
+
+    joined = connected(distinct.select("id", "bits"), keyed, near, shingle_sets(docs, words), radius, TILE, similarity)
+    named = prints.join(classes_of(distinct, joined), "id")
+    return named.select("doc_id", "row", F.col("component_id.doc_id").alias("component_id"), (key == F.col("component_id")).alias("first"))
