@@ -1,9 +1,8 @@
 """A corpus pipeline of five stages over ``documents``; each stage reads what the one before wrote.
 
-Duplicated doc_ids would be judged together where a stage joins its verdicts back, so rows get
-their verdict by doc_id: rows that share a doc_id all go if the operator rejects one of them, and
-of a near-duplicate group the rows with its least doc_id stay.  Rows without doc_id are judged as
-one document.
+Verdicts are joined back by doc_id and a hash of what they were reached from, so that each row has
+its own, even where rows share a doc_id or have none.  Repeated rows share a verdict: they pass the
+filters together, and of a near-duplicate group one row alone stays.
 """
 
 from __future__ import annotations
@@ -15,32 +14,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.llm import packing, pii, quality, simhash, toxicity
-from agora.llm.common import shared_dir, table
+from agora.llm.common import row_hash, shared_dir, table, written
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``rejected`` (doc_id), in the columns of ``docs``."""
-    gone = rejected.distinct().select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def _rows(docs: DataFrame, judged: DataFrame, *read: str, how: str) -> DataFrame:
+    """The rows of ``docs`` that are (left_semi) or are not (left_anti) among ``judged`` (doc_id, row)."""
+    found = judged.distinct().select(F.col("doc_id").alias("_doc_id"), F.col("row").alias("_row"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_doc_id"]) & (row_hash(*read) == found["_row"]), how)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality.judge(docs).where("NOT kept").select("doc_id"))
+    """Rejects what fails the base rules or lies outside its language's perplexity band.
+
+    Null and empty texts fail; texts are read whole; an empty table stays empty.
+    """
+    judged = quality.judge(docs.withColumn("row", row_hash("lang")), "row")
+    return _rows(docs, judged.where("NOT kept").select("doc_id", "row"), "lang", how="left_anti")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, toxicity.judge(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id"))
+    """Rejects what the classifier predicts to be toxic; null and empty texts stay; an empty table stays empty."""
+    judged = toxicity.judge(docs.withColumn("row", row_hash()), table(spark, sf_dir, "labels"), "row")
+    return _rows(docs, judged.where("predicted = 1").select("doc_id", "row"), how="left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, simhash.similar(docs, words=5).where("doc_id != component_id").select("doc_id"))
+    """Keeps one row of each group of similar texts: one of the least doc_id, rows without doc_id last.
+
+    Null and empty texts are one group; of repeated rows one stays; an empty table stays empty.
+    """
+    first = written(simhash.similar(docs, words=5).where("first").groupBy("doc_id", "row").agg(F.count("*").alias("n")), "kept")
+    kept = _rows(docs, first.select("doc_id", "row"), how="left_semi")
+    several = first.where("n > 1").select("doc_id", "row")
+    once = _rows(kept, several, how="left_semi").dropDuplicates(["doc_id", "text"])
+    return _rows(kept, several, how="left_anti").unionByName(once)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts tags in the place of personal data; null texts stay null; repeated rows stay; an empty table stays empty."""
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 ids; null texts are empty; an empty table gives no pieces."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, size=2048)
 
 
