@@ -67,6 +67,15 @@ def row_hash(*others: str) -> Column:
     return F.xxhash64("doc_id", "text", *others)
 
 
+#: Tables are sent to every task up to so many bytes; larger ones are joined by shuffles.
+BROADCAST_BYTES = 16 << 20
+
+
+def sent_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """The frame, marked to be sent to every task if its rows, of at most so many bytes each, are few enough."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Runs of rows with equal keys in a sorted stream, each whole, though batches cut them."""
     held: list[pa.RecordBatch] = []

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, text_or_empty, written
-from .simhash import classes_of, connected, set_id
+from .simhash import classes_of, connected, linked, set_id
 
 #: Words of a shingle, slots of a signature, bands, and the type of a slot.
 WORDS, SLOTS, BANDS, SLOT = 5, 128, 32, np.uint16
@@ -188,23 +188,22 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     signed = written(signatures(docs), "signatures")
     distinct = written(signed.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature")), "distinct-signatures")
 
-    def keyed(rows: DataFrame) -> DataFrame:
-        """Rows (bucket, ones, id, bits, component) of buckets with two texts at least; signatures join them alone."""
-        banded = rows.select("id", F.explode(band_keys(F.col("signature"))).alias("bucket"))
-        shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        return banded.join(shared, "bucket").join(rows, "id").select("bucket", F.lit(0).alias("ones"), "id", F.col("signature").alias("bits"), "component")
+    banded = distinct.select("id", F.explode(band_keys(F.col("signature"))).alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    # signatures join those alone that share a bucket with another
+    keyed = banded.join(shared, "bucket").join(distinct, "id").select("bucket", F.lit(0).alias("ones"), "id", F.col("signature").alias("bits"))
 
-    def near(ids: np.ndarray, bits: pa.Array, component: np.ndarray, split: int, firsts: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def near(ids: np.ndarray, bits: pa.Array, split: int) -> tuple[list, list]:
         slots = np.frombuffer(b"".join(bits.to_pylist()), SLOT).reshape(len(ids), SLOTS)
-        linked = np.zeros(len(ids), bool)
+        found: dict[int, list[np.ndarray]] = {}
         for at in range(split or len(ids)):
             others = split or at + 1
-            close = np.count_nonzero(slots[others:] == slots[at], axis=1) >= (similarity - SLACK) * SLOTS
-            close &= ~linked[others:] if firsts else component[others:] != component[at]
-            found = others + np.flatnonzero(close)
-            linked[found] = True
-            if len(found):
-                yield np.maximum(ids[found], ids[at]), np.minimum(ids[found], ids[at])
-
-    joined = connected(distinct.select("id", "signature"), keyed, near, shingle_sets(docs), 0, BUCKET_ROWS, similarity)
+            close = others + np.flatnonzero(np.count_nonzero(slots[others:] == slots[at], axis=1) >= (similarity - SLACK) * SLOTS)
+            if len(close):
+                found.setdefault(at, []).append(close)
+                for other in close.tolist():
+                    found.setdefault(other, []).append(np.array([at]))
+        return linked(ids, found)
+
+    joined = connected(keyed, near, shingle_sets(docs), 0, BUCKET_ROWS, similarity)
     return signed.join(classes_of(distinct, joined), "id").select("doc_id", F.col("component_id").alias("class_id"))

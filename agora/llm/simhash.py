@@ -11,8 +11,8 @@ reaches and where chance pairs begin.  ``similar`` takes fingerprints of 320 bit
 hashes of its distinct shingles, and looks for candidates within 88 bits in buckets of some equal
 bits.  How many bits a bucket has follows the number of rows, so that buckets stay small; how many
 buckets there are follows that, so that a pair at exactly 0.8 shares one with a chance of 0.99 or
-more (simulated: 0.9987 of 12 bits, 0.9913 of 24; nearer pairs more).  Candidates are joined to their sets of shingles, and those of a Jaccard similarity of 0.8 or
-more are links.
+more (simulated: 0.9987 of 12 bits, 0.9913 of 24; nearer pairs more).  What candidates join
+is a group, whose sets of shingles come together; those of a Jaccard similarity of 0.8 or more are links.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forget, groups, map_rows, row_hash, text_or_empty, written
+from .common import components, forget, groups, map_rows, row_hash, sent_if_small, text_or_empty, written
 
 SEED = 42
 #: Rows of a tile: at most two of them meet in a task at once.
@@ -111,6 +111,29 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def linked(ids: np.ndarray, near: dict[int, list[np.ndarray]]) -> tuple[list, list]:
+    """Links that join what rows near each other join: each row with the least id of its kind; ``near`` goes both ways."""
+    seen = np.zeros(len(ids), bool)
+    out_a, out_b = [], []
+    for start in near:
+        if seen[start]:
+            continue
+        seen[start] = True
+        members, at = [start], 0
+        while at < len(members):
+            for some in near.get(members[at], ()):
+                fresh = some[~seen[some]]
+                seen[fresh] = True
+                members.extend(fresh.tolist())
+            at += 1
+        mine = ids[members]
+        least = int(mine.min())
+        mine = mine[mine != least]
+        out_a.extend(mine.tolist())
+        out_b.extend([least] * len(mine))
+    return out_a, out_b
+
+
 def stars(ids: np.ndarray, bits: np.ndarray, split: int, radius: int) -> tuple[list, list]:
     """Links that connect what lies within the radius: each row with the least of its kind.
 
@@ -143,25 +166,7 @@ def stars(ids: np.ndarray, bits: np.ndarray, split: int, radius: int) -> tuple[l
             if split or a != b:
                 for row in np.flatnonzero(close.any(axis=0)).tolist():
                     near.setdefault(b + row, []).append(a + np.flatnonzero(close[:, row]))
-    seen = np.zeros(n, bool)
-    out_a, out_b = [], []
-    for start in near:
-        if seen[start]:
-            continue
-        seen[start] = True
-        members, at = [start], 0
-        while at < len(members):
-            for some in near.get(members[at], ()):
-                fresh = some[~seen[some]]
-                seen[fresh] = True
-                members.extend(fresh.tolist())
-            at += 1
-        mine = ids[members]
-        least = int(mine.min())
-        mine = mine[mine != least]
-        out_a.extend(mine.tolist())
-        out_b.extend([least] * len(mine))
-    return out_a, out_b
+    return linked(ids, near)
 
 
 def links(found: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
@@ -191,7 +196,7 @@ def dealt(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
         """How many tiles the rows with this population count have in their bucket."""
         return F.ceil(F.element_at("by_ones", ones) / tile).cast("int")
 
-    own = F.struct(F.col("ones"), F.pmod(F.xxhash64("bits"), parts(F.col("ones"))).cast("int").alias("part"))
+    own = F.struct(F.col("ones"), F.pmod(F.xxhash64("id"), parts(F.col("ones"))).cast("int").alias("part"))
     others = F.flatten(F.transform(F.filter(F.map_keys("by_ones"), lambda o: F.abs(o - F.col("ones")) <= radius), lambda o: F.transform(F.sequence(F.lit(0), parts(o) - 1), lambda p: F.struct(o.alias("ones"), p.cast("int").alias("part")))))
     units = joined.withColumn("own", F.when(F.col("all").isNotNull(), own)).withColumn("other", F.explode(F.when(F.col("all").isNotNull(), others).otherwise(F.array(F.lit(None).cast("struct<ones:int,part:int>")))))
     unit = F.when(F.col("own").isNull(), F.xxhash64("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
@@ -264,43 +269,6 @@ def bucket_keys(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates(ids: np.ndarray, bits: np.ndarray, component: np.ndarray, split: int, radius: int, places: np.ndarray, firsts: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (greater id, less id) of one bucket's rows within the radius; ``split`` is as in ``stars``.
-
-    With ``firsts`` each row is paired with the first that is near it alone.  Otherwise with all of
-    other components, if this is the first bucket that the two share.  ``bits`` has the number of
-    the bucket after the parts of the fingerprint.
-    """
-    n, step = len(bits), 512
-    bits, bucket = bits[:, :PARTS], int(bits[0, PARTS])
-    linked = np.zeros(n, bool)
-    left, right = (range(0, n, step), range(0, n, step)) if not split else (range(0, split, step), range(split, n, step))
-    for a in left:
-        a_end = min(a + step, split or n)
-        for b in right:
-            b_end = min(b + step, n)
-            if not split and b < a:
-                continue
-            apart = np.zeros((a_end - a, b_end - b), np.int16)
-            for part in range(PARTS):
-                apart += np.bitwise_count(bits[a:a_end, None, part] ^ bits[None, b:b_end, part])
-            close = apart <= radius
-            if not split and a == b:
-                close = np.triu(close, 1)
-            if firsts:
-                y = np.flatnonzero(close.any(axis=0) & ~linked[b:b_end])
-                x = close[:, y].argmax(axis=0)
-                linked[b + y] = True
-            else:
-                x, y = np.nonzero(close & (component[a:a_end, None] != component[None, b:b_end]))
-            for at in range(0, len(x), 8192):
-                i, j = a + x[at : at + 8192], b + y[at : at + 8192]
-                if not firsts:
-                    own = np.argmax(bucket_keys(bits[i], places) == bucket_keys(bits[j], places), axis=1) == bucket
-                    i, j = i[own], j[own]
-                yield np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])
-
-
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(id, shingles: array<long>) of every row: its distinct shingles' hashes, sorted, and their hash."""
 
@@ -320,56 +288,95 @@ def set_id(hashes: np.ndarray) -> int:
     return found - (1 << 64) if found >> 63 else found
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose ``sets`` (id, shingles) have at least this Jaccard similarity."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("other")), "b")
-    # sets whose sizes alone rule the similarity out are not compared
-    sizes = F.least(F.size("one"), F.size("other")) / F.greatest(F.size("one"), F.size("other")) >= similarity
-    shared = F.size(F.array_intersect("one", "other"))
-    return both.where(F.when(sizes, shared / (F.size("one") + F.size("other") - shared) >= similarity).otherwise(False)).select("a", "b")
+def shared_counts(sets: list[np.ndarray], split: int, step: int = 4096) -> np.ndarray:
+    """How many elements each two of some sorted sets share: of all, or of those before ``split`` with those from it on.
 
+    Elements of one set alone are left out; the others are columns of 0 and 1, multiplied ``step`` at a time.
+    """
+    every, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(every, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(times > 1)
+    place = np.full(len(times), -1)
+    place[often] = np.arange(len(often))
+    column = place[column]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    n = split or len(sets)
+    out = np.zeros((n, len(sets) - split), np.int64)
+    for at in range(0, len(often), step):
+        a, b = np.searchsorted(column, [at, at + step])
+        held = np.zeros((len(sets), min(step, len(often) - at)), np.float32)
+        held[row[a:b], column[a:b] - at] = 1
+        out += (held[:n] @ held[split:].T).astype(np.int64)
+    return out
 
-def connected(distinct: DataFrame, keyed: Callable[[DataFrame], DataFrame], near: Callable[..., Iterator], sets: DataFrame, radius: int, tile: int, similarity: float) -> DataFrame:
-    """(id, component) of the rows of ``distinct`` (id, ...) that links of at least this similarity join.
 
-    ``keyed`` puts rows with their component into buckets (bucket, ones, id, bits, component);
-    ``near`` finds candidates among a unit's rows; ``sets`` (id, shingles) verify them.  First each
-    row meets one near row of each unit, which joins groups of near copies without all their
-    pairs.  Then all candidates that are still in different components are verified, so that no
-    link is lost.
+def exact_links(ids: np.ndarray, sets: list[np.ndarray], split: int, similarity: float) -> tuple[list, list]:
+    """Links that join all rows whose sets have at least this Jaccard similarity; ``split`` is as in ``stars``."""
+    sizes = np.array([len(x) for x in sets])
+    shared = shared_counts(sets, split)
+    n = split or len(sets)
+    whole = sizes[:n, None] + sizes[None, split:] - shared
+    close = (shared >= similarity * whole) & (whole > 0)
+    if not split:
+        np.fill_diagonal(close, False)
+    near: dict[int, list[np.ndarray]] = {}
+    for k in np.flatnonzero(close.any(axis=1)).tolist():
+        near.setdefault(k, []).append(split + np.flatnonzero(close[k]))
+    if split:
+        for k in np.flatnonzero(close.any(axis=0)).tolist():
+            near.setdefault(split + k, []).append(np.flatnonzero(close[:, k]))
+    return linked(ids, near)
+
+
+#: Rows of a tile of shingle sets.
+SETS_TILE = 512
+
+
+def connected(keyed: DataFrame, near: Callable[[np.ndarray, pa.Array, int], tuple[list, list]], sets: DataFrame, radius: int, tile: int, similarity: float) -> DataFrame:
+    """(id, component) of rows that links of at least this similarity join; rows without a link are not returned.
+
+    ``near`` links the rows of a unit of ``keyed`` (bucket, ones, id, bits) that may be similar.
+    What these links join is a group of candidates; its ``sets`` (id, shingles) come together, in
+    pairs of tiles if they are many, where each two are compared exactly.  A unit returns a link a
+    row at most, so that neither step's output grows with the pairs of a group.
     """
 
-    def pairs(rows: DataFrame, firsts: bool) -> DataFrame:
+    def over(link: Callable[[pa.Table, int], tuple[list, list]]) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for unit in groups(batches, "unit"):
                 if unit.num_rows < 2:
                     continue
                 side = unit.column("side").to_numpy()
-                split = int(np.count_nonzero(side == 1)) if side[0] else 0
-                for a, b in near(unit.column("id").to_numpy(), unit.column("bits").combine_chunks(), unit.column("component").to_numpy(), split, firsts):
+                a, b = link(unit, int(np.count_nonzero(side == 1)) if side[0] else 0)
+                if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        return written(dealt(keyed(rows), radius, tile).mapInArrow(run, "a long, b long").distinct(), "candidates")
+        return run
+
+    def maybe(unit: pa.Table, split: int) -> tuple[list, list]:
+        return near(unit.column("id").to_numpy(), unit.column("bits").combine_chunks(), split)
 
-    def similar_ones(found: DataFrame) -> DataFrame:
-        wanted = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
-        held = written(sets.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
-        out = written(verified(found, held, similarity), "links")
-        for gone in (held, found):
-            forget(gone)
-        return out
+    def surely(unit: pa.Table, split: int) -> tuple[list, list]:
+        held = unit.column("bits").combine_chunks()
+        return exact_links(unit.column("id").to_numpy(), np.split(held.flatten().to_numpy(), held.offsets.to_numpy()[1:-1] - held.offsets[0].as_py()), split, similarity)
 
-    first = written(components(similar_ones(pairs(distinct.withColumn("component", F.col("id")), True))), "first-components")
-    rows = written(distinct.join(first, "id", "left").withColumn("component", F.coalesce("component", "id")), "with-components")
-    more = similar_ones(pairs(rows, False))
-    across = more.join(rows.select(F.col("id").alias("a"), F.col("component").alias("x")), "a").join(rows.select(F.col("id").alias("b"), F.col("component").alias("y")), "b")
-    second = components(across.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("joined"))
-    return written(rows.select("id", "component").join(second, "component", "left").select("id", F.coalesce("joined", "component").alias("component")), "all-components")
+    candidates = written(dealt(keyed, radius, tile).mapInArrow(over(maybe), "a long, b long").distinct(), "candidates")
+    together = written(components(candidates), "candidate-groups")
+    held = sets.join(sent_if_small(together, 32), "id").dropDuplicates(["id"])
+    held = written(held.select(F.col("component").alias("bucket"), F.lit(0).alias("ones"), "id", F.col("shingles").alias("bits")), "candidate-sets")
+    links = written(dealt(held, 0, SETS_TILE).mapInArrow(over(surely), "a long, b long").distinct(), "links")
+    for gone in (candidates, together, held):
+        forget(gone)
+    joined = written(components(links), "components")
+    forget(links)
+    return joined
 
 
 def classes_of(distinct: DataFrame, joined: DataFrame) -> DataFrame:
-    """(id, component_id) of ``distinct`` (id, least, ...): the least of its component in ``joined`` (id, component)."""
-    classes = distinct.select("id", "least").join(joined, "id")
+    """(id, component_id) of ``distinct`` (id, least, ...): the least of its component in ``joined`` (id, component), or its own."""
+    classes = distinct.select("id", "least").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = written(classes.groupBy("component").agg(F.min("least").alias("component_id")), "components")  # a plain join on a hot component can be split
     return written(classes.join(named, "component").select("id", "component_id"), "classes")
 
@@ -380,7 +387,8 @@ def similar(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, similari
     Texts are linked whose sets of shingles have a Jaccard similarity of ``similarity`` or more, if
     the search finds them: wide fingerprints are candidates where they share a bucket of ``bits``
     bits (by the number of rows, if not given) and lie within ``radius``, which of pairs at exactly
-    0.8 at least 0.99 do, of closer ones more; candidates' sets are then compared.  Equal sets are
+    0.8 at least 0.99 do, of closer ones more; the sets of all rows that
+    candidates join are then compared.  Equal sets are
     compared once, however often they occur.  Null and empty texts are alike; a row without doc_id
     joins its component but does not name it, so that one of such rows alone has a null id.
     ``row`` is a hash of the row's doc_id and text, and ``first`` says whether it is the row of its
@@ -403,24 +411,21 @@ def similar(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS, similari
     distinct = written(prints.groupBy("id").agg(F.min(key).alias("least"), F.first("bits").alias("bits")), "distinct-wide")
     places = places_for(bits or bits_for(distinct.count()))
 
-    def keyed(rows: DataFrame) -> DataFrame:
-        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    some = batch.slice(at, 512)
-                    held = some.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, PARTS)
-                    found = bucket_keys(held, places) + (np.arange(len(places)) << places.shape[1])
-                    at_row = np.repeat(np.arange(len(held)), len(places))
-                    wide = np.concatenate([held[at_row].view(np.int64), np.tile(np.arange(len(places)), len(held))[:, None]], axis=1)
-                    ones = np.bitwise_count(held).sum(axis=1, dtype=np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at_row) + 1, dtype=np.int32) * (PARTS + 1)), pa.array(wide.reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1)), pa.array(ones[at_row]), *(pa.array(some.column(c).to_numpy()[at_row]) for c in ("id", "component")), lists], ["bucket", "ones", "id", "component", "bits"])
-
-        return rows.select("id", "component", "bits").mapInArrow(keys, "bucket long, ones int, id long, component long, bits array<long>")
-
-    def near(ids: np.ndarray, held: pa.Array, component: np.ndarray, split: int, firsts: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        return candidates(ids, held.flatten().to_numpy().view(np.uint64).reshape(len(ids), -1), component, split, radius, places, firsts)
-
-    joined = connected(distinct.select("id", "bits"), keyed, near, shingle_sets(docs, words), radius, TILE, similarity)
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                held = some.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, PARTS)
+                found = bucket_keys(held, places) + (np.arange(len(places)) << places.shape[1])
+                row = np.repeat(np.arange(len(held)), len(places))
+                ones = np.bitwise_count(held).sum(axis=1, dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * PARTS), pa.array(held[row].view(np.int64).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1)), pa.array(ones[row]), pa.array(some.column("id").to_numpy()[row]), lists], ["bucket", "ones", "id", "bits"])
+
+    def near(ids: np.ndarray, held: pa.Array, split: int) -> tuple[list, list]:
+        return stars(ids, held.flatten().to_numpy().view(np.uint64).reshape(len(ids), -1), split, radius)
+
+    keyed = distinct.select("id", "bits").mapInArrow(keys, "bucket long, ones int, id long, bits array<long>")
+    joined = connected(keyed, near, shingle_sets(docs, words), radius, TILE, similarity)
     named = prints.join(classes_of(distinct, joined), "id")
     return named.select("doc_id", "row", F.col("component_id.doc_id").alias("component_id"), (key == F.col("component_id")).alias("first"))

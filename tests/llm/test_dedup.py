@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from agora.llm import minhash, simhash
 from agora.llm.common import components
@@ -60,7 +62,6 @@ def joined(n, linked):
 
 
 def test_simhash_components(spark, pairs):
-    pairs = [(i, t) for i, t in pairs if i != 905]
     prints = [plain_fingerprint(t) for _, t in pairs]
     roots = joined(len(pairs), [(a, b) for a in range(len(pairs)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4])
     least = {}
@@ -151,6 +152,44 @@ def test_similar_ignores_repeats_and_finds_pairs_at_the_similarity(spark):
     assert sum(by[2 * k + 1] == 2 * k for k in range(20, 220)) >= 199
 
 
+@pytest.mark.parametrize("bits", [16, 20])
+def test_similar_with_smaller_buckets(spark, bits):
+    """More bits a bucket, as for more rows: more buckets, and pairs at 0.8 to 0.85 are still found."""
+    rng, pairs = random.Random(14), []
+    for k in range(220):
+        words = prose(rng, 84).split()
+        pairs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + prose(rng, 14 + k % 7).split()))]
+    assert all(0.8 <= jaccard(pairs[2 * k][1], pairs[2 * k + 1][1]) <= 0.86 for k in range(220))
+    by = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, pairs), bits=bits).collect()}
+    assert sum(by[2 * k + 1] == 2 * k for k in range(220)) >= 216
+    assert simhash.bits_for(1000) == 12 < simhash.bits_for(10**8) <= 24
+
+
+def test_a_chain_of_similar_texts_is_one_component(spark):
+    """Each text is similar to the next alone, so first meetings do not join them all."""
+    words = prose(random.Random(15), 400).split()
+    pairs = [(k, " ".join(words[9 * k : 9 * k + 100])) for k in range(30)]
+    assert all(jaccard(pairs[k][1], pairs[k + 1][1]) >= 0.8 > jaccard(pairs[k][1], pairs[k + 2][1]) for k in range(28))
+    got = simhash.similar(frame(spark, pairs)).collect()
+    assert {r.component_id for r in got} == {0} and [r.doc_id for r in got if r.first] == [0]
+    assert {r.class_id for r in minhash.near_duplicates(frame(spark, pairs)).collect()} == {0}
+
+
+def test_links_of_a_group_are_few():
+    """A unit of near copies gives one link a row, not all pairs, and the exact comparison is that of plain sets."""
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 62, 5000))
+    sets = [np.sort(rng.choice(base, rng.integers(1, 300) if k % 3 else 4900, replace=False)) for k in range(90)]
+    for split in (0, 40):
+        a, b = simhash.exact_links(np.arange(90), sets, split, 0.8)
+        jac = lambda x, y: len(np.intersect1d(sets[x], sets[y])) / len(np.union1d(sets[x], sets[y]))
+        pairs = [(x, y) for x in range(split or 90) for y in range(split or x + 1, 90) if jac(x, y) >= 0.8]
+        want = joined(90, pairs)
+        assert len({frozenset((want[x], want[y])) for x, y in zip(a, b)} - {frozenset((r,)) for r in want}) == 0
+        assert len(a) == 90 - len(set(want)) and [g == h for g, h in zip(want, want)] and len(pairs) > len(a)
+        assert len(set(joined(90, list(zip(a, b))))) == len(set(want))
+
+
 def test_empty_tables(spark):
     nothing = frame(spark, [])
     assert simhash.near_duplicates(nothing).count() == simhash.similar(nothing).count() == minhash.compare_with_next(nothing).count() == minhash.near_duplicates(nothing).count() == 0
@@ -162,7 +201,25 @@ def test_components_of_a_path(spark):
     assert got == {k: 0 for k in range(51)} | {100: 100, 101: 100}
 
 
-def test_minhash_estimates(pairs):
+def plain_signature(text):
+    """The slots one by one, with Python's whole numbers."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    least = [0xFFFFFFFF] * minhash.SLOTS
+    for k in range(max(1, len(words) - 4) if words else 0):
+        mixed = 0
+        for word, by in zip(words[k : k + 5], minhash._MIX.tolist()):
+            mixed = (mixed + (zlib.crc32(word.encode()) + 1) * by) % 2**64
+        mixed ^= mixed >> 29
+        x = (mixed * 0xBF58476D1CE4E5B9) % 2**64 >> 32
+        least = [min(v, (a * x + b) % 2**32) for v, a, b in zip(least, minhash.A.tolist(), minhash.B.tolist())]
+    return [v % 2**16 for v in least]
+
+
+def hexed(slots):
+    return b"".join(v.to_bytes(2, "little") for v in slots).hex()
+
+
+def test_minhash_estimates():
     a = " ".join(f"w{k}" for k in range(300))
     b = " ".join(f"w{k}" for k in range(100, 400))
     assert abs(minhash.likeness(minhash.signature(a), minhash.signature(b)) - 196 / 396) < 0.15
@@ -172,21 +229,35 @@ def test_minhash_estimates(pairs):
 def test_compare_with_next(spark, pairs):
     got = minhash.compare_with_next(frame(spark, pairs).repartition(5)).collect()
     assert len(got) == len(pairs)
-    order = sorted(((i, t or "") for i, t in pairs), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    order = sorted(((i, t or "") for i, t in pairs), key=lambda x: (x[0] is None, -(x[0] or 0), signed(xxhash.xxh64_intdigest(x[1].encode(), 42))))
     want = []
     for (i, t), (_, following) in zip(order, order[1:] + order[:1]):
         half = len(t) // 2
-        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()))
-    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=repr) == sorted(want, key=repr)
-    by = {}
-    for r in got:
-        by.setdefault(r.doc_id, r)
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    assert by[900].fingerprint == by[901].fingerprint == by[902].fingerprint
+        edited = t[: len(t) - half] + following[:half]
+        slots = [plain_signature(x) for x in (t, edited, following)]
+        near = [sum(x == y for x, y in zip(slots[0], other)) / minhash.SLOTS for other in slots[1:]]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), hexed(slots[0]), hexed(slots[1]), *near))
+    assert sorted((tuple(r)[:7] for r in got), key=repr) == sorted(want, key=repr)
+    by = {r.doc_id: r for r in got}
+    assert by[901].fingerprint == by[902].fingerprint and set(by[901].bands) == set(by[902].bands)
+    assert len(by[903].bands) == minhash.BANDS and not set(by[903].bands) & set(by[902].bands)
     alone = minhash.compare_with_next(frame(spark, [(1, "one two three four five six")])).collect()
     assert alone[0].near_next == 1.0
 
 
+def test_one_doc_id_for_all_rows_can_be_cut(spark):
+    """Rows that share a doc_id, or have none, do not all meet in one range."""
+    docs = frame(spark, [(7, prose(random.Random(k), 8)) for k in range(400)]).repartition(4)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(4, "doc_id", "h")
+    assert keyed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 300
+    got = minhash.compare_with_next(docs).collect()
+    assert len(got) == 400 and len({r.edited_sha256 for r in got}) == 400
+
+
 def test_minhash_near_duplicates(spark):
     rng = random.Random(8)
     pairs = []

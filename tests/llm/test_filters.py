@@ -4,12 +4,15 @@ import collections
 import math
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from agora.llm import pii, quality, toxicity, url_filters
+from agora.llm.common import row_hash
 from agora.llm.queries import URL_RULES
 
 WORDS = "the of and river stone cloud over under bright morning window garden slowly carried letter street winter summer quiet voice table across small large found their every house water light".split()
@@ -75,6 +78,16 @@ def test_judged_like_brute_force(spark):
     assert got == plain_judge(pages, URL_RULES)
 
 
+def test_distrust_reaches_hosts_many_links_away(spark):
+    """Forty blocked hosts, linked to over a chain of fourteen: together they still cross the threshold at its start."""
+    pages = [(k, f"http://b{k}.net/", "") for k in range(40)]
+    pages += [(100 + k, f"http://c{k}.io/", f'<a href="http://c{k + 1}.io/">' if k < 13 else " ".join(f'<a href="http://b{j}.net/">' for j in range(40))) for k in range(14)]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), [("net/", "block")]).collect()}
+    assert got == plain_judge(pages, [("net/", "block")])
+    df = url_filters.judge(spark.createDataFrame([(1, "http://x.io/" + "p" * 200_000, "<p>" * 100_000)] * 2, "page_id long, url string, html string"), URL_RULES)
+    assert [len(r.path) for r in df.collect()] == [200_001] * 2
+
+
 def test_rule_ties_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.net/en/x", "", "r", 1.0), (1, "http://a.net/en/x", "", "r", 1.0)], "page_id long, url string, html string, rule string, trust double")
     got = url_filters.judge(pages, [("net/en/", "allow"), ("net/en/", "block"), ("net/", "block")]).collect()
@@ -187,6 +200,36 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert quality.judge(df.where("doc_id IN (200, 201)")).where("kept").count() == 0
 
 
+def test_bands_like_brute_force(spark):
+    """Loops of common words lie below their language's band, noise above; each language has its own."""
+    rng = random.Random(21)
+    rows = [(k, prose(rng, rng.randint(60, 160)), "en" if k % 2 else "de") for k in range(120)]
+    loop = "the of and river stone".split()
+    rows += [(500 + k, " ".join(w for _ in range(60) for w in rng.sample(loop, 5)), "en") for k in range(3)]
+    rows += [(600 + k, " ".join("".join(rng.choice("qxzjkvw") for _ in range(6)) for _ in range(60)), "de") for k in range(3)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for lang in ("en", "de"):
+        held = sorted(got[i].log_perplexity for i, _, x in rows if x == lang and not got[i].base_failed)
+        middle = held[(len(held) - 1) // 2]
+        mad = max(quality.LEAST_MAD, sorted(abs(x - middle) for x in held)[(len(held) - 1) // 2])
+        for i, _, x in rows:
+            if x == lang:
+                inside = middle - quality.LOWER * mad <= got[i].log_perplexity <= middle + quality.UPPER * mad
+                assert got[i].kept == (inside and not got[i].base_failed), i
+    assert all(got[k].kept for k in range(120))
+    low, high = [got[500 + k] for k in range(3)], [got[600 + k] for k in range(3)]
+    assert not any(r.base_failed or r.kept for r in low + high)
+    assert max(r.log_perplexity for r in low) < min(got[k].log_perplexity for k in range(1, 120, 2))
+
+
+def test_counts_in_several_goes_are_the_same(spark, monkeypatch):
+    rows = [(k, prose(random.Random(k), 400)) for k in range(30)] + [(99, "x" * 300_000 + prose(random.Random(5), 20_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {r.gram: (r.n, r.seen) for r in quality.count_grams(docs).collect()}
+    counts = collections.Counter(g for _, t in rows for g in quality.grams(t).view(np.int64).tolist())
+    assert {g: seen for g, (_, seen) in want.items()} == counts
+
+
 # --- toxicity
 
 
@@ -219,13 +262,57 @@ def test_toxicity_learns_and_spares_neutral_mentions(spark):
     assert model.score(neutral) <= free.score(neutral)
 
 
-def test_toxicity_learns_from_all_rows_but_near_copies():
+def test_near_copies_share_a_weight_and_no_row_is_dropped():
     rng = random.Random(9)
     rows = [("government " + prose(rng, 60), k % 2) for k in range(100)]  # texts that share a long word
     copies = [(t + " and more", k) for t, k in rows[:20]]
-    assert toxicity._without_copies(rows + copies) == rows
-    late = [f"nothing {k}." for k in range(60)] + ["the women sang"]
-    assert any("sang" in a for a, _ in toxicity._pairs([" ".join(late)], toxicity.IDENTITY_TERMS, 1))
+    weights = toxicity.copy_weights([toxicity.take_apart(t, k) for t, k in rows + copies])
+    assert weights.tolist() == [0.5] * 20 + [1.0] * 80 + [0.5] * 20
+
+
+def test_every_sentence_is_read():
+    taken = toxicity.take_apart(" ".join(f"nothing {k}." for k in range(90)) + " the women and men sang", 0)
+    assert taken.sentences == {((), ()): 90, (("men", "women"), ()): 1}
+
+
+def test_swaps_like_brute_force():
+    """Q against the mean squared change over every swap of every sentence, and the loss's slopes against differences."""
+    terms = {"x": ["women", "men", "jewish"], "y": ["noir", "blanc"]}
+    texts = ["women sang. the women and men. nothing here", "womens noir! jewish", "plain words only"]
+    rows = [toxicity.take_apart(t, k % 2, terms) for k, t in enumerate(texts)]
+    grams = sorted(toxicity.named_grams(terms)) + ["nothing", "<plain>"]
+    place, rng = {g: k for k, g in enumerate(grams)}, np.random.default_rng(3)
+    share = np.array([1.0, 0.5, 1.0])
+    q, w = toxicity.swap_matrix(rows, share, terms, place), rng.random(len(place))
+
+    def score(words):
+        return sum(w[place[g]] for g in set().union(*(toxicity.word_grams(f"<{x}>") for x in words), set()) if g in place)
+
+    total = whole = 0.0
+    for text, s in zip(texts, share):
+        for sentence in filter(str.strip, re.split(r"[.!?]", text)):
+            words = set(sentence.split())
+            known = [t for listed in terms.values() for t in listed]
+            pairs = [(words, (words - {a}) | set(b)) for a in words & set(known) for b in [[], *([b] for listed in terms.values() if a in listed for b in listed if b != a)]]
+            pairs = pairs or [(words, words | {a}) for a in known] + [(words | {a}, words | {b}) for listed in terms.values() for k, a in enumerate(listed) for b in listed[:k]]
+            total += s * sum((score(a) - score(b)) ** 2 for a, b in pairs) / len(pairs)
+            whole += s
+    assert math.isclose(w @ q @ w, total / whole, rel_tol=1e-9)
+    x, labels, each, bias = rng.integers(0, 2, (5, len(place))).astype(float), np.array([0, 1, 1, 0, 1.0]), np.full(5, 0.2), -0.3
+    _, slope, slope_bias = toxicity.loss_and_gradient(w, bias, x, labels, each, q, 0.7)
+    for k in range(0, len(w), 5):
+        step = np.eye(len(w))[k] * 1e-6
+        high, low = (toxicity.loss_and_gradient(v, bias, x, labels, each, q, 0.7)[0] for v in (w + step, w - step))
+        assert math.isclose((high - low) / 2e-6, slope[k], rel_tol=1e-4, abs_tol=1e-7)
+    high, low = (toxicity.loss_and_gradient(w, b, x, labels, each, q, 0.7)[0] for b in (bias + 1e-6, bias - 1e-6))
+    assert math.isclose((high - low) / 2e-6, slope_bias, rel_tol=1e-4)
+
+
+def test_identity_terms_are_penalised_features():
+    """A group that toxic texts name more often gets a weight without the penalty, and next to none with it."""
+    rows = [toxicity.take_apart(t, y) for _, t, y in toxic_rows()]
+    free, bound = toxicity.fit(rows, counterfactual=0.0), toxicity.fit(rows, counterfactual=10.0)
+    assert free.weights["<muslim>"] > 0.1 and bound.weights.get("<muslim>", 0.0) < 0.2 * free.weights["<muslim>"]
 
 
 def test_toxicity_without_labels(spark):
@@ -239,10 +326,17 @@ def test_held_out_labels_are_not_learnt(spark):
     rows = toxic_rows()
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
-    import zlib
+    held = {frozenset(re.findall("[a-z]+", t.lower())) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    taken = {r.words for r in toxicity.sample(docs, labels)}
+    assert held and taken and not held & taken
 
-    held = {t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
-    assert held and not held & {t for t, _ in toxicity.sample(docs, labels)}
+
+def test_toxicity_of_long_repeated_and_clashing_rows(spark):
+    rows = toxic_rows()
+    docs = spark.createDataFrame([(i, t, 0.5, True) for i, t, _ in rows] + [(900, prose(random.Random(1), 200_000) + " you idiot scum", 0.1, False)] * 2, "doc_id long, text string, score double, held_out boolean")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = [r for r in toxicity.judge(docs, labels).collect() if r.doc_id == 900]
+    assert len(got) == 2 and got[0] == got[1] and got[0].predicted == 1
 
 
 # --- personal data
@@ -281,6 +375,17 @@ def test_luhn_and_mod97():
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
 
 
+def test_spans_of_long_texts_take_linear_time():
+    """Many spans, and runs that patterns could retry at each place."""
+    began = time.process_time()
+    assert len(pii.spans("call 555-123-4567 or +1 (269) 555-3296 " * 20_000)[1]) == 40_000
+    for text in ("1" * 500_000, "-a" * 200_000 + "===", "+1(" * 100_000, "a@" * 100_000):
+        pii.spans(text)
+    assert time.process_time() - began < 30
+    text = "1.2.3.4.5.6.7.8 " + "9" * 50 + ".1.2.3"
+    assert pii.base_spans(text) == plain_spans(text)
+
+
 def test_find_and_redact(spark):
     rows = [(1, "mail a@b.co or 1.2.3.4", "x"), (2, None, "y"), (1, "mail a@b.co or 1.2.3.4", "x"), (3, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
@@ -307,9 +412,75 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().collect()} == set(before)
 
 
-def test_near_dedup_keeps_one_of_each_group(spark, sf_dir):
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, _row int, kept boolean, component_id int"  # columns that clash with the stages' own
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, repeated rows, one doc_id for different texts."""
     rng = random.Random(7)
-    text = prose(rng, 100)
-    docs = spark.createDataFrame([(5, text, "en", "s", 1), (3, text, "en", "s", 1), (9, text.upper(), "en", "s", 1), (2, prose(rng, 100), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()) == [2, 3]
-    assert math.isclose(docs.count(), 4)
+    text, other = prose(rng, 100), prose(rng, 100)
+    rows = [(5, text, "en"), (3, text, "en"), (9, text.upper(), "en"), (2, other, "en"), (2, other, "en"), (2, "too few words", "en"), (None, prose(rng, 90), "en"), (None, None, None), (8, None, "en"), (8, "", "en")]
+    rows += [(20 + k, prose(rng, 80), "en") for k in range(40)] + [(70, prose(rng, 100_000), "en"), (71, "You idiot! mail a@b.co " + prose(rng, 60), None)]
+    return spark.createDataFrame([(*r, None, None, "r", 1, True, 2) for r in rows], SCHEMA).repartition(3)
+
+
+def hashes(df, *read):
+    return sorted(r.h for r in df.select(row_hash(*read).alias("h")).collect())
+
+
+def texts(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
+def test_quality_stage_judges_rows(spark, sf_dir, odd):
+    got = stage("quality rules")(spark, odd, sf_dir)
+    assert got.columns == odd.columns
+    kept = quality.judge(odd.withColumn("row", row_hash("lang")), "row").where("kept")
+    assert hashes(got, "lang") == sorted(r.row for r in kept.collect())
+    found = texts(got)
+    assert [i for i, _ in found].count(2) == 2 and not any(t in (None, "", "too few words") for _, t in found) and 70 in dict(found)
+    assert stage("quality rules")(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_toxic_stage_judges_rows(spark, sf_dir, odd):
+    got = stage("toxicity")(spark, odd, sf_dir)
+    assert got.columns == odd.columns
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    assert hashes(got) == sorted(r.row for r in toxicity.judge(odd.withColumn("row", row_hash()), labels, "row").where("predicted = 0").collect())
+    assert stage("toxicity")(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_near_dedup_keeps_one_of_each_group(spark, sf_dir, odd):
+    got = stage("SimHash near-dedup")(spark, odd, sf_dir)
+    assert got.columns == odd.columns
+    found = texts(got)
+    ids = [i for i, _ in found]
+    assert 3 in ids and not {5, 9} & set(ids)  # copies: the least doc_id stays
+    assert ids.count(2) == 2 and len({t for i, t in found if i == 2}) == 2  # one of the repeated rows, and the other text
+    assert len([t for _, t in found if not t]) == 1 and ids.count(None) == 1  # texts without words are alike; the row without doc_id but with a text of its own stays
+    assert set(range(20, 60)) <= set(ids) and 70 in ids
+    assert stage("SimHash near-dedup")(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_personal_data_and_packing_stages(spark, sf_dir, odd):
+    got = stage("PII")(spark, odd, sf_dir)
+    assert got.columns == odd.columns and got.count() == odd.count()
+    assert texts(got) == sorted(((i, None if t is None else pii.redacted(t)) for i, t in texts(odd)), key=repr)
+    pieces = stage("packing")(spark, got, sf_dir)
+    assert pieces.where("start = 0").count() == odd.count()
+    assert stage("PII")(spark, odd.limit(0), sf_dir).count() == stage("packing")(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_run_is_its_stages(spark, sf_dir):
+    """The last table against the stages applied by hand."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, step in corpus_pipeline.STAGES:
+        docs = step(spark, docs, sf_dir).cache()
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    whole = lambda df: {(r.doc_id, r.doc_tokens) for r in df.select(*columns).collect()}
+    assert whole(corpus_pipeline.run(spark, sf_dir)) == whole(docs)

@@ -1,6 +1,7 @@
 """Encoders and what is built on them, against the libraries' own results."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -96,6 +97,14 @@ def test_token_files(docs, nothing, tmp_path, spark):
     assert token_files.read_digests(spark, str(tmp_path / "n")).count() == 0
 
 
+def test_token_files_of_one_doc_id(spark, tmp_path):
+    """Rows that share a doc_id may lie in several ranges; starts are still gapless."""
+    docs = spark.createDataFrame([(5, f"text {k % 9}") for k in range(200)], "doc_id long, text string").repartition(4)
+    token_files.write(docs, BYTES, str(tmp_path / "same"), shard_ids=50)
+    got = sorted(token_files.read_digests(spark, str(tmp_path / "same")).collect(), key=lambda r: r.start)
+    assert len(got) == 200 and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
 def test_shard_coding():
     rng = np.random.default_rng(1)
     each = [rng.integers(0, 300_000, n).astype("<u4") for n in (0, 1, 5, 70_001)]
@@ -112,47 +121,97 @@ def test_packing(docs, nothing):
     for _, seq in got.groupby("sequence_id"):
         seq = seq.sort_values("offset")
         assert seq.length.sum() <= 64 and (seq.offset.to_numpy() == np.cumsum([0, *seq.length])[:-1]).all()
-    for doc, pieces in got[got.doc_id.notna() & (got.doc_id != 3)].groupby("doc_id"):
+    for doc, pieces in got[got.doc_id.notna()].groupby("doc_id"):
         ids, at = np.array([*plain(text[int(doc)]), 1], "<u4"), 0
-        for r in pieces.sort_values("start").itertuples():
+        pieces = pieces.sort_values("start", kind="stable")
+        if doc == 3:  # a repeated row: each piece twice, as the text is shorter than a sequence
+            assert sorted(pieces.doc_tokens) == [len(ids)] * len(pieces) and pieces.length.sum() == 2 * len(ids)
+            continue
+        for r in pieces.itertuples():
             assert r.start == at and r.doc_tokens == len(ids) and zlib.crc32(ids[at : at + r.length].tobytes()) == r.ids_crc32
             at += r.length
         assert at == len(ids)
     assert packing.pack(nothing, WORDS).count() == 0
 
 
-def test_plan_is_the_cheapest():
-    """Against all plans of a short stream."""
-    docs, sentences, size = np.array([3, 10, 14]), np.array([5, 8]), 8
-    cuts = packing.plan(docs, sentences, size)
-    assert cuts[-1] == 14 and max(np.diff([0, *cuts])) <= size
+def cost(cuts, docs, sentences, size):
+    total, before = 0, 0
+    for c in cuts:
+        n = c - before
+        total += packing.SEQUENCE + (0 if c in docs else packing.AFTER_SENTENCE if c in sentences else packing.IN_SENTENCE) + (0 if n & (n - 1) == 0 else size - n)
+        before = c
+    return total
 
-    def cost(cuts):
-        total, before = 0, 0
-        for c in cuts:
-            total += packing.SEQUENCE + (0 if c in docs else packing.AFTER_SENTENCE) + size - (c - before)
-            before = c
-        return total
 
-    import itertools
+def test_plan_is_the_cheapest():
+    """Against all plans of short streams."""
+    rng = random.Random(1)
+    for _ in range(200):
+        size, total = rng.choice([5, 8, 16]), rng.randint(1, 14)
+        docs = sorted({total, *rng.sample(range(1, total + 1), rng.randint(0, min(3, total)))})
+        sentences = sorted(rng.sample(range(1, total + 1), rng.randint(0, min(4, total))))
+        got = packing.plan(np.array(docs), np.array(sentences, int), size)
+        known, stride = sorted({0, *docs, *sentences}), max(1, size // 4)
+        places = {*known[1:], *(x for a, b in zip(known, known[1:]) if b - a > stride for x in range(a + stride, b, stride))} - {total}
+        every = [[*some, total] for n in range(len(places) + 1) for some in itertools.combinations(sorted(places), n) if max(np.diff([0, *some, total])) <= size]
+        assert got[-1] == total and max(np.diff([0, *got])) <= size
+        assert cost(got, docs, sentences, size) == min(cost(x, docs, sentences, size) for x in every)
+
+
+def test_small_powers_of_two_need_no_padding():
+    cuts = packing.plan(np.array([2064]), np.arange(16, 2064, 40), 2048)
+    assert sum(0 if n & (n - 1) == 0 else 2048 - n for n in np.diff([0, *cuts]).tolist()) == 0
+
+
+@pytest.mark.parametrize("block_ids", [256, 1000, 1 << 18])
+def test_blocks_lose_nothing_and_pad_little(spark, block_ids):
+    """A document over many blocks, and many documents in one: the same pieces, whatever the block."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["stone.", "river", "light", "over"]) for _ in range(n)) for n in (0, 1, 5000, 3, 0, 40, 700, 2, 900)]
+    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, length int").coalesce(1)
+    got = packing.pack(docs, WORDS, end_id=1, size=64, block_ids=block_ids).toPandas()
+    plain = library(WORDS)
+    for k, pieces in got.groupby("doc_id"):
+        assert pieces.length.sum() == len(plain(texts[k])) + 1 == pieces.doc_tokens.max() and (pieces.start.to_numpy() == np.cumsum([0, *pieces.length])[:-1]).all()
+    held = got.groupby("sequence_id").length.sum()
+    assert held.max() <= 64 and sum(0 if n & (n - 1) == 0 else 64 - n for n in held.tolist()) < 0.02 * held.sum()
+
 
-    places = sorted({*docs.tolist(), *sentences.tolist()} - {14})
-    every = [[*some, 14] for n in range(len(places) + 1) for some in itertools.combinations(places, n) if max(np.diff([0, *some, 14])) <= size]
-    assert cost(cuts) == min(map(cost, every))
+def tree_of(text):
+    encoder = bpe.byte_level(BYTES)
+    return token_counts.TokenTree(text, encoder.split, encoder.counts.__getitem__)
 
 
-def test_segment_tree_against_full_encoding():
-    encoder, plain, rng = bpe.byte_level(BYTES), library(BYTES), random.Random(2)
-    for _ in range(120):
+@pytest.mark.parametrize("block", [4, 256])
+def test_segment_tree_against_full_encoding(monkeypatch, block):
+    monkeypatch.setattr(token_counts, "BLOCK", block)
+    plain, rng = library(BYTES), random.Random(2)
+    for _ in range(150):
         text = mixed(rng)
-        tree = token_counts.TokenTree(text, lambda s: len(encoder.raw(s)) // 4)
-        for _ in range(5):
+        tree = tree_of(text)
+        for _ in range(6):
             a = rng.randint(0, len(text) + 2)
-            b, new = rng.randint(0, len(text) + 2), mixed(rng)[:4]
+            b, new = rng.randint(0, len(text) + 2) if rng.random() < 0.3 else a + rng.randint(0, 3), mixed(rng)[: rng.choice([4, 60])]
             tree.edit(a, b, new)
             a = min(a, len(text))
             text = text[:a] + new + text[max(a, min(b, len(text))) :]
-            assert tree.text == text and tree.n_chars == len(text) and tree.n_tokens == len(plain(text))
+            assert tree.text == text and tree.n_chars == len(text) and tree.n_tokens == len(plain(text)), repr(text)
+
+
+def test_edits_encode_little_of_long_texts():
+    """One character of text without blanks, of lines of one word, and after a large insert."""
+    for text in ("日本語の文、です。" * 2000, "word\n" * 3000, "a,b;" * 4000):
+        tree = tree_of(text)
+        tree.edit(9000, 9001, "x")
+        assert tree.encoded <= 40 and tree.n_tokens == len(library(BYTES)(text[:9000] + "x" + text[9001:]))
+    tree = tree_of("some text here")
+    tree.edit(5, 5, "put in. " * 10_000)
+    inserted = tree.encoded
+    for k in range(5):
+        tree.edit(20_000 + 9000 * k, 20_001 + 9000 * k, "z")
+    assert inserted <= 80_100 and tree.encoded - inserted <= 5 * 40
+    assert max(len(pieces) for pieces, _, _ in tree.blocks) <= token_counts.BLOCK
+    assert tree.n_tokens == len(library(BYTES)(tree.text))
 
 
 def test_count_edits(docs, nothing):
