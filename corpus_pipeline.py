@@ -46,6 +46,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = written(simhash.similar(docs, words=5).where("first").groupBy("doc_id", "row").agg(F.count("*").alias("n")), "kept")
     kept = _rows(docs, first.select("doc_id", "row"), how="left_semi")
     several = first.where("n > 1").select("doc_id", "row")
+    if several.isEmpty():
+        return kept
     once = _rows(kept, several, how="left_semi").dropDuplicates(["doc_id", "text"])
     return _rows(kept, several, how="left_anti").unionByName(once)
 
