@@ -5,17 +5,20 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: White space as JavaScript sees it, as a class of Java's regular expressions.
-BLANK = r"[\s\x0B   -     　﻿]"
+#: White space as JavaScript sees it, but for the blank, as a class of Java's regular expressions.
+ODD_BLANK = r"[\t-\r   -     　﻿]"
 
 
 def squeezed(text: Column) -> Column:
-    """Runs of white space as one blank, none at the ends; null is empty."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{BLANK}+", " "))
+    """Runs of white space as one blank, none at the ends; null is empty.
+
+    Two simple patterns are read far faster than one that tells runs from single blanks.
+    """
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), ODD_BLANK, " "), " {2,}", " "))
 
 
 @F.pandas_udf(StringType())
@@ -39,18 +42,27 @@ def half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(F.coalesce(x, F.lit(0.0)) * scale + 0.5) / scale
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Words, characters, sentences and mean word length (one decimal) of a text."""
-    clean, found = squeezed(text), words(text)
-    letters = F.aggregate(found, F.lit(0), lambda n, w: n + F.length(w))
+def statistics(clean: Column) -> dict[str, Column]:
+    """Words, characters, sentences and mean word length (one decimal) of a ``squeezed`` text.
+
+    Words are one more than blanks, and their letters are what is not blank, so no arrays are made.
+    """
+    blanks = F.length(clean) - F.length(F.replace(clean, F.lit(" "), F.lit("")))
+    found = F.when(clean == "", 0).otherwise(blanks + 1)
     return {
-        "text_word_count": F.size(found).cast("long"),
+        "text_word_count": found.cast("long"),
         "text_char_count": F.length(clean).cast("long"),
-        "text_sentence_count": F.size(F.filter(F.split(clean, "[.!?]+"), lambda s: F.trim(s) != "")).cast("long"),
-        "avg_word_length": F.when(F.size(found) > 0, half_up(letters / F.size(found), 1)).otherwise(0.0),
+        "text_sentence_count": F.regexp_count(clean, F.lit(r"[^.!? ][^.!?]*+")).cast("long"),
+        "avg_word_length": F.when(clean != "", half_up((F.length(clean) - blanks) / found, 1)).otherwise(0.0),
     }
 
 
+def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with the ``statistics`` of a column, whose squeezed form is made once."""
+    clean = df.withColumn("_clean", squeezed(F.col(text)))
+    return clean.withColumns(statistics(F.col("_clean"))).drop("_clean")
+
+
 def mark_counts(text: Column) -> dict[str, Column]:
     held = F.coalesce(text, F.lit(""))
     return {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,13 +22,31 @@ CATEGORIES = {
 }
 
 
-def category_pattern(category: str) -> str:
-    return "(?i)" + "|".join(p if p != r"\bQ&A\b" else r"(?-i:\bQ&A\b)" for p in CATEGORIES[category])
+def needle(pattern: str) -> str:
+    """The longest run of plain letters that every match of a pattern has, in lower case."""
+    plain = re.sub(r"\(\?:[^)]*\)|\[[^\]]*\][*+?]?|\\.[*+?]?|.\?", "\0", pattern)
+    return max(re.findall(r"[A-Za-z&=<]+", plain), key=len).lower()
 
 
-def categories(html: Column) -> Column:
-    """The categories of which a page has a mark, in their fixed order."""
-    return F.array_compact(F.array(*(F.when(html.rlike(category_pattern(c)), c) for c in CATEGORIES)))
+def categories(html: Column, lower: Column) -> Column:
+    """The categories of which a page has a mark, in their fixed order; ``lower`` is the page in lower case.
+
+    Patterns are tried where the plain word that they share occurs alone.
+    """
+    found = []
+    for name, patterns in CATEGORIES.items():
+        by_needle: dict[str, list[str]] = {}
+        for p in patterns:
+            by_needle.setdefault(needle(p), []).append(r"(?-i:\bQ&A\b)" if p == r"\bQ&A\b" else p)
+        marked = (F.contains(lower, F.lit(word)) & html.rlike("(?i)" + "|".join(those)) for word, those in by_needle.items())
+        found.append(F.when(reduce(Column.__or__, marked), name))
+    return F.array_compact(F.array(*found))
+
+
+def with_categories(pages: DataFrame, name: str = "categories", html: str = "html") -> DataFrame:
+    """``pages`` with their ``categories``."""
+    held = pages.withColumn("_lower", F.lower(html))
+    return held.withColumn(name, categories(F.col(html), F.col("_lower"))).drop("_lower")
 
 
 def relevance(matched: Column) -> Column:
@@ -47,16 +66,19 @@ def page_links(pages: DataFrame, most: int | None = None, key: str = "page_id")
     return once.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy("position"))).where(F.col("_rank") <= most).drop("_rank")
 
 
-def ancestry(pages: DataFrame, start: DataFrame, most: int = 64, key: str = "id", parent: str = "parent_page_id") -> DataFrame:
-    """(start, id, steps): each start's chain of parents, level by level, ``most`` levels deep."""
-    level = start.select(F.col(key).alias("start"), F.col(key))
-    levels, edges = [], pages.select(F.col(key).alias("_k"), F.col(parent).alias("_p"))
-    for step in range(most):
-        levels.append(level.withColumn("steps", F.lit(step)))
-        level = written(level.join(edges, F.col(key) == F.col("_k")).where("_p IS NOT NULL").select("start", F.col("_p").alias(key)), "ancestry")
-        if level.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, levels)
+def ancestry(pages: DataFrame, start: DataFrame, key: str = "id", parent: str = "parent_page_id") -> DataFrame:
+    """(start, id, steps): each start's chain of parents, level by level to the top.
+
+    A chain that comes back to itself ends there.
+    """
+    edges = pages.where(F.col(parent).isNotNull()).select(F.col(key).alias("_k"), F.col(parent).alias("_p"))
+    level = start.select(F.col(key).alias("start"), F.col(key), F.lit(0).alias("steps"))
+    seen = level
+    while not level.isEmpty():
+        up = level.join(edges, F.col(key) == F.col("_k")).select("start", F.col("_p").alias(key), (F.col("steps") + 1).alias("steps"))
+        level = written(up.join(seen.select("start", key), ["start", key], "left_anti"), "ancestry")
+        seen = seen.unionByName(level)
+    return seen
 
 
 def frontier(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:

@@ -6,12 +6,20 @@ the children in its largest group of like children, and coverages are means over
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agora.functions.hashing import hash31
 from agora.functions.numbers import ratio
-from agora.functions.text import squeezed
+from agora.functions.text import emoji_count, squeezed
 from agora.session import written
 
 #: Keyword patterns on text in lower case without accents.
@@ -22,9 +30,38 @@ QA = r"\b(?:answer|answers|question|questions|qa|qa_answers|odpowiedz|odpowiedzi
 THREAD = r"\b(?:forum|forums|thread|threads|discussion|discussions|post|posts)\b"
 
 
+def _has(text: Column, *words: str) -> Column:
+    return reduce(Column.__or__, (F.contains(text, F.lit(w)) for w in words))
+
+
+def _stems(pattern: str) -> list[str]:
+    """Plain words of which every match of a pattern of alternatives has one at least."""
+    listed = {w for w in re.findall(r"[a-z_]+|&|/", pattern.replace(r"\b", " ").replace(r"\s*", " ")) if len(w) > 1 or not w.isalpha()}
+    return sorted(w for w in listed if not any(w != v and w.startswith(v) for v in listed))
+
+
+def _finds(text: Column, pattern: str) -> Column:
+    """``text.rlike(pattern)``, tried where one of the pattern's plain words occurs alone."""
+    return _has(text, *_stems(pattern)) & text.rlike(pattern)
+
+
+def _bases() -> dict[str, str]:
+    """Small letters that decompose into a letter of ASCII and marks, with that letter."""
+    found = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        base, *marks = unicodedata.normalize("NFKD", c)
+        if c.islower() and base.isascii() and marks and all(map(unicodedata.combining, marks)):
+            found[c] = base
+    return found
+
+
+_BASES = _bases()
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
 def _plain(text: Column) -> Column:
-    """Lower case with the accents of Latin letters taken off."""
-    return F.translate(F.lower(text), "áàâäãåéèêëíìîïóòôöõúùûüñçż", "aaaaaaeeeeiiiiooooouuuuncz")
+    """Lower case with the marks of Latin letters taken off, whether they are one character or more."""
+    return F.translate(F.lower(text), "".join(_BASES) + _MARKS, "".join(_BASES.values()))
 
 
 def marked(nodes: DataFrame) -> DataFrame:
@@ -43,9 +80,9 @@ def marked(nodes: DataFrame) -> DataFrame:
         "m_textarea": tag == "textarea",
         "m_editable": F.col("attrs").getItem("contenteditable").isNotNull(),
         "m_heading_count": tag.rlike("^h[1-6]$") & text.rlike(COUNTED),
-        "m_kw_text": shown & text.rlike(HIGH),
-        "m_kw_text_med": shown & text.rlike(MEDIUM),
-        "m_kw_attr": blob.rlike(HIGH),
+        "m_kw_text": shown & _finds(text, HIGH),
+        "m_kw_text_med": shown & _finds(text, MEDIUM),
+        "m_kw_attr": _finds(blob, HIGH),
         "m_itemtype": attr("itemtype").rlike("(?i)comment"),
         "m_role_comment": attr("role") == "comment",
         "m_role_feed": attr("role") == "feed",
@@ -53,50 +90,102 @@ def marked(nodes: DataFrame) -> DataFrame:
         "m_prop_author": attr("itemprop") == "author",
         "m_prop_date": attr("itemprop") == "datePublished",
         "m_prop_text": attr("itemprop") == "text",
-        "m_author": blob.rlike(r"\b(?:author|user|username|byline|nickname|profile)"),
+        "m_author": (F.trim(blob) != "") & blob.rlike(r"\b(?:author|user|username|byline|nickname|profile)"),
         "m_avatar": (tag == "img") & F.concat_ws(" ", blob, _plain(attr("src")), _plain(attr("alt"))).rlike("avatar|gravatar|profile|userpic"),
-        "m_time": (tag == "time") | F.col("attrs").getItem("datetime").isNotNull() | text.rlike(r"\b\d+\s*(?:s|m|h|d|sec|min|hour|day|week|month|year)s?\s+ago\b|\byesterday\b|\bjust now\b"),
+        "m_time": (tag == "time") | F.col("attrs").getItem("datetime").isNotNull() | _has(text, "ago", "yesterday", "just now") & text.rlike(r"\b\d+\s*(?:s|m|h|d|sec|min|hour|day|week|month|year)s?\s+ago\b|\byesterday\b|\bjust now\b"),
         "m_profile": (tag == "a") & href.rlike("/(?:user|users|u|profile|member|members|author)/|/@"),
         "m_reply": control & label.rlike(r"\b(?:reply|respond|antworten|repondre|responder)\b"),
         "m_report": control & label.rlike(r"\b(?:report|flag)\b"),
         "m_reaction": control & label.rlike(r"\b(?:like|likes|upvote|helpful|react)\b"),
         "m_edit": control & label.rlike(r"\b(?:edit|delete|remove)\b"),
         "m_share": control & label.rlike(r"\bshare\b"),
-        "m_up": label.rlike(r"\bupvote\b|\bvote up\b"),
-        "m_down": label.rlike(r"\bdownvote\b|\bvote down\b"),
-        "m_permalink": (tag == "a") & (href.rlike("#comment|permalink|/comment/") | label.rlike("permalink")),
-        "m_deleted": text.rlike(r"\[(?:deleted|removed)\]|comment deleted"),
+        "m_up": _has(label, "vote") & label.rlike(r"\bupvote\b|\bvote up\b"),
+        "m_down": _has(label, "vote") & label.rlike(r"\bdownvote\b|\bvote down\b"),
+        "m_permalink": (tag == "a") & (href.rlike("#comment|permalink|/comment/") | _has(label, "permalink")),
+        "m_deleted": _has(text, "[", "comment deleted") & text.rlike(r"\[(?:deleted|removed)\]|comment deleted"),
         "m_quote": tag == "blockquote",
-        "m_pinned": text.rlike(r"\bpinned\b"),
         "m_collapse": control & label.rlike(r"\b(?:collapse|expand|show replies|hide replies)\b"),
-        "m_more": label.rlike(r"\b(?:load more|show more|view more|more comments)\b"),
+        "m_more": _has(label, "more") & label.rlike(r"\b(?:load more|show more|view more|more comments)\b"),
         "m_submit": ((tag == "input") & (attr("type") == "submit")) | ((tag == "button") & (attr("type") == "submit")),
         "m_submit_kw": tag.isin("button", "input") & F.concat_ws(" ", label, _plain(attr("value"))).rlike(HIGH),
-        "m_counter": text.rlike(r"\b\d+\s*/\s*\d+\b|characters (?:left|remaining)"),
-        "m_cart": text.rlike(r"add to (?:cart|bag|basket)|buy now"),
+        "m_counter": _has(text, "/", "characters") & text.rlike(r"\b\d+\s*/\s*\d+\b|characters (?:left|remaining)"),
+        "m_cart": _has(text, "add to", "buy now") & text.rlike(r"add to (?:cart|bag|basket)|buy now"),
         "m_price": text.rlike(r"[$€£]\s?\d|eur|\d\s?(?:usd|gbp)"),
-        "m_rating": blob.rlike(r"\b(?:star|stars|rating)\b"),
-        "m_mention": text.rlike(r"(?:^|\s)@[a-z0-9_]{2,}"),
-        "m_hashtag": text.rlike(r"(?:^|\s)#[a-z0-9_]{2,}"),
+        "m_rating": _has(blob, "star", "rating") & blob.rlike(r"\b(?:star|stars|rating)\b"),
+        "m_mention": _has(text, "@") & text.rlike(r"(?:^|\s)@[a-z0-9_]{2,}"),
+        "m_hashtag": _has(text, "#") & text.rlike(r"(?:^|\s)#[a-z0-9_]{2,}"),
+        "m_interactive": tag.isin("button", "input", "select", "textarea") | (attr("role") == "button") | F.col("attrs").getItem("tabindex").isNotNull(),
+        "m_form": tag == "form",
+        "m_options": ((tag == "button") | (attr("role") == "button")) & label.rlike(r"\b(?:more|options|menu|actions|settings|ellipsis)\b"),
+        "m_verified": (F.trim(blob) != "") & blob.rlike(r"\b(?:verified|checkmark|badge|tick|official)\b"),
+        "m_spoiler": _has(F.concat_ws(" ", blob, text), "spoiler", "content", "cw:", "sensitive") & F.concat_ws(" ", blob, text).rlike(r"\b(?:spoiler|content.?warning|cw:|sensitive)\b"),
+        "m_read_more": shown & _has(text, "more", "expand") & text.rlike(r"\b(?:read\s+more|show\s+more|see\s+more|expand)\b"),
+        "m_edited": shown & _has(text, "edited", "updated", "modified") & text.rlike(r"\(\s*edited\s*\)|\b(?:last\s+modified|updated|edited)\b"),
+        "m_featured": shown & _has(text, "pinned", "featured", "sticky", "stickied") & text.rlike(r"\b(?:pinned|featured|sticky|stickied)\b"),
+        "m_indent": F.lower(attr("style")).rlike(r"margin-?left:\s*\d+|padding-?left:\s*\d+") | blob.rlike(r"\b(?:indent|level|depth|nested|child-comment|sub-comment)\b"),
+        "m_level": F.concat_ws(" ", blob, F.lower(attr("data-depth")), F.lower(attr("data-level"))).rlike(r"\b(?:level|depth|tier|indent|nested|child)\b"),
+        "m_like_count": (_has(blob, "like", "vote", "count", "react") | control) & text.rlike(r"^\d+[km]?$") & blob.rlike(r"\b(?:like|upvote|heart|helpful|agree)"),
+        "m_kw_name": _finds(F.lower(F.array_join(F.map_keys("attrs"), " ")), HIGH),
+        "m_kw_tag": _finds(tag, HIGH),
+        "m_submit_kw_med": tag.isin("button", "input") & _finds(F.concat_ws(" ", label, _plain(attr("value"))), MEDIUM),
+        "m_json_comment": (tag == "script") & (F.lower(attr("type")) == "application/ld+json") & text.rlike(r'"@type"\s*:\s*"comment"'),
+        "m_json_action": (tag == "script") & (F.lower(attr("type")) == "application/ld+json") & text.rlike(r'"@type"\s*:\s*"commentaction"'),
         "m_external": (tag == "a") & href.rlike("^(?:https?:)?//"),
     }
     amounts = {
         "a_chars": F.when(shown, F.length("_space")).otherwise(0),
         "a_words": F.when(shown, F.when(F.col("_space") == "", 0).otherwise(F.size(F.split("_space", " ")))).otherwise(0),
+        "a_emoji": F.when(shown, emoji_count(F.col("_space"))).otherwise(0),
+        "a_questions": F.when(shown, F.length("_space") - F.length(F.replace("_space", F.lit("?"), F.lit("")))).otherwise(0),
+        "a_exclaims": F.when(shown, F.length("_space") - F.length(F.replace("_space", F.lit("!"), F.lit("")))).otherwise(0),
         "a_link_chars": F.when(tag == "a", F.length("_space")).otherwise(0),
     }
     out = nodes.withColumns({k: F.coalesce(v, F.lit(False)).cast("int") for k, v in flags.items()} | amounts)
     return out.withColumn("container_text", blob).drop("_space", "_text", "_blob", "_label", "_href")
 
 
+#: What single nodes hold that their sums over subtrees would hide.
+OWN = ("m_kw_attr", "m_kw_text", "m_author", "m_editable", "m_interactive", "m_form", "m_indent", "m_level", "m_kw_name", "m_kw_tag", "m_verified", "m_options")
+
+
 def counted(nodes: DataFrame) -> DataFrame:
-    """Marked nodes whose m_ and a_ columns are sums over the node and all its descendants."""
-    sums = [c for c in nodes.columns if c[:2] in ("m_", "a_")]
-    upto = Window.partitionBy("page_id").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    run = nodes.withColumns({f"r_{c}": F.sum(c).over(upto) for c in sums})
-    ends = run.select("page_id", F.col("node").alias("last"), *(F.col(f"r_{c}").alias(f"e_{c}") for c in sums))
-    out = run.join(ends, ["page_id", "last"]).withColumns({f"own_{c}": F.col(c) for c in ("m_kw_attr", "m_kw_text", "m_author")})
-    return out.withColumns({c: F.col(f"e_{c}") - F.col(f"r_{c}") + F.col(c) for c in sums}).drop(*(f"r_{c}" for c in sums), *(f"e_{c}" for c in sums))
+    """Marked nodes whose m_ and a_ columns are sums over the node and all its descendants.
+
+    Nodes come together by page, in order, once; sums over subtrees are differences of running
+    sums, for whole pages at a time.  ``own_`` columns keep what some had before.
+    """
+    names = nodes.columns
+    sums = [c for c in names if c[:2] in ("m_", "a_")]
+    kinds = T.StructType([T.StructField(f.name, T.LongType()) if f.name in sums else f for f in nodes.schema.fields] + [T.StructField(f"own_{c}", T.LongType()) for c in OWN])
+
+    def summed(rows: pa.Table) -> pa.RecordBatch:
+        page = rows.column("page_id").to_numpy()
+        node, last = (rows.column(c).to_numpy().astype(np.int64) for c in ("node", "last"))
+        at = np.cumsum(np.concatenate([[0], page[1:] != page[:-1]])) << 32
+        ends = np.searchsorted(at + node, at + last, "right") - 1
+        own = {c: rows.column(c).to_numpy().astype(np.int64) for c in sums}
+        running = {c: np.cumsum(x) for c, x in own.items()}
+        columns = {c: pa.array(running[c][ends] - running[c] + own[c]) if c in sums else rows.column(c).combine_chunks() for c in names}
+        return pa.RecordBatch.from_pydict(columns | {f"own_{c}": pa.array(own[c]) for c in OWN})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            page = batch.column("page_id").to_numpy()
+            starts = np.flatnonzero(page[1:] != page[:-1]) + 1
+            if held and held[-1].column("page_id")[0].as_py() != page[0]:
+                yield summed(pa.Table.from_batches(held))
+                held = []
+            if len(starts):  # whole pages go on; the last page of a batch may have more nodes in the next
+                yield summed(pa.Table.from_batches([*held, batch.slice(0, int(starts[-1]))]))
+                held = []
+            held.append(batch.slice(int(starts[-1]) if len(starts) else 0))
+        if held:
+            yield summed(pa.Table.from_batches(held))
+
+    return nodes.repartition("page_id").sortWithinPartitions("page_id", "node").mapInArrow(run, kinds)
 
 
 def signatures(nodes: DataFrame) -> DataFrame:
@@ -133,12 +222,47 @@ def repeated(nodes: DataFrame) -> DataFrame:
     )
 
 
+def above(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Each of ``chosen`` (page_id, node) with itself and its ancestors, in columns that start with ``up_``."""
+    own = chosen.select("page_id", "node").distinct()
+    up = nodes.select("page_id", *(F.col(c).alias(f"up_{c}") for c in nodes.columns if c != "page_id"))
+    return own.join(up, "page_id").where("up_node <= node AND node <= up_last")
+
+
+def input_distances(nodes: DataFrame, chosen: DataFrame, editable: Column | None = None) -> DataFrame:
+    """(page_id, node, textarea and contenteditable distances, flags): steps through the tree to the nearest input.
+
+    Null where a page has none; flags are false then.  ``editable`` tells which nodes are, if not
+    their attributes do.
+    """
+    kinds = {"textarea": F.col("tag") == "textarea", "contenteditable": F.col("attrs").getItem("contenteditable").isNotNull() if editable is None else editable}
+    inputs = nodes.where(kinds["textarea"] | kinds["contenteditable"])
+    least = {k: F.min(F.when(F.col(f"is_{k}"), F.col("in_depth"))).alias(f"least_{k}") for k in kinds}
+    marks = inputs.select("page_id", "node", F.col("depth").alias("in_depth"), *(F.coalesce(v, F.lit(False)).alias(f"is_{k}") for k, v in kinds.items()))
+    # the least depth of an input below each of its ancestors, then the best common ancestor of a chosen node
+    spans = above(nodes.select("page_id", "node", "last", "depth"), inputs).join(marks, ["page_id", "node"]).groupBy("page_id", "up_node", "up_last", "up_depth").agg(*least.values())
+    own = nodes.select("page_id", "node", "depth").join(chosen.select("page_id", "node").distinct(), ["page_id", "node"])
+    near = own.join(spans, "page_id").where("up_node <= node AND node <= up_last")
+    steps = lambda k: F.min(F.col("depth") + F.col(f"least_{k}") - 2 * F.col("up_depth"))
+    found = near.groupBy("page_id", "node").agg(*(steps(k).alias(f"{k}_tree_proximity") for k in kinds))
+    text, edit = F.col("textarea_tree_proximity"), F.col("contenteditable_tree_proximity")
+    return own.select("page_id", "node").join(found, ["page_id", "node"], "left").withColumns({
+        "nearest_input_distance": F.least(text, edit),
+        **{name: F.coalesce(col < most, F.lit(False)) for name, col, most in (("has_nearby_textarea", text, 30), ("textarea_close", text, 20), ("aligned_with_textarea", text, 15), ("textarea_very_close", text, 10), ("aligned_with_content_editable", edit, 15))},
+    })
+
+
 def regions(pages_nodes: DataFrame, least_units: int = 2) -> DataFrame:
     """Features of every node with at least ``least_units`` like children, under the names that ``scoring`` reads."""
-    every = written(signatures(counted(written(marked(pages_nodes), "nodes"))).drop("attrs", "text"), "counted-nodes")
-    found = repeated(every).where(F.col("repeating_group_count") >= least_units)
+    every = written(signatures(counted(marked(pages_nodes).drop("attrs", "text"))), "counted-nodes")
+    groups = written(repeated(every), "groups")
+    found = groups.where(F.col("repeating_group_count") >= least_units)
     roots = every.join(found, ["page_id", "node"])
-    units = every.select("page_id", F.col("parent").alias("node"), F.col("signature").alias("u_signature"), F.col("tag").alias("u_tag"), *(F.col(c).alias(f"u_{c}") for c in every.columns if c[:2] in ("m_", "a_")), F.col("child_count").alias("u_children"))
+    # the next node of a like signature lies below a node exactly if any does
+    alike = Window.partitionBy("page_id", "signature").orderBy("node")
+    inner = groups.where("repeating_group_count >= 2").select("page_id", "node", F.lit(True).alias("inner_group"))
+    children = every.withColumn("recursive", F.coalesce(F.lead("node").over(alike) <= F.col("last"), F.lit(False))).join(inner, ["page_id", "node"], "left")
+    units = children.select("page_id", F.col("parent").alias("node"), F.col("node").alias("u_node"), "recursive", F.coalesce("inner_group", F.lit(False)).alias("inner_group"), *(F.col(f"own_{c}").alias(f"u_own_{c}") for c in ("m_indent", "m_level")), F.col("signature").alias("u_signature"), F.col("tag").alias("u_tag"), *(F.col(c).alias(f"u_{c}") for c in every.columns if c[:2] in ("m_", "a_")), F.col("child_count").alias("u_children"))
     joined = found.join(units, ["page_id", "node"]).where(F.when(F.col("group_kind") == "tag", F.col("u_tag")).otherwise(F.col("u_signature")) == F.col("group_value"))
     has = lambda c: F.avg((F.col(f"u_{c}") > 0).cast("double"))
     both = lambda *c: F.max(F.least(*(F.col(f"u_{x}") for x in c)) > 0)
@@ -158,10 +282,16 @@ def regions(pages_nodes: DataFrame, least_units: int = 2) -> DataFrame:
         F.max(F.col("u_m_quote") > 0).alias("quote_block_per_unit"),
         F.max(F.col("u_m_price") > 0).alias("price_currency_in_unit"),
         F.avg((F.col("u_a_chars") < 10).cast("double")).alias("empty_unit_share"),
+        F.max("recursive").alias("sig_id_recursive_nesting"),
+        F.max("inner_group").cast("int").alias("reply_nesting_depth"),
+        F.max_by(F.col("u_m_featured") > 0, -F.col("u_node")).alias("pinned_post_indicator"),
+        *(F.count_if(F.col(c) > 0).alias(n) for c, n in (("u_own_m_indent", "indented_unit_count"), ("u_own_m_level", "depth_indicator_unit_count"), ("u_m_read_more", "units_with_read_more"), ("u_m_edited", "edited_unit_count"), ("u_m_like_count", "units_with_like_count"))),
     )
-    scope = every.select("page_id", F.col("node").alias("parent"), *(F.col(c).alias(f"p_{c}") for c in ("m_heading_count", "m_textarea", "m_editable", "m_more", "m_cart", "m_counter", "m_submit", "m_submit_kw")))
+    pages = every.where("parent < 0").groupBy("page_id").agg((F.max("m_json_comment") > 0).alias("json_ld_has_comment_type"), (F.max("m_json_action") > 0).alias("json_ld_has_comment_action"))
+    inputs = input_distances(every, found, F.col("own_m_editable") > 0)
+    scope = every.select("page_id", F.col("node").alias("parent"), *(F.col(c).alias(f"p_{c}") for c in ("m_heading_count", "m_textarea", "m_more", "m_cart", "m_counter", "m_submit", "m_submit_kw", "m_submit_kw_med")))
     near = F.concat(F.lit("/"), F.array_join(F.slice(F.reverse(F.split("ancestors", "/")), 1, 5), "/"), F.lit("/"))
-    out = roots.join(of_units, ["page_id", "node"]).join(scope, ["page_id", "parent"], "left")
+    out = roots.join(of_units, ["page_id", "node"]).join(inputs, ["page_id", "node"]).join(scope, ["page_id", "parent"], "left").join(pages, "page_id")
     links, n = F.col("m_link"), F.col("repeating_group_count")
     some = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
     return out.withColumns({
@@ -177,6 +307,9 @@ def regions(pages_nodes: DataFrame, least_units: int = 2) -> DataFrame:
         "keyword_container_high": some("own_m_kw_attr"),
         "keyword_container_med": F.col("container_text").rlike(MEDIUM),
         "keyword_attr_value_high": some("own_m_kw_attr"),
+        "keyword_attr_name_high": some("own_m_kw_name"),
+        "keyword_tag_name_high": some("own_m_kw_tag"),
+        "submit_button_keyword_med": some("p_m_submit_kw_med"),
         "keyword_direct_text_high": some("own_m_kw_text"),
         "keyword_text_high": some("m_kw_text"),
         "keyword_text_med": some("m_kw_text_med"),
@@ -188,12 +321,8 @@ def regions(pages_nodes: DataFrame, least_units: int = 2) -> DataFrame:
         "sig_id_count_strong": n >= 15,
         "depth_and_variety_pass": (F.col("last") - F.col("node") >= 3) & (F.col("child_variety") >= 5),
         "deleted_placeholder_present": some("m_deleted"),
-        "pinned_post_indicator": some("m_pinned"),
         "collapse_expand_control": some("m_collapse"),
         "pagination_load_more_adjacent": some("p_m_more"),
-        "has_nearby_textarea": some("p_m_textarea"),
-        "aligned_with_textarea": some("p_m_textarea"),
-        "aligned_with_content_editable": some("p_m_editable"),
         "char_counter_near_textarea": some("p_m_counter") & some("p_m_textarea"),
         "has_avatar": some("m_avatar"),
         "includes_author": some("m_author"),
@@ -213,6 +342,20 @@ def regions(pages_nodes: DataFrame, least_units: int = 2) -> DataFrame:
         "star_rating_present": some("m_rating"),
         "star_rating_no_text": some("m_rating") & (F.col("a_words") <= 15),
         "keyword_container_raw": F.col("container_text"),
+        "thread_depth_indicator": F.col("depth_indicator_unit_count") > 0,
+        "indent_margin_pattern": F.col("indented_unit_count") > 0,
+        "read_more_truncation": F.col("units_with_read_more") > 0,
+        "has_edit_history_indicator": F.col("edited_unit_count") > 0,
+        "like_count_pattern": F.col("units_with_like_count") > 0,
+        "has_more_options_button": F.col("m_options") > F.col("own_m_options"),
+        "verification_badge_count": F.col("m_verified") - F.col("own_m_verified"),
+        "spoiler_tag_present": some("m_spoiler"),
+        "ui_interactive_element_count": F.col("m_interactive") - F.col("own_m_interactive"),
+        "ui_form_count": F.col("m_form") - F.col("own_m_form"),
+        "ui_contenteditable_count": F.col("m_editable") - F.col("own_m_editable"),
+        "text_emoji_count": F.col("a_emoji"),
+        "text_question_mark_count": F.col("a_questions"),
+        "text_exclamation_mark_count": F.col("a_exclaims"),
     })
 
 

@@ -111,41 +111,62 @@ def balance(rows: DataFrame) -> DataFrame:
     return sums.select("positive", "negative", round6(F.coalesce(F.try_divide("positive", all_), F.lit(0.0)).cast("double")).alias("positive_share"), round6(F.coalesce(F.try_divide(more, less), F.lit(0.0)).cast("double")).alias("imbalance_ratio"), F.when(F.col("positive") <= F.col("negative"), "positive").otherwise("negative").alias("minority"))
 
 
+#: Ranges of hashes within which rows are numbered.
+RANGES = 1024
+
+
+def hash_rank(rows: DataFrame, order: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Rows with ``hash_rank``, from 1 in each group by a hash of ``order``, and the group's ``n_ranked``.
+
+    Exact without sorting a group in one task: rows are numbered within ranges of hashes, and what
+    lies in the ranges before is added.
+    """
+    held = rows.withColumn("_h", F.xxhash64(order)).withColumn("_range", F.pmod(F.shiftrightunsigned("_h", 54), F.lit(RANGES)).cast("int"))
+    sums = held.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    sums = sums.select(*by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("n_ranked"))
+    within = Window.partitionBy(*by, "_range").orderBy("_h", order)
+    return held.join(sums, [*by, "_range"]).withColumn("hash_rank", F.row_number().over(within) + F.col("_before")).drop("_h", "_range", "_before")
+
+
 def resampled(rows: DataFrame, strategy: str, order: str) -> DataFrame:
     """Training rows by strategy: baseline, class_weighted (a weight column), undersample or oversample.
 
-    Which rows stay or repeat follows a hash of ``order``, so that no task sorts a class.  Sampling
-    draws each row with the class ratio as chance; the class sizes are met on average.
+    Which rows stay or repeat follows a hash of ``order``; class sizes are exact.
     """
     counts = {r[0]: r[1] for r in rows.where("binary_label IN (0, 1)").groupBy("binary_label").count().collect()}
     if len(counts) < 2 or strategy == "baseline":
         return rows.withColumn("weight", F.lit(1.0))
     n, (small, large) = sum(counts.values()), sorted(counts.values())
-    minor = min(counts, key=lambda k: (counts[k], k))
-    unit = (F.pmod(F.xxhash64(order), 1_000_000) / 1_000_000.0)
+    in_minor = F.col("binary_label") == min(counts, key=lambda k: (counts[k], 1 - k))
     if strategy == "class_weighted":
         return rows.withColumn("weight", F.when(F.col("binary_label") == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0])))
+    ranked, rank = hash_rank(rows, order, ["binary_label"]), F.col("hash_rank")
     if strategy == "undersample":
-        return rows.where((F.col("binary_label") == minor) | (unit < small / large)).withColumn("weight", F.lit(1.0))
+        return ranked.where(in_minor | (rank <= small)).drop("hash_rank", "n_ranked").withColumn("weight", F.lit(1.0))
     if strategy == "oversample":
         whole, rest = divmod(large, small)
-        times = F.when(F.col("binary_label") == minor, whole + (unit < rest / small).cast("int")).otherwise(1)
-        return rows.withColumn("_times", times).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_k").withColumn("weight", F.lit(1.0))
+        times = F.when(in_minor, whole + (rank <= rest).cast("int")).otherwise(1)
+        return ranked.withColumn("_k", F.explode(F.sequence(F.lit(1), times))).drop("_k", "hash_rank", "n_ranked").withColumn("weight", F.lit(1.0))
     raise ValueError(f"no strategy named {strategy}")
 
 
 def class_prefix(rows: DataFrame, fraction: float, order: str) -> DataFrame:
-    """The first part of each class by a hash of ``order``, for learning curves."""
-    return rows.where(F.pmod(F.xxhash64(order), 1_000_000) < int(fraction * 1_000_000))
+    """The first part of each class by a hash of ``order``, half a row rounded up and at least one."""
+    kept = F.greatest(F.lit(1), F.floor(F.col("n_ranked") * fraction + 0.5))
+    return hash_rank(rows, order, ["binary_label"]).where(F.col("hash_rank") <= kept).drop("hash_rank", "n_ranked")
 
 
-def nearest(rows: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 5, most: int = 1 << 15) -> DataFrame:
     """(id, near_id, distance, rank): the ``k`` nearest other rows of (id, features) by Euclidean distance, exactly.
 
     Rows are dealt into blocks; each pair of blocks is one task's work, which returns the ``k``
-    best of either side only, so that neither pairs of rows nor a whole table come together.
+    best of either side only, so that neither pairs of rows nor a whole table come together.  There
+    are only so many blocks as keep all cores busy or hold a block to ``most`` rows, as each block
+    more is a copy of every row.
     """
-    blocks = max(1, -(-rows.count() // block))
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // most), min(-(-n // 512), int((2 * cores) ** 0.5) + 1))
     dealt = rows.select("id", "features", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "features", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("second"))
 
@@ -157,24 +178,37 @@ def nearest(rows: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
             if not len(left) or not len(right):
                 continue
             x, y = np.stack(left["features"]).astype(float), np.stack(right["features"]).astype(float)
-            ids, near = left["id"].to_numpy(), right["id"].to_numpy()
-            for at in range(0, len(x), 256):
-                d = np.sqrt(np.maximum(((x[at : at + 256, None, :] - y[None, :, :]) ** 2).sum(axis=2), 0)) if len(y) * x.shape[1] <= 1 << 17 else np.sqrt(np.maximum((x[at : at + 256] ** 2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x[at : at + 256] @ y.T, 0))
-                d[ids[at : at + 256, None] == near[None]] = np.inf
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                for row, cols in enumerate(best):
-                    out += [(ids[at + row], near[c], d[row, c]) for c in cols if np.isfinite(d[row, c])]
-        return pd.DataFrame(out, columns=["id", "near_id", "distance"])
+            ids, near, squares = left["id"].to_numpy(), right["id"].to_numpy(), (y**2).sum(axis=1)
+            step = max(1, (1 << 22) // len(y))
+            for at in range(0, len(x), step):
+                some = x[at : at + step]
+                # by products first, whose error is far below the slack, to tell which rows can be among the nearest
+                about = (some**2).sum(axis=1)[:, None] + squares - 2 * some @ y.T
+                about[ids[at : at + step, None] == near[None]] = np.inf
+                slack = 1e-9 * (1 + squares.max() + (some**2).sum(axis=1))
+                bound = np.partition(about, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1] + slack
+                i, j = np.nonzero((about <= bound[:, None]) & np.isfinite(about))
+                out.append(pd.DataFrame({"id": ids[at + i], "near_id": near[j], "distance": np.sqrt(((some[i] - y[j]) ** 2).sum(axis=1))}))
+        found = pd.concat(out) if out else pd.DataFrame({"id": [], "near_id": [], "distance": []})
+        return found.sort_values(["distance", "near_id"]).groupby("id").head(k)
 
     found = paired.groupBy("a", "b").applyInPandas(compare, "id long, near_id long, distance double")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "near_id"))).where(F.col("rank") <= k)
 
 
-def smote(rows: DataFrame, per_row: int = 1, k: int = 5, seed: int = 7) -> DataFrame:
-    """Synthetic rows (id, near_id, features) between minority rows (id, features) and one of their nearest."""
+def smote(rows: DataFrame, extra: int | None = None, k: int = 5, seed: int = 7) -> DataFrame:
+    """``extra`` synthetic rows (id, near_id, copy, features) between rows of the smaller class and one of their nearest.
+
+    As many as there are rows (id, features) if ``extra`` is not given; each row gives as many as
+    any other, or one more.  Which neighbour and how far towards it follow hashes.
+    """
+    n = rows.count()
+    whole, rest = divmod(n if extra is None else extra, max(1, n))
+    times = F.lit(whole) + (F.col("hash_rank") <= rest).cast("int")
+    spread = hash_rank(rows.select("id", "features"), "id").where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
     near = nearest(rows, k)
-    picked = near.where(F.col("rank") == 1 + F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k))) if per_row == 1 else near.where(F.col("rank") <= per_row)
-    other = rows.select(F.col("id").alias("near_id"), F.col("features").alias("near"))
-    alpha = F.pmod(F.xxhash64("id", "near_id", F.lit(seed)), 1000) / 1000.0
-    joined = picked.join(rows, "id").join(other, "near_id")
-    return joined.select("id", "near_id", F.zip_with("features", "near", lambda a, b: round6(a + (b - a) * alpha)).alias("features"))
+    choices = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "near_id"))).alias("near"))  # k each
+    picked = spread.join(choices, "id").withColumn("near_id", F.element_at("near", (1 + F.pmod(F.xxhash64("id", "copy", F.lit(seed)), F.size("near"))).cast("int"))["near_id"])
+    other = rows.select(F.col("id").alias("near_id"), F.col("features").alias("other"))
+    alpha = F.pmod(F.xxhash64("id", "near_id", "copy", F.lit(seed)), 1000) / 1000.0
+    return picked.join(other, "near_id").select("id", "near_id", "copy", F.zip_with("features", "other", lambda a, b: round6(a + (b - a) * alpha)).alias("features"))

@@ -9,17 +9,65 @@ from pyspark.sql import functions as F
 
 from agora.operators.dom import QA, THREAD
 
-#: Conditions over features (SQL), their weights and their labels.
+#: Conditions over features (SQL), their weights and, where it is not the condition's first word, their label.
 RULES = [
-    ("schema_org_comment_itemtype", 10), ("aria_role_comment", 10), ("aria_role_feed_with_articles", 8), ("microdata_itemprop_author", 3), ("microdata_itemprop_date_published", 3), ("microdata_itemprop_text", 4),
-    ("json_ld_has_comment_type", 3), ("json_ld_has_comment_action", 2), ("comment_header_with_count", 5), ("attributes_contain_keywords", 3), ("keyword_container_high", 3), ("keyword_text_high", 3), ("submit_button_keyword_high", 2),
-    ("keyword_unit_high_coverage >= 0.4", 2), ("sig_id_count_weak", 2), ("sig_id_count_medium", 3), ("sig_id_count_strong", 4), ("sibling_homogeneity_score >= 0.65", 3), ("depth_and_variety_pass", 2), ("time_datetime_per_unit >= 0.5", 4),
-    ("author_avatar_coverage >= 0.4", 4), ("author_timestamp_colocated", 5), ("reply_button_unit_coverage >= 0.4", 5), ("report_flag_unit_coverage >= 0.15", 2), ("profile_link_coverage >= 0.4", 4), ("reaction_coverage >= 0.25", 2), ("edit_delete_coverage >= 0.15", 2),
-    ("sig_id_recursive_nesting", 3), ("reply_nesting_depth > 0", 3), ("permalink_per_unit", 2), ("deleted_placeholder_present", 4), ("quote_block_per_unit", 1), ("upvote_downvote_pair", 3), ("pinned_post_indicator", 1), ("collapse_expand_control", 2), ("pagination_load_more_adjacent", 2),
-    ("has_nearby_textarea", 2), ("aligned_with_textarea", 2), ("aligned_with_content_editable", 2), ("submit_button_present", 1), ("char_counter_near_textarea", 1), ("has_avatar", 1), ("includes_author", 2), ("has_relative_time", 2), ("external_link_density_low", 1),
-    ("has_text_content AND text_word_count >= 40", 2), ("repeating_group_count >= 4 AND sibling_homogeneity_score >= 0.75", 2), ("text_contains_links AND repeating_group_count >= 3", 1),
-    ("table_row_structure AND NOT (has_text_content AND text_word_count >= 40)", -6), ("no_text_content_in_units", -6), ("add_to_cart_present", -8), ("nav_header_ancestor", -4), ("high_external_link_density", -3), ("star_rating_no_text", -4), ("price_currency_in_unit AND ugc_type <> 'product_review'", -4), ("link_density > 0.75", -2),
-]
+    ("schema_org_comment_itemtype", 10),
+    ("aria_role_comment", 10),
+    ("aria_role_feed_with_articles", 8),
+    ("microdata_itemprop_author", 3),
+    ("microdata_itemprop_date_published", 3),
+    ("microdata_itemprop_text", 4),
+    ("json_ld_has_comment_type", 3, "json_ld_comment_type"),
+    ("json_ld_has_comment_action", 2, "json_ld_comment_action"),
+    ("comment_header_with_count", 5),
+    ("attributes_contain_keywords", 3),
+    ("keyword_container_high", 3),
+    ("keyword_text_high", 3),
+    ("submit_button_keyword_high", 2),
+    ("keyword_unit_high_coverage >= 0.4", 2),
+    ("sig_id_count_weak", 2),
+    ("sig_id_count_medium", 3),
+    ("sig_id_count_strong", 4),
+    ("sibling_homogeneity_score >= 0.65", 3),
+    ("depth_and_variety_pass", 2),
+    ("time_datetime_per_unit >= 0.5", 4),
+    ("author_avatar_coverage >= 0.4", 4),
+    ("author_timestamp_colocated", 5),
+    ("reply_button_unit_coverage >= 0.4", 5, "reply_button_per_unit"),
+    ("report_flag_unit_coverage >= 0.15", 2, "report_flag_button_per_unit"),
+    ("profile_link_coverage >= 0.4", 4, "user_profile_link_per_unit"),
+    ("reaction_coverage >= 0.25", 2, "reaction_count_per_unit"),
+    ("edit_delete_coverage >= 0.15", 2, "edit_delete_per_unit"),
+    ("sig_id_recursive_nesting", 3),
+    ("reply_nesting_depth > 0", 3),
+    ("permalink_per_unit", 2),
+    ("deleted_placeholder_present", 4),
+    ("quote_block_per_unit", 1),
+    ("upvote_downvote_pair", 3),
+    ("pinned_post_indicator", 1),
+    ("collapse_expand_control", 2),
+    ("pagination_load_more_adjacent", 2),
+    ("has_nearby_textarea", 2),
+    ("aligned_with_textarea", 2),
+    ("aligned_with_content_editable", 2),
+    ("submit_button_present", 1),
+    ("char_counter_near_textarea", 1),
+    ("has_avatar", 1),
+    ("includes_author", 2),
+    ("has_relative_time", 2),
+    ("external_link_density_low", 1),
+    ("has_text_content AND text_word_count >= 40", 2, "substantial_text_content"),
+    ("repeating_group_count >= 4 AND sibling_homogeneity_score >= 0.75", 2, "strong_repeating_structure"),
+    ("text_contains_links AND repeating_group_count >= 3", 1, "repeating_link_collection"),
+    ("table_row_structure AND NOT (has_text_content AND text_word_count >= 40)", -6),
+    ("no_text_content_in_units", -6),
+    ("add_to_cart_present", -8),
+    ("nav_header_ancestor", -4),
+    ("high_external_link_density", -3),
+    ("star_rating_no_text", -4),
+    ("price_currency_in_unit AND ugc_type <> 'product_review'", -4),
+    ("link_density > 0.75", -2, "link_density_too_high"),
+]
 EXPLICIT = ["comment_header_with_count", "keyword_container_high", "keyword_unit_high_coverage >= 0.25", "keyword_attr_name_high", "keyword_attr_value_high", "keyword_direct_text_high", "keyword_text_high", "submit_button_keyword_high"]
 SUPPORTING = ["attributes_contain_keywords", "keyword_unit_high", "keyword_tag_name_high"]
 MEDIUM = ["keyword_text_med", "submit_button_keyword_med", "keyword_container_med"]
@@ -28,9 +76,9 @@ STRUCTURAL = ["sig_id_count_medium", "sig_id_count_strong", "sibling_homogeneity
 INTERACTION = ["reply_button_unit_coverage >= 0.4", "report_flag_unit_coverage >= 0.15", "permalink_per_unit", "reaction_coverage >= 0.25", "edit_delete_coverage >= 0.15", "collapse_expand_control", "pagination_load_more_adjacent", "has_nearby_textarea"]
 REPEATED = ["sig_id_count_medium", "sig_id_count_strong", "sibling_homogeneity_score >= 0.65", "depth_and_variety_pass"]
 
-#: Features that a frame may lack: they are absent then.
-FLAGS = ["json_ld_has_comment_type", "json_ld_has_comment_action", "sig_id_recursive_nesting", "keyword_attr_name_high", "keyword_tag_name_high", "submit_button_keyword_med", "thread_depth_indicator"]
-NUMBERS = ["reply_nesting_depth"]
+
+def label_of(rule: tuple) -> str:
+    return rule[2] if len(rule) > 2 else rule[0].split()[0]
 
 
 def _if(condition: str) -> Column:
@@ -55,13 +103,13 @@ def ugc_type() -> Column:
 
 
 def scored(regions: DataFrame) -> DataFrame:
-    """Regions with score, detected, confidence, ugc_type, signals, gate tier and pseudo label."""
-    for name in FLAGS + NUMBERS:
-        if name not in regions.columns:
-            regions = regions.withColumn(name, F.lit(0 if name in NUMBERS else False))
+    """Regions with score, detected, confidence, ugc_type, signals, gate tier and pseudo label.
+
+    Every feature that a rule reads must be there: a missing one is an error and not a zero.
+    """
     out = regions.withColumn("ugc_type", ugc_type())
-    out = out.withColumn("score", reduce(Column.__add__, (F.when(_if(c), w).otherwise(0) for c, w in RULES)))
-    labels = lambda keep: F.array_compact(F.array(*(F.when(_if(c), c.split()[0]) for c, w in RULES if keep(w))))
+    out = out.withColumn("score", reduce(Column.__add__, (F.when(_if(r[0]), r[1]).otherwise(0) for r in RULES)))
+    labels = lambda keep: F.array_compact(F.array(*(F.when(_if(r[0]), label_of(r)) for r in RULES if keep(r[1]))))
     out = out.withColumns({"matched_signals": labels(lambda w: w > 0), "penalty_signals": labels(lambda w: w < 0)})
     out = out.withColumns({"n_explicit": _count(EXPLICIT), "n_supporting": _count(SUPPORTING), "n_medium": _count(MEDIUM), "semantic_support_count": _count(SEMANTIC), "structural_support_count": _count(STRUCTURAL), "interaction_support_count": _count(INTERACTION), "repeated_structure_support": _count(REPEATED) > 0})
     strong = _if("n_explicit > 0 OR n_supporting >= 2")

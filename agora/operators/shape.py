@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from agora.functions.hashing import hash31
 from agora.functions.text import squeezed
 from agora.operators import dom
+from agora.operators.dom import above, input_distances  # noqa: F401
 
 #: What the kinds of graph nodes are told by.
 ACTION_TAGS = ("a", "button", "input", "label", "select", "summary", "textarea")
@@ -48,13 +49,6 @@ def attributes() -> dict[str, Column]:
     }
 
 
-def above(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Each of ``chosen`` (page_id, node) with itself and its ancestors, in columns that start with ``up_``."""
-    own = chosen.select("page_id", "node").distinct()
-    up = nodes.select("page_id", *(F.col(c).alias(f"up_{c}") for c in nodes.columns if c != "page_id"))
-    return own.join(up, "page_id").where("up_node <= node AND node <= up_last")
-
-
 def paths(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """(page_id, node, xpath, sigpath, node_id) of ``chosen``: indexed tags and signature ids from the root down."""
     steps = above(dom.signatures(placed(nodes)).select("page_id", "node", "last", "depth", "tag", "tag_index", "signature", "sig_id"), chosen)
@@ -64,28 +58,6 @@ def paths(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     return out.select("page_id", "node", "xpath", "sigpath", hash31(F.concat_ws("|", "xpath", "signature")).alias("node_id"))
 
 
-def input_distances(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(page_id, node, textarea and contenteditable distances, flags): steps through the tree to the nearest input.
-
-    Null where a page has none; flags are false then.
-    """
-    kinds = {"textarea": F.col("tag") == "textarea", "contenteditable": F.col("attrs").getItem("contenteditable").isNotNull()}
-    inputs = nodes.where(kinds["textarea"] | kinds["contenteditable"])
-    least = {k: F.min(F.when(F.col(f"is_{k}"), F.col("in_depth"))).alias(f"least_{k}") for k in kinds}
-    marks = inputs.select("page_id", "node", F.col("depth").alias("in_depth"), *(F.coalesce(v, F.lit(False)).alias(f"is_{k}") for k, v in kinds.items()))
-    # the least depth of an input below each of its ancestors, then the best common ancestor of a chosen node
-    spans = above(nodes.select("page_id", "node", "last", "depth"), inputs).join(marks, ["page_id", "node"]).groupBy("page_id", "up_node", "up_last", "up_depth").agg(*least.values())
-    own = nodes.select("page_id", "node", "depth").join(chosen.select("page_id", "node").distinct(), ["page_id", "node"])
-    near = own.join(spans, "page_id").where("up_node <= node AND node <= up_last")
-    steps = lambda k: F.min(F.col("depth") + F.col(f"least_{k}") - 2 * F.col("up_depth"))
-    found = near.groupBy("page_id", "node").agg(*(steps(k).alias(f"{k}_tree_proximity") for k in kinds))
-    text, edit = F.col("textarea_tree_proximity"), F.col("contenteditable_tree_proximity")
-    return own.select("page_id", "node").join(found, ["page_id", "node"], "left").withColumns({
-        "nearest_input_distance": F.least(text, edit),
-        **{name: F.coalesce(col < most, F.lit(False)) for name, col, most in (("has_nearby_textarea", text, 30), ("textarea_close", text, 20), ("aligned_with_textarea", text, 15), ("textarea_very_close", text, 10), ("aligned_with_content_editable", edit, 15))},
-    })
-
-
 def kinds(nodes: DataFrame) -> DataFrame:
     """(page_id, node, parent, kind, chars) for a graph: ACTION, MEDIA, COMMENT, META, TEXT, or null.
 

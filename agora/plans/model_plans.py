@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from agora.functions.numbers import round6
 from agora.functions.urls import hostname
-from agora.operators import metrics, modeling
+from agora.operators import metrics, modeling, training
 from agora.plans.registry import query, table
+from agora.plans.text_plans import _HOST
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,16 +141,17 @@ def feature_reliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("feature", (F.floor(F.col("mean_abs_contribution") * 1e5 + 0.5) / 1e5).alias("mean_abs_contribution"))
 
 
-@query()
+@query(_FEATURES + """, c AS (SELECT doc_id, [{'v': 0.5::DOUBLE * x0, 'n': 'n_chars'}, {'v': -0.25::DOUBLE * x1, 'n': 'words'}, {'v': 0.1::DOUBLE * x2, 'n': 'lang=de'}, {'v': 0.2::DOUBLE * x3, 'n': 'lang=en'}, {'v': -0.1::DOUBLE * x4, 'n': 'lang=es'}, {'v': 0.3::DOUBLE * x5, 'n': 'lang=fr'}] AS c FROM f)
+SELECT doc_id, array_to_string(list_transform(list_reverse_sort(list_filter(c, lambda e: e.v > 0))[1:3], lambda e: e.n), ',') AS raises, array_to_string(list_transform(list_sort(list_filter(c, lambda e: e.v < 0))[1:3], lambda e: e.n), ',') AS lowers FROM c""")
 def explain_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modeling.contributions(features(spark, sf_dir), WEIGHTS, NAMES, 3).select("doc_id", F.transform("top_positive", lambda c: c["name"]).alias("raises"), F.transform("top_negative", lambda c: c["name"]).alias("lowers"))
+    return modeling.contributions(features(spark, sf_dir), WEIGHTS, NAMES, 3).select("doc_id", F.array_join(F.transform("top_positive", lambda c: c["name"]), ",").alias("raises"), F.array_join(F.transform("top_negative", lambda c: c["name"]), ",").alias("lowers"))
 
 
 @query()
 def logistic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty rounds of descent, then scores of all rows."""
+    """500 rounds of descent with classes weighted, then scores of all rows."""
     rows = features(spark, sf_dir)
-    return modeling.predicted(rows, modeling.fit_logistic(rows, len(NAMES), iterations=20)).select("doc_id", "probability", "predicted_label")
+    return modeling.predicted(rows, modeling.fit_logistic(rows, len(NAMES))).select("doc_id", "probability", "predicted_label")
 
 
 def _trees(spark: SparkSession, sf_dir: str, learner) -> DataFrame:
@@ -177,17 +179,26 @@ def random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gradient_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.classification import GBTClassifier
 
-    return _trees(spark, sf_dir, GBTClassifier(maxIter=10, maxDepth=2, stepSize=0.1, seed=1))
+    return _trees(spark, sf_dir, GBTClassifier(maxIter=25, maxDepth=2, stepSize=0.1, seed=1))
 
 
-@query()
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as candidate rows of their sources, with the features of ``NUMERIC`` and ``CATEGORICAL``."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return docs.select(F.col("doc_id").alias("dataset_row_id"), F.col("source").alias("item_id"), F.col("quality").alias("binary_label"), "n_chars", F.regexp_count("text", F.lit(" ")).alias("words"), "lang")
+
+
+_BUCKET = "CAST(list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(source, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) % 5 AS BIGINT)"
+_FOLDS = f"WITH r AS (SELECT doc_id, source, quality, {_BUCKET} AS fold FROM documents JOIN labels USING (doc_id)), t AS (SELECT count(*) AS n, sum(quality) AS p FROM r), f AS (SELECT fold, count(*) AS n_rows, sum(quality) AS n_positive FROM r GROUP BY fold)"
+
+
+@query(f"""WITH r AS (SELECT quality, {_BUCKET} AS fold FROM documents JOIN labels USING (doc_id)), c AS (SELECT count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality = 0) AS n FROM r WHERE fold <> 0)
+SELECT s AS strategy, p AS positive_before, n AS negative_before, floor(CASE s WHEN 'baseline' THEN p WHEN 'class_weighted' THEN (p + n) / 2.0 WHEN 'undersample' THEN least(p, n) ELSE greatest(p, n) END * 1e6 + 0.5) / 1e6 AS positive_after, floor(CASE s WHEN 'baseline' THEN n WHEN 'class_weighted' THEN (p + n) / 2.0 WHEN 'undersample' THEN least(p, n) ELSE greatest(p, n) END * 1e6 + 0.5) / 1e6 AS negative_after FROM c, (SELECT unnest(['baseline', 'class_weighted', 'undersample', 'oversample', 'smote']) AS s)""")
 def imbalance_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir)
-    parts = [modeling.resampled(rows, s, "dataset_row_id").groupBy(F.lit(s).alias("strategy"), "binary_label").agg(F.count("*").alias("n"), round6(F.sum("weight")).alias("weight")) for s in ("baseline", "class_weighted", "undersample", "oversample")]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Class sizes of the training rows before and after each way to treat their imbalance."""
+    rows = training.held_out(candidates(spark, sf_dir), F.col("item_id"), "dataset_row_id")
+    held, _ = training.features(rows, NUMERIC, CATEGORICAL)
+    return training.prepared(held.where("NOT held_out"), "dataset_row_id")[1]
 
 
 @query("""WITH p AS (SELECT a.vec_id AS id, b.vec_id AS near_id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.label = 0 AND b.label = 0)
@@ -203,29 +214,37 @@ def smote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modeling.smote(rows).select("id", "near_id", F.size("features").alias("width"))
 
 
-@query()
+@query(_FOLDS + " SELECT fold, f.n_rows, CAST(f.n_positive AS BIGINT) AS n_positive, t.n - f.n_rows AS train_rows FROM f, t WHERE f.n_positive > 0 AND f.n_positive < f.n_rows AND t.p - f.n_positive > 0 AND t.p - f.n_positive < t.n - f.n_rows")
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five folds by item: sizes and classes of either side."""
-    rows = modeling.split(scored(spark, sf_dir), F.col("item_id"))
-    return rows.groupBy("split_bucket").agg(F.count("*").alias("test_rows"), F.count_if(F.col("binary_label") == 1).alias("test_positive"), F.countDistinct("item_id").alias("items"))
+    """Five folds by item, each trained and scored: their sizes; ``cross_validation_metrics`` has the rest."""
+    found = training.cross_validated(candidates(spark, sf_dir), F.col("item_id"), "dataset_row_id", NUMERIC, CATEGORICAL)
+    return found.select("fold", "n_rows", "n_positive", "train_rows")
+
+
+@query()
+def cross_validation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates, areas and ranks of five fitted folds."""
+    return training.cross_validated(candidates(spark, sf_dir), F.col("item_id"), "dataset_row_id", NUMERIC, CATEGORICAL)
 
 
 @query()
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir)
-    parts = [modeling.class_prefix(rows, f, "dataset_row_id").groupBy(F.lit(f).alias("fraction"), "binary_label").agg(F.count("*").alias("n")) for f in (0.2, 0.4, 0.6, 0.8, 1.0)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Models of a fifth to all of each class, on their own rows and on those held out."""
+    return training.learning_curve(candidates(spark, sf_dir), F.col("item_id"), "dataset_row_id", NUMERIC, CATEGORICAL)
 
 
 @query()
+def strategy_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.leaderboard(training.compared(candidates(spark, sf_dir), F.col("item_id"), "dataset_row_id", NUMERIC, CATEGORICAL))
+
+
+@query(f"SELECT held_out, count(*) AS n FROM (SELECT {_BUCKET.replace('source', 'h')} = 0 AS held_out FROM (SELECT {_HOST} AS h FROM pages)) GROUP BY held_out")
 def domain_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modeling.split(table(spark, sf_dir, "pages"), hostname(F.col("url"))).groupBy("held_out").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN NULL ELSE 0 END AS binary_label FROM conversations), d AS (SELECT *, count(*) OVER w = count(binary_label) OVER w AS review_complete FROM c WINDOW w AS (PARTITION BY conv_id))
+SELECT binary_label, review_complete, count(*) AS n FROM d GROUP BY 1, 2""")
 def review_application(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as items, turns as candidates; every system and user turn has a review, the last one counts."""
     turns = table(spark, sf_dir, "conversations")

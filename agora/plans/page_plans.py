@@ -92,21 +92,26 @@ def tier_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(streams.promotions(streams.events(spark, sf_dir)), "append", "tiers")
 
 
-@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events), k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
-SELECT user_id, min(ts) AS start, count(*) AS n FROM k GROUP BY user_id, sid""")
+_SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events), k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM k GROUP BY user_id, sid"""
+
+
+@query(_SESSIONS)
 def session_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return rows.groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query()
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.drained(streams.windowed(streams.events(spark, sf_dir), "1 day"), "append", "windows")
+    found = streams.drained(streams.windowed(streams.events(spark, sf_dir), "1 day"), "complete", "windows")
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query(_SESSIONS)
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.drained(streams.sessions(streams.events(spark, sf_dir), "6 hours"), "append", "sessions")
+    found = streams.drained(streams.sessions(streams.events(spark, sf_dir), "6 hours"), "complete", "sessions")
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<script\\b|javascript:|\\bon(?:error|load|click)\\s*=') THEN 'block' WHEN regexp_matches(html, '(?i)<(?:iframe|object|embed|form)\\b|data:text/html') THEN 'flag' ELSE 'pass' END AS verdict FROM pages")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from agora.functions import hashing, text, urls
 from agora.operators import crawl
 from agora.plans.registry import query, table
+from agora.session import spread
 
 _SQUEEZED = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 _HOST = r"regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(trim(coalesce(url, ''))), '^[a-z][a-z0-9+.-]*://', ''), '^([^/?#]*)', 1), '^[^@]*@|:[0-9]*$', '', 'g'), '^www\.', '')"
@@ -19,8 +20,7 @@ _FNV = "list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_spli
   CASE WHEN t = '' THEN 0.0 ELSE floor(list_sum(list_transform(string_split(t, ' '), lambda w: length(w)))::DOUBLE / len(string_split(t, ' ')) * 10 + 0.5) / 10 END AS avg_word_length
 FROM (SELECT doc_id, {_SQUEEZED} AS t FROM documents)""")
 def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", *(c.alias(n) for n, c in text.statistics(F.col("text")).items()))
+    return text.with_statistics(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '@[A-Za-z0-9_]+')) AS mention_count, len(regexp_extract_all(text, '#[A-Za-z0-9_]+')) AS hashtag_count, len(regexp_extract_all(text, '\?')) AS question_mark_count, len(regexp_extract_all(text, '!')) AS exclamation_mark_count FROM documents""")
@@ -112,7 +112,7 @@ def _category_sql(column: str) -> str:
 @query(f"SELECT doc_id, array_to_string(c, '|') AS categories, least(1.0, len(c) * 0.25)::DOUBLE AS relevance FROM (SELECT doc_id, {_category_sql('t')} AS c FROM (SELECT doc_id, text || CASE lang WHEN 'de' THEN ' leave a comment' WHEN 'fr' THEN ' Forum: write a review' ELSE '' END AS t FROM documents))")
 def crawl_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.concat("text", F.when(F.col("lang") == "de", " leave a comment").when(F.col("lang") == "fr", " Forum: write a review").otherwise(""))
-    found = table(spark, sf_dir, "documents").select("doc_id", crawl.categories(held).alias("c"))
+    found = crawl.with_categories(spread(table(spark, sf_dir, "documents").select("doc_id", held.alias("html"))), "c")
     return found.select("doc_id", F.array_join("c", "|").alias("categories"), crawl.relevance(F.col("c")).alias("relevance"))
 
 

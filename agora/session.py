@@ -32,3 +32,12 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A frame of fewer partitions than there are cores, as of one small file, dealt out anew; others stay as they are.
+
+    For work that costs far more a row than moving it; where files are many, nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -1,7 +1,7 @@
 """HTML as a table of nodes: a small parser emits nodes in document order, all else is Spark's work.
 
 A node has its place in preorder and that of its last descendant, so that anything about subtrees
-is a difference of running sums within the page.
+is a difference of running sums within the page.  Every node of a page is kept, however many.
 """
 
 from __future__ import annotations
@@ -9,16 +9,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from agora.session import spread
 
 #: Fixed values of the HTML standard: elements without content, and those that an opening tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Nodes of a page that are kept; later ones are left out, as in the traversal budget of a scan.
-MOST_NODES = 20_000
+#: Ancestors that ``ancestors`` names, the nearest of a node's.
+NEAREST = 8
+#: Nodes of a batch: whole pages until there are so many.
+BATCH = 20_000
 
+_TYPES = {"page_id": pa.int64(), "node": pa.int32(), "parent": pa.int32(), "last": pa.int32(), "depth": pa.int32(), "tag": pa.string(), "attrs": pa.map_(pa.string(), pa.string()), "text": pa.string(), "ancestors": pa.string()}
 SCHEMA = "page_id long, node int, parent int, last int, depth int, tag string, attrs map<string,string>, text string, ancestors string"
 
 
@@ -41,10 +47,8 @@ class _Tree(HTMLParser):
                 break
             if held in ("ul", "ol", "table", "div", "section", "article"):
                 break
-        if len(self.rows) >= MOST_NODES:
-            return
-        path = "/".join(self.rows[n][4] for n in self.open)
-        self.rows.append([len(self.rows), self.open[-1] if self.open else -1, len(self.rows), len(self.open), tag, {k: v or "" for k, v in attrs}, "", path])
+        path = "/".join([self.rows[n][4] for n in self.open[-NEAREST:]])
+        self.rows.append([len(self.rows), self.open[-1] if self.open else -1, len(self.rows), len(self.open), tag, {k: v or "" for k, v in attrs}, [], path])
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
 
@@ -56,7 +60,7 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.open:
-            self.rows[self.open[-1]][6] += data
+            self.rows[self.open[-1]][6].append(data)
 
 
 def parsed(html: str | None) -> list[list]:
@@ -64,17 +68,28 @@ def parsed(html: str | None) -> list[list]:
     tree.feed(html or "")
     tree.close()
     tree._close(0)
+    for row in tree.rows:
+        row[6] = "".join(row[6])
     return tree.rows
 
 
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(page_id, node, parent, last, depth, tag, attrs, text, ancestors) of all pages; a null page has no nodes."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        for frame in frames:
-            for page, text in zip(frame[key], frame[html]):
-                if rows := parsed(text):
-                    yield pd.DataFrame([[page, *row] for row in rows], columns=names)
-
-    return pages.select(key, html).mapInPandas(run, SCHEMA)
+    def batch(rows: list[list]) -> pa.RecordBatch:
+        columns = [*zip(*rows)]
+        columns[6] = [[*attrs.items()] for attrs in columns[6]]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _TYPES.values())], [*_TYPES])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list] = []
+        for some in batches:
+            for page, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                rows += [[page, *row] for row in parsed(text)]
+                if len(rows) >= BATCH:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
+
+    return spread(pages.select(F.col(key).cast("long"), html)).mapInArrow(run, SCHEMA)

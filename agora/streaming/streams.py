@@ -1,7 +1,10 @@
 """Structured Streaming: incremental counters, idempotent events, promotion tiers, sessions and windows.
 
 Each query runs what is available, writes its results to the shared folder and returns them as a
-table, so that batch code can go on from there.
+table, so that batch code can go on from there.  Without ``late`` nothing is too late: results are
+kept whole (mode complete) and hold what is still open when the stream is drained.  A stream that
+never ends is given a ``late`` instead: state beyond it is let go, and results come once they are
+final (mode append).
 """
 
 from __future__ import annotations
@@ -43,19 +46,22 @@ def counters(stream: DataFrame, key: str = "event_type") -> DataFrame:
     return stream.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("n_high"))
 
 
-def once(stream: DataFrame, key: list[str], late: str = "365 days") -> DataFrame:
-    """Events whose key was not seen within the watermark."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
+def once(stream: DataFrame, key: list[str], late: str | None = None) -> DataFrame:
+    """Events whose key was not seen before (with ``late``: not within the watermark)."""
+    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(key) if late else stream.dropDuplicates(key)
 
 
-def windowed(stream: DataFrame, width: str, slide: str | None = None, late: str = "0 seconds") -> DataFrame:
+def windowed(stream: DataFrame, width: str, slide: str | None = None, late: str | None = None) -> DataFrame:
+    """Events of each type in each window: mode append with ``late``, else complete."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return stream.withWatermark("ts", late).groupBy(window, "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    held = stream.withWatermark("ts", late) if late else stream
+    return held.groupBy(window, "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def sessions(stream: DataFrame, gap: str, late: str = "0 seconds") -> DataFrame:
-    """Bursts of a user's events with no pause as long as ``gap``."""
-    return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
+def sessions(stream: DataFrame, gap: str, late: str | None = None) -> DataFrame:
+    """Bursts of a user's events with no pause as long as ``gap``: mode append with ``late``, else complete."""
+    held = stream.withWatermark("ts", late) if late else stream
+    return held.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
 def tier(count: int) -> int:
@@ -67,26 +73,25 @@ def tier(count: int) -> int:
     return reached if count < TIERS[-1] + 10 else TIERS[-1] + 10 * ((count - TIERS[-1]) // 10)
 
 
+def crossed(before: int, after: int) -> list[int]:
+    """The tiers above one count, up to another."""
+    beyond = range(TIERS[-1] + 10 * max(1, (before - TIERS[-1]) // 10 + 1), after + 1, 10)
+    return [t for t in TIERS if before < t <= after] + list(beyond)
+
+
 def promotions(stream: DataFrame, key: str = "user_id") -> DataFrame:
     """(key, tier, count) whenever a key's running count crosses into a higher tier."""
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, last = state.get if state.exists else (0, 0)
-        out = []
-        for n in map(len, frames):
-            for _ in range(n):
-                count += 1
-                if (now := tier(count)) > last:
-                    out.append((name[0], now, count))
-                    last = now
-        state.update((count, last))
-        yield pd.DataFrame(out, columns=[key, "tier", "count"])
+        before = state.get[0] if state.exists else 0
+        after = before + sum(map(len, frames))
+        state.update((after,))
+        yield pd.DataFrame([(name[0], t, t) for t in crossed(before, after)], columns=[key, "tier", "count"])
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, tier int, count int", "count int, last int", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, tier int, count int", "count int", "append", GroupStateTimeout.NoTimeout)
 
 
 def blocked(html: str = "html") -> Column:
     """What inserted content is let do: block, flag or pass, by the first pattern that fits."""
     col = F.col(html)
     return F.when(col.rlike(r"(?i)<script\b|javascript:|\bon(?:error|load|click)\s*="), "block").when(col.rlike(r"(?i)<(?:iframe|object|embed|form)\b|data:text/html"), "flag").otherwise("pass")
-

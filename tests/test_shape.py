@@ -50,7 +50,7 @@ def test_input_distances(nodes):
 
 def test_kinds(nodes):
     got = {(r.tag, r.kind) for r in shape.kinds(nodes).where("page_id = 1").join(nodes.select("page_id", "node", "tag"), ["page_id", "node"]).collect()}
-    assert {("button", "ACTION"), ("img", "MEDIA"), ("p", "COMMENT"), ("time", "META"), ("html", None)} <= got
+    assert {("a", "ACTION"), ("img", "MEDIA"), ("div", "COMMENT"), ("time", "META"), ("html", None)} <= got
 
 
 def test_nested_penalty(spark):
