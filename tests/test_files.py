@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from agora.operators import modeling, store
+from agora.operators import modeling, store, training
 from agora.sources import files
 
 
@@ -45,9 +47,16 @@ def test_idempotent_append(spark):
 def test_resampling(spark):
     rows = spark.range(1000).selectExpr("id", "IF(id % 10 = 0, 1, 0) AS binary_label")
     count = lambda s: {r[0]: r[1] for r in modeling.resampled(rows, s, "id").groupBy("binary_label").count().collect()}
-    assert count("baseline") == {0: 900, 1: 100}
-    assert abs(count("undersample")[0] - 100) < 40 and count("undersample")[1] == 100
-    assert count("oversample") == {0: 900, 1: 900}
+    assert count("baseline") == {0: 900, 1: 100} and count("undersample") == {0: 100, 1: 100} and count("oversample") == {0: 900, 1: 900}
+    odd = spark.range(97).selectExpr("id", "IF(id % 10 = 0, 1, 0) AS binary_label")
+    assert {r[0]: r[1] for r in modeling.resampled(odd, "oversample", "id").groupBy("binary_label").count().collect()} == {0: 87, 1: 87}
+    assert {r[0]: r[1] for r in modeling.class_prefix(odd, 0.25, "id").groupBy("binary_label").count().collect()} == {0: 22, 1: 3}
+
+
+def test_hash_ranks_are_gapless(spark):
+    rows = spark.range(5000).selectExpr("id", "id % 3 AS binary_label")
+    for label, ranks in ((k, [r.hash_rank for r in modeling.hash_rank(rows, "id", ["binary_label"]).where(f"binary_label = {k}").collect()]) for k in range(3)):
+        assert sorted(ranks) == list(range(1, len(ranks) + 1)), label
 
 
 def test_logistic_learns(spark):
@@ -58,5 +67,68 @@ def test_logistic_learns(spark):
 
 def test_nearest(spark):
     rows = spark.createDataFrame([(k, [float(k), 0.0]) for k in range(30)], "id long, features array<double>")
-    got = modeling.nearest(rows, 2, block=7).where("id = 10").orderBy("rank").collect()
+    got = modeling.nearest(rows, 2, most=7).where("id = 10").orderBy("rank").collect()
     assert [(r.near_id, r.distance) for r in got] == [(9, 1.0), (11, 1.0)]
+
+
+@pytest.mark.parametrize("most", [40, 1 << 15])
+def test_nearest_like_brute_force(spark, most):
+    """Whatever the blocks, distances are those of plain differences, ties by id among them."""
+    rng = np.random.default_rng(3)
+    points = np.round(rng.normal(size=(150, 3)) * 2) / 2 + 1e6  # ties, far from zero
+    got = {}
+    for r in modeling.nearest(spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "id long, features array<double>"), 4, most).collect():
+        got.setdefault(r.id, {})[r["rank"]] = (r.near_id, r.distance)
+    for k, p in enumerate(points):
+        d = np.sqrt(((points - p) ** 2).sum(axis=1))
+        d[k] = np.inf
+        want = [(int(j), float(d[j])) for j in np.lexsort((np.arange(len(d)), d))[:4]]
+        assert [got[k][n] for n in (1, 2, 3, 4)] == want
+
+
+def test_synthetic_rows(spark):
+    rows = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(10)], "id long, features array<double>")
+    made = modeling.smote(rows, extra=23, k=3).collect()
+    assert len(made) == 23 and all(min(r.id, r.near_id) <= r.features[0] <= max(r.id, r.near_id) and r.features[1] == 1.0 for r in made)
+    assert sorted(modeling.smote(rows, extra=3).select("id").toPandas().id.value_counts()) == [1, 1, 1]
+
+
+def labelled(spark, n=300):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(n):
+        y = int(rng.random() < 0.25)
+        rows.append((k, f"host{k % 12}", y, float(rng.normal(2.0 * y)), float(rng.normal()), "ab"[int(rng.random() < 0.5)]))
+    return spark.createDataFrame(rows, "dataset_row_id long, item_id string, binary_label int, x double, z double, c string")
+
+
+def test_many_models_like_one(spark):
+    """Each of several models at once is what plain gradient descent on its own rows gives."""
+    rows = labelled(spark)
+    held, width = training.features(rows, ["x", "z"], ["c"])
+    held = held.withColumn("learns", F.array(F.lit(True), F.col("dataset_row_id") % 2 == 0)).withColumn("shares", F.transform("learns", lambda x: x.cast("double")))
+    models = training.fit(held, *training.scales(held, width, 2, 2), iterations=40)
+    data = rows.toPandas()
+    for k, some in ((0, data), (1, data[data.dataset_row_id % 2 == 0])):
+        raw = np.column_stack([some.x, some.z, some.c == "a", some.c == "b"]).astype(float)
+        center, scale = np.r_[raw[:, :2].mean(0), 0, 0], np.r_[raw[:, :2].std(0), 1, 1]
+        x, y, w, b = (raw - center) / scale, some.binary_label.to_numpy(), np.zeros(4), 0.0
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-(x @ w + b)))
+            w, b = w - 0.08 * (x.T @ (p - y) / len(y) + 5e-4 * w), b - 0.08 * (p - y).mean()
+        assert np.allclose(models[k].weights, w / scale) and np.isclose(models[k].bias, b - (w * center / scale).sum())
+
+
+def test_folds_curves_and_strategies(spark):
+    rows, columns = labelled(spark), (F.col("item_id"), "dataset_row_id", ["x", "z"], ["c"])
+    folds = training.cross_validated(rows, *columns, iterations=60).collect()
+    assert sum(r.n_rows for r in folds) == 300 and all(r.roc_auc > 0.8 and r.n_rows + r.train_rows == 300 and r.best_f1 >= r.f1 for r in folds)
+    curve = training.learning_curve(rows, *columns, fractions=(0.5, 1.0), iterations=40).collect()
+    assert {(r.fraction, r.part) for r in curve} == {(f, p) for f in (0.5, 1.0) for p in ("train", "test")}
+    sizes = {(r.fraction, r.part): r.n_rows for r in curve}
+    assert sizes[0.5, "test"] == sizes[1.0, "test"] and abs(sizes[0.5, "train"] - sizes[1.0, "train"] / 2) <= 1
+    found = training.compared(rows, *columns, iterations=60)
+    by = {r.strategy: r for r in found.collect()}
+    assert set(by) == set(training.STRATEGIES) and by["oversample"].recall > by["baseline"].recall
+    board = {r.metric: r for r in training.leaderboard(found).collect()}
+    assert board["recall"].value == max(r.recall for r in by.values()) and board["f1"].strategy in by
