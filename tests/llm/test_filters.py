@@ -203,10 +203,10 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
 def test_bands_like_brute_force(spark):
     """Loops of common words lie below their language's band, noise above; each language has its own."""
     rng = random.Random(21)
-    rows = [(k, prose(rng, rng.randint(60, 160)), "en" if k % 2 else "de") for k in range(120)]
-    loop = "the of and river stone".split()
-    rows += [(500 + k, " ".join(w for _ in range(60) for w in rng.sample(loop, 5)), "en") for k in range(3)]
-    rows += [(600 + k, " ".join("".join(rng.choice("qxzjkvw") for _ in range(6)) for _ in range(60)), "de") for k in range(3)]
+    vocabulary = ["".join(rng.choice(["ta", "re", "mo", "li", "su", "ne", "ka", "do", "pi", "ve"]) for _ in range(rng.randint(1, 4))) for _ in range(3000)] + ["the", "of", "and"] * 200
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(200, 300))), "en" if k % 2 else "de") for k in range(120)]
+    rows += [(500 + k, " ".join(rng.choice(["the", "of", "and"]) for _ in range(200)), "en") for k in range(3)]
+    rows += [(600 + k, " ".join("".join(chr(rng.randint(0x4E00, 0x5FFF)) for _ in range(4)) for _ in range(60)), "de") for k in range(3)]
     got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     for lang in ("en", "de"):
         held = sorted(got[i].log_perplexity for i, _, x in rows if x == lang and not got[i].base_failed)
@@ -323,7 +323,7 @@ def test_toxicity_without_labels(spark):
 
 
 def test_held_out_labels_are_not_learnt(spark):
-    rows = toxic_rows()
+    rows = [(i, t + " own" + "".join(chr(97 + int(c)) for c in str(i)), y) for i, t, y in toxic_rows()]  # a word of its own each
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     held = {frozenset(re.findall("[a-z]+", t.lower())) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
