@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions.text import squeezed
+from agora.functions.urls import match_score
 
 #: Statements that write.
 WRITES = "INSERT|UPDATE|DELETE|ALTER|CREATE|DROP|TRUNCATE|VACUUM|REINDEX|GRANT|REVOKE|COMMENT|MERGE|DO|CALL"
@@ -74,22 +75,47 @@ def capture_reason(error: Column, detected: Column, access: Column, candidates:
     )
 
 
+#: From which amount on each sign of a live region counts how much, and what a table costs.
+ACTIVITY = {
+    "family": ((15, 0.25), (8, 0.20), (5, 0.15), (3, 0.10)),
+    "homogeneity": ((0.8, 0.10), (0.5, 0.05)),
+    "times": ((0.5, 0.10), (0.2, 0.05)),
+    "authors": ((0.5, 0.10), (0.2, 0.05)),
+    "replies": ((0.4, 0.08),),
+    "avatars": ((0.4, 0.06),),
+    "activity": ((10, 0.10), (3, 0.05)),
+}
+TABLE_COST = 0.15
+
+
 def activity_score(family: Column, homogeneity: Column, times: Column, authors: Column, replies: Column, avatars: Column, activity: Column, table: Column) -> Column:
     """The light score of a live region, between 0 and 1, from its repetition, coverages and activity."""
     steps = lambda x, *pairs: F.coalesce(*(F.when(x >= at, w) for at, w in pairs), F.lit(0.0))
-    total = (
-        steps(family, (15, 0.25), (8, 0.20), (5, 0.15), (3, 0.10))
-        + steps(homogeneity, (0.8, 0.10), (0.5, 0.05))
-        + steps(times, (0.5, 0.10), (0.2, 0.05))
-        + steps(authors, (0.5, 0.10), (0.2, 0.05))
-        + steps(replies, (0.4, 0.08))
-        + steps(avatars, (0.4, 0.06))
-        + steps(activity, (10, 0.10), (3, 0.05))
-        - F.when(table, 0.15).otherwise(0.0)
-    )
+    found = {"family": family, "homogeneity": homogeneity, "times": times, "authors": authors, "replies": replies, "avatars": avatars, "activity": activity}
+    total = sum((steps(found[name], *pairs) for name, pairs in ACTIVITY.items()), F.lit(0.0)) - F.when(table, TABLE_COST).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
 
 
+#: Parts of a query's matches that are ranked on their own before the best of them are ranked together.
+PARTS = 64
+
+
+def matched(queries: DataFrame, items: DataFrame, most: int = 10, least: int = 60) -> DataFrame:
+    """(query_id, item_id, score, rank): of all ``items`` (item_id, u, required, snapshot) the best for each of ``queries`` (query_id, u).
+
+    ``u`` are ``lookup_parts``.  Only items of a query's host can match; the best of parts of them
+    are found first, so that a host with very many items is not one task.  Of equal scores those
+    that need a capture come first, then by item.
+    """
+    q = queries.select("query_id", F.col("u").alias("_q"), F.col("u.host").alias("_host"))
+    i = items.select("item_id", F.col("u").alias("_i"), F.col("u.host").alias("_host"), "required", "snapshot")
+    found = q.join(i, "_host").select("query_id", "item_id", "required", match_score(F.col("_q"), F.col("_i"), F.col("required"), F.col("snapshot")).alias("score")).where(F.col("score") >= least)
+    best = [F.col("score").desc(), F.col("required").desc(), F.col("item_id")]
+    part = Window.partitionBy("query_id", F.pmod(F.xxhash64("item_id"), F.lit(PARTS))).orderBy(*best)
+    few = found.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= most)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= most).select("query_id", "item_id", "score", "rank")
+
+
 def promoted(matches: DataFrame, targets: DataFrame, minutes: int = 30, least: int = 60) -> DataFrame:
     """Matches (query_id, item_id, score) with a recent target of the query put first, once, and as many rows as before."""
     fresh = targets.where((F.col("age_minutes") <= minutes) & (F.col("lookup_score") >= least)).select("query_id", F.col("item_id"), F.col("lookup_score").alias("score"), F.lit(0).alias("_place"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agora.functions import hashing, text, urls
-from agora.operators import crawl
+from agora.operators import crawl, monitor
 from agora.plans.registry import query, table
 from agora.session import spread
 
@@ -124,11 +124,11 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lookup_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages matched with the saved address of the same host: a host's addresses are held against its first one."""
+    """The ten saved pages that fit best to each fiftieth page's address, among all others."""
     parts = table(spark, sf_dir, "pages").select("page_id", urls.lookup_parts("url").alias("u"))
-    targets = parts.groupBy(F.col("u.host").alias("host")).agg(F.min_by("u", "page_id").alias("t"))
-    scored = parts.join(targets, F.col("u.host") == F.col("host")).select("page_id", "host", urls.match_score(F.col("u"), F.col("t")).alias("score"))
-    return scored.where("score >= 60")
+    saved = parts.select(F.col("page_id").alias("item_id"), "u", (F.col("page_id") % 7 == 0).alias("required"), (F.col("page_id") % 11 == 0).alias("snapshot"))
+    asked = parts.where("page_id % 50 = 0").select(F.col("page_id").alias("query_id"), "u")
+    return monitor.matched(asked, saved)
 
 
 @query("""WITH RECURSIVE up AS (SELECT conv_id, max(turn) AS turn, 0 AS steps FROM conversations GROUP BY conv_id UNION ALL SELECT conv_id, turn - 1, steps + 1 FROM up WHERE turn > 0)

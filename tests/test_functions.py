@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agora.functions import hashing, numbers, text, urls
-from agora.operators import crawl, metrics, store
+from agora.operators import crawl, metrics, monitor, store
 
 
 def one(spark, column, **values):
@@ -86,3 +86,15 @@ def test_statistics(spark):
     got = df.select(*(c.alias(n) for n, c in text.statistics(text.squeezed(F.col("t"))).items())).collect()
     assert got[0].text_word_count == 3 and got[0].text_sentence_count == 2
     assert got[1].text_word_count == 0 and got[1].avg_word_length == 0
+
+
+def test_matches_like_brute_force(spark):
+    """The best of all items of a query's host, whatever parts they are ranked in."""
+    urls_ = [f"https://h{k % 3}.org/{'abc'[k % 2]}/{k % 5}?id={k % 4}" for k in range(200)]
+    parts = spark.createDataFrame(list(enumerate(urls_)), "item_id long, url string").select("item_id", urls.lookup_parts("url").alias("u"), (F.col("item_id") % 7 == 0).alias("required"), F.lit(False).alias("snapshot"))
+    asked = parts.where("item_id < 6").select(F.col("item_id").alias("query_id"), "u")
+    got = {(r.query_id, r["rank"]): (r.score, r.item_id) for r in monitor.matched(asked, parts, 5).collect()}
+    every = asked.alias("q").crossJoin(parts.alias("i")).select("query_id", "item_id", "required", urls.match_score(F.col("q.u"), F.col("i.u"), F.col("required")).alias("score")).collect()
+    for k in range(6):
+        best = sorted((-r.score, not r.required, r.item_id) for r in every if r.query_id == k and r.score >= 60)[:5]
+        assert [got[k, n + 1] for n in range(5)] == [(-s, i) for s, _, i in best]
