@@ -12,6 +12,7 @@ text is scored with one automaton over all its n-grams.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterable
 from typing import NamedTuple
@@ -119,7 +120,12 @@ def sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE, terms: dict[s
         return step
 
     taken = map_rows(rows, make, "doc_id long, toxic int, words array<string>, signature binary, sentences array<struct<named:array<string>,others:array<string>,n:long>>", 16)
-    return [Taken(r["toxic"], frozenset(r["words"]), bytes(r["signature"]), {(tuple(x["named"]), tuple(x["others"])): x["n"] for x in r["sentences"]}) for r in sorted(taken.collect(), key=lambda r: r["doc_id"])]
+    found = taken.toArrow().sort_by("doc_id")
+    out = []
+    for batch in found.to_batches(max_chunksize=64):  # as Python values a few rows at a time, words that rows share once
+        for r in batch.to_pylist():
+            out.append(Taken(r["toxic"], frozenset(map(sys.intern, r["words"])), r["signature"], {(tuple(x["named"]), tuple(x["others"])): x["n"] for x in r["sentences"]}))
+    return out
 
 
 class Toxicity:
@@ -235,6 +241,7 @@ def fit(rows: list[Taken], terms: dict[str, list[str]] = IDENTITY_TERMS, counter
     always = sorted(f"<{t}>" for t in {t for listed in terms.values() for t in listed})
     often = seen >= max(LEAST_DOCS, LEAST_PART * n[1])
     known = {g: k for k, g in enumerate(dict.fromkeys([*(g for g, k in number.items() if often[k]), *always]))}
+    number.clear()
     held = numbered(known, rows)
     seen = [counted([held[k] for k in at.tolist()], at, len(known)) for at in (np.flatnonzero(labels == 0), toxic)]
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
