@@ -91,6 +91,14 @@ def fit(rows: DataFrame, center: np.ndarray, scale: np.ndarray, iterations: int
     return [Model(plain[k].tolist(), float(shift[k]), [float(x[k]) for x in losses]) for k in range(models)]
 
 
+def fit_balanced(rows: DataFrame, width: int, iterations: int = 500) -> Model:
+    """One model over scaled rows (features, binary_label), both classes of equal weight."""
+    counts = {0: 0, 1: 0} | {r[0]: r[1] for r in metrics.labeled(rows).groupBy("binary_label").count().collect()}
+    each = [sum(counts.values()) / (2 * counts[k]) if trainable(counts) else 1.0 for k in (0, 1)]
+    shares = F.array(F.when(F.col("binary_label") == 1, each[1]).otherwise(each[0]).cast("double"))
+    return fit(metrics.labeled(rows).withColumn("shares", shares), np.zeros((1, width)), np.ones((1, width)), iterations)[0]
+
+
 def scored(rows: DataFrame, models: list[Model], where: str = "tests") -> DataFrame:
     """A row (model, ..., probability) for each row and each model for which its array ``where`` is true."""
     p = [F.when(F.col(where)[k], sigmoid(modeling.dot(F.col("features"), m.weights) + m.bias)) for k, m in enumerate(models)]

@@ -151,7 +151,7 @@ def explain_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def logistic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """500 rounds of descent with classes weighted, then scores of all rows."""
     rows = features(spark, sf_dir)
-    return modeling.predicted(rows, modeling.fit_logistic(rows, len(NAMES))).select("doc_id", "probability", "predicted_label")
+    return modeling.predicted(rows, training.fit_balanced(rows, len(NAMES))._asdict()).select("doc_id", "probability", "predicted_label")
 
 
 def _trees(spark: SparkSession, sf_dir: str, learner) -> DataFrame:

@@ -119,6 +119,13 @@ def test_many_models_like_one(spark):
         assert np.allclose(models[k].weights, w / scale) and np.isclose(models[k].bias, b - (w * center / scale).sum())
 
 
+def test_balanced_like_the_plain_fit(spark):
+    rows = spark.range(200).selectExpr("array((id - 100) / 50.0D) AS features", "IF(id > 130, 1, 0) AS binary_label")
+    one, other = training.fit_balanced(rows, 1, 12), modeling.fit_logistic(rows, 1, 12)
+    assert np.allclose(one.weights, other["weights"]) and np.isclose(one.bias, other["bias"])
+
+
+
 def test_folds_curves_and_strategies(spark):
     rows, columns = labelled(spark), (F.col("item_id"), "dataset_row_id", ["x", "z"], ["c"])
     folds = training.cross_validated(rows, *columns, iterations=60).collect()
