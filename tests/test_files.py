@@ -125,7 +125,6 @@ def test_balanced_like_the_plain_fit(spark):
     assert np.allclose(one.weights, other["weights"]) and np.isclose(one.bias, other["bias"])
 
 
-
 def test_folds_curves_and_strategies(spark):
     rows, columns = labelled(spark), (F.col("item_id"), "dataset_row_id", ["x", "z"], ["c"])
     folds = training.cross_validated(rows, *columns, iterations=60).collect()
