@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, minhash, packing, pii, quality, simhash, token_counts, token_files, toxicity, url_filters
+from . import byte_bpe, decontamination, minhash, packing, pii, quality, runs, simhash, token_counts, token_files, toxicity, url_filters, whitening
 from .common import shared_dir, table
 
 
@@ -58,6 +59,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", whitening.fixed_point(F.col("embedding"), 64, 1_000_000).alias("x"))
+    return whitening.whiten(vectors, most=32)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), length=10)
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return runs.digests(runs.find(docs.select("doc_id", runs.looped(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
@@ -69,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
     "op10_pii": op10_pii,
+    "op11_whitening": op11_whitening,
+    "op12_decontamination": op12_decontamination,
+    "op13_runs": op13_runs,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
