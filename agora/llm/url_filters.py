@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import forget, written
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Share that follows links, how little a round may still move a host's score, and how much distrust must exceed trust.
+#: Share that follows links, how much all hosts together may still gain in the end, and how much distrust must exceed trust.
 DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-4, 0.5
 #: Scores of hosts are sent to every task up to so many bytes; more are joined.
 BROADCAST_BYTES = 16 << 20
@@ -54,9 +54,11 @@ def links(pages: DataFrame) -> DataFrame:
 def spread(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, score): seeds (host, weight) and what reaches others over edges (src, dst, n), by PageRank from the seeds.
 
-    Each round moves what the last one brought, and ends when no host gains more than
-    ``tolerance``: weights shrink by the damping with every link, so that it always ends.  Without
-    edges the seeds alone have scores.  Rounds are written to the shared folder; joins on hosts are
+    Each round moves what the last one brought, and the last is when all hosts together could gain
+    no more than ``tolerance`` from further ones, so that no host's score is off by more, however
+    thin its share is spread on the way.  What is under way shrinks by the damping with every link:
+    it always ends, after rounds that grow with the logarithm of the seeds' weight.  Without edges
+    the seeds alone have scores.  Rounds are written to the shared folder; joins on hosts are
     split by Spark where a host has many links.
     """
     fresh = written(seeds.select("host", F.col("weight").alias("score")), "ranks")
@@ -65,7 +67,7 @@ def spread(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE) ->
     out = edges.groupBy("src").agg(F.sum("n").alias("all"))
     shares = written(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "shares")
     total = fresh
-    while (fresh.agg(F.max("score")).first()[0] or 0.0) > tolerance:
+    while (fresh.agg(F.sum("score")).first()[0] or 0.0) * DAMPING / (1 - DAMPING) > tolerance:
         moved = shares.join(fresh, F.col("src") == F.col("host")).groupBy(F.col("dst").alias("host")).agg((DAMPING * F.sum(F.col("share") * F.col("score"))).alias("score"))
         moved = written(moved, "moved")
         summed = written(total.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score")), "ranks")

@@ -88,6 +88,17 @@ def test_distrust_reaches_hosts_many_links_away(spark):
     assert [len(r.path) for r in df.collect()] == [200_001] * 2
 
 
+@pytest.mark.parametrize("wide", [50, 20_000])
+def test_trust_spread_thin_gathers_again(spark, wide):
+    """A trusted host links to many, all of which link to one: it has 0.85 squared of the trust, at any width."""
+    pages = spark.range(wide).selectExpr("id AS page_id", "concat('http://m', id, '.io/') AS url", "'<a href=\"http://hub.io/\">' AS html")
+    fan = spark.createDataFrame([(-1, "http://a.net/", " ".join(f'<a href="http://m{k}.io/">' for k in range(wide))), (-2, "http://hub.io/", "")], "page_id long, url string, html string")
+    got = url_filters.judge(pages.unionByName(fan), [("net/", "allow")]).where("page_id = -2").first()
+    assert abs(got.trust - 0.85**2) < 1e-4 and got.distrust == 0
+    blocked = url_filters.judge(spark.createDataFrame([(-1, "http://hub.net/", "")], fan.schema).unionByName(pages.selectExpr("page_id", "url", "'<a href=\"http://hub.net/\">' AS html")).unionByName(fan.where("page_id = -1").selectExpr("page_id", "'http://x.io/' AS url", "html")), [("net/", "block")]).where("host = 'x.io'").first()
+    assert abs(blocked.distrust - 0.85**2) < 1e-4 and blocked.verdict == "block"
+
+
 def test_rule_ties_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.net/en/x", "", "r", 1.0), (1, "http://a.net/en/x", "", "r", 1.0)], "page_id long, url string, html string, rule string, trust double")
     got = url_filters.judge(pages, [("net/en/", "allow"), ("net/en/", "block"), ("net/", "block")]).collect()
