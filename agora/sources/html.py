@@ -1,7 +1,9 @@
 """HTML as a table of nodes: a small parser emits nodes in document order, all else is Spark's work.
 
 A node has its place in preorder and that of its last descendant, so that anything about subtrees
-is a difference of running sums within the page.  Every node of a page is kept, however many.
+is a difference of running sums within the page.  Texts stand in document order as ``pieces`` at the
+node opened last before them, whosever they are; a node's own and those below it are the page's
+pieces from its first to ``pieces_end``.  Every node of a page is kept, however many.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ NEAREST = 8
 #: Nodes of a batch: whole pages until there are so many.
 BATCH = 20_000
 
-_TYPES = {"page_id": pa.int64(), "node": pa.int32(), "parent": pa.int32(), "last": pa.int32(), "depth": pa.int32(), "tag": pa.string(), "attrs": pa.map_(pa.string(), pa.string()), "text": pa.string(), "ancestors": pa.string()}
-SCHEMA = "page_id long, node int, parent int, last int, depth int, tag string, attrs map<string,string>, text string, ancestors string"
+_TYPES = {"page_id": pa.int64(), "node": pa.int32(), "parent": pa.int32(), "last": pa.int32(), "depth": pa.int32(), "tag": pa.string(), "attrs": pa.map_(pa.string(), pa.string()), "text": pa.string(), "ancestors": pa.string(), "pieces": pa.list_(pa.string()), "pieces_end": pa.int32()}
+SCHEMA = "page_id long, node int, parent int, last int, depth int, tag string, attrs map<string,string>, text string, ancestors string, pieces array<string>, pieces_end int"
 
 
 class _Tree(HTMLParser):
@@ -33,10 +35,12 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.open: list[int] = []
+        self.n_pieces = 0
 
     def _close(self, upto: int) -> None:
         for node in self.open[upto:]:
             self.rows[node][2] = len(self.rows) - 1
+            self.rows[node][9] = self.n_pieces
         del self.open[upto:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -48,7 +52,7 @@ class _Tree(HTMLParser):
             if held in ("ul", "ol", "table", "div", "section", "article"):
                 break
         path = "/".join([self.rows[n][4] for n in self.open[-NEAREST:]])
-        self.rows.append([len(self.rows), self.open[-1] if self.open else -1, len(self.rows), len(self.open), tag, {k: v or "" for k, v in attrs}, [], path])
+        self.rows.append([len(self.rows), self.open[-1] if self.open else -1, len(self.rows), len(self.open), tag, {k: v or "" for k, v in attrs}, [], path, [], self.n_pieces])
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
 
@@ -61,6 +65,8 @@ class _Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open:
             self.rows[self.open[-1]][6].append(data)
+            self.rows[-1][8].append(data)
+            self.n_pieces += 1
 
 
 def parsed(html: str | None) -> list[list]:
@@ -74,7 +80,7 @@ def parsed(html: str | None) -> list[list]:
 
 
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(page_id, node, parent, last, depth, tag, attrs, text, ancestors) of all pages; a null page has no nodes."""
+    """(page_id, node, parent, last, depth, tag, attrs, text, ancestors, pieces, pieces_end) of all pages; a null page has no nodes."""
 
     def batch(rows: list[list]) -> pa.RecordBatch:
         columns = [*zip(*rows)]
