@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -20,6 +19,7 @@ from pyspark.sql import types as T
 from agora.functions.hashing import hash31
 from agora.functions.numbers import ratio
 from agora.functions.text import emoji_count, squeezed
+from agora.operators.tree import Pages, by_page
 from agora.session import written
 
 #: Keyword patterns on text in lower case without accents.
@@ -158,34 +158,12 @@ def counted(nodes: DataFrame) -> DataFrame:
     sums = [c for c in names if c[:2] in ("m_", "a_")]
     kinds = T.StructType([T.StructField(f.name, T.LongType()) if f.name in sums else f for f in nodes.schema.fields] + [T.StructField(f"own_{c}", T.LongType()) for c in OWN])
 
-    def summed(rows: pa.Table) -> pa.RecordBatch:
-        page = rows.column("page_id").to_numpy()
-        node, last = (rows.column(c).to_numpy().astype(np.int64) for c in ("node", "last"))
-        at = np.cumsum(np.concatenate([[0], page[1:] != page[:-1]])) << 32
-        ends = np.searchsorted(at + node, at + last, "right") - 1
-        own = {c: rows.column(c).to_numpy().astype(np.int64) for c in sums}
-        running = {c: np.cumsum(x) for c, x in own.items()}
-        columns = {c: pa.array(running[c][ends] - running[c] + own[c]) if c in sums else rows.column(c).combine_chunks() for c in names}
+    def summed(pages: Pages) -> pa.RecordBatch:
+        own = {c: pages.column(c).astype(np.int64) for c in sums}
+        columns = {c: pa.array(pages.sums(own[c])) if c in sums else pages.rows.column(c) for c in names}
         return pa.RecordBatch.from_pydict(columns | {f"own_{c}": pa.array(own[c]) for c in OWN})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            page = batch.column("page_id").to_numpy()
-            starts = np.flatnonzero(page[1:] != page[:-1]) + 1
-            if held and held[-1].column("page_id")[0].as_py() != page[0]:
-                yield summed(pa.Table.from_batches(held))
-                held = []
-            if len(starts):  # whole pages go on; the last page of a batch may have more nodes in the next
-                yield summed(pa.Table.from_batches([*held, batch.slice(0, int(starts[-1]))]))
-                held = []
-            held.append(batch.slice(int(starts[-1]) if len(starts) else 0))
-        if held:
-            yield summed(pa.Table.from_batches(held))
-
-    return nodes.repartition("page_id").sortWithinPartitions("page_id", "node").mapInArrow(run, kinds)
+    return by_page(nodes, summed, kinds)
 
 
 def signatures(nodes: DataFrame) -> DataFrame:
@@ -222,31 +200,35 @@ def repeated(nodes: DataFrame) -> DataFrame:
     )
 
 
-def above(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Each of ``chosen`` (page_id, node) with itself and its ancestors, in columns that start with ``up_``."""
-    own = chosen.select("page_id", "node").distinct()
-    up = nodes.select("page_id", *(F.col(c).alias(f"up_{c}") for c in nodes.columns if c != "page_id"))
-    return own.join(up, "page_id").where("up_node <= node AND node <= up_last")
+#: Further than any input can be.
+_FAR = 1 << 40
 
 
 def input_distances(nodes: DataFrame, chosen: DataFrame, editable: Column | None = None) -> DataFrame:
     """(page_id, node, textarea and contenteditable distances, flags): steps through the tree to the nearest input.
 
     Null where a page has none; flags are false then.  ``editable`` tells which nodes are, if not
-    their attributes do.
+    their attributes do.  The nearest input below each node goes up the levels of depth, and the
+    best way over an ancestor comes down again.
     """
     kinds = {"textarea": F.col("tag") == "textarea", "contenteditable": F.col("attrs").getItem("contenteditable").isNotNull() if editable is None else editable}
-    inputs = nodes.where(kinds["textarea"] | kinds["contenteditable"])
-    least = {k: F.min(F.when(F.col(f"is_{k}"), F.col("in_depth"))).alias(f"least_{k}") for k in kinds}
-    marks = inputs.select("page_id", "node", F.col("depth").alias("in_depth"), *(F.coalesce(v, F.lit(False)).alias(f"is_{k}") for k, v in kinds.items()))
-    # the least depth of an input below each of its ancestors, then the best common ancestor of a chosen node
-    spans = above(nodes.select("page_id", "node", "last", "depth"), inputs).join(marks, ["page_id", "node"]).groupBy("page_id", "up_node", "up_last", "up_depth").agg(*least.values())
-    own = nodes.select("page_id", "node", "depth").join(chosen.select("page_id", "node").distinct(), ["page_id", "node"])
-    near = own.join(spans, "page_id").where("up_node <= node AND node <= up_last")
-    steps = lambda k: F.min(F.col("depth") + F.col(f"least_{k}") - 2 * F.col("up_depth"))
-    found = near.groupBy("page_id", "node").agg(*(steps(k).alias(f"{k}_tree_proximity") for k in kinds))
+    names = list(kinds)
+
+    def step(pages: Pages) -> pa.RecordBatch:
+        depth = pages.column("depth").astype(np.int64)
+        rows = np.flatnonzero(pages.rows.column("_chosen").fill_null(False).to_numpy(zero_copy_only=False))
+        found = []
+        for kind in names:
+            held = np.where(pages.rows.column(f"is_{kind}").to_numpy(zero_copy_only=False), depth, _FAR)
+            over = pages.down(pages.up(held, np.minimum) - 2 * depth, np.minimum)
+            steps = (over + depth)[rows]
+            found.append(pa.array(steps, pa.int64(), mask=steps > _FAR >> 1))
+        return pa.RecordBatch.from_arrays([pa.array(pages.page[rows]), pa.array(pages.node[rows].astype(np.int32)), *found], ["page_id", "node", *(f"{k}_tree_proximity" for k in names)])
+
+    marks = nodes.select("page_id", "node", "parent", "last", "depth", *(F.coalesce(v, F.lit(False)).alias(f"is_{k}") for k, v in kinds.items()))
+    marks = marks.join(chosen.select("page_id", "node").distinct().withColumn("_chosen", F.lit(True)), ["page_id", "node"], "left")
     text, edit = F.col("textarea_tree_proximity"), F.col("contenteditable_tree_proximity")
-    return own.select("page_id", "node").join(found, ["page_id", "node"], "left").withColumns({
+    return by_page(marks, step, "page_id long, node int, textarea_tree_proximity long, contenteditable_tree_proximity long").withColumns({
         "nearest_input_distance": F.least(text, edit),
         **{name: F.coalesce(col < most, F.lit(False)) for name, col, most in (("has_nearby_textarea", text, 30), ("textarea_close", text, 20), ("aligned_with_textarea", text, 15), ("textarea_very_close", text, 10), ("aligned_with_content_editable", edit, 15))},
     })

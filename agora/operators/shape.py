@@ -1,18 +1,20 @@
 """Places and kinds of single nodes: paths, distances to inputs, kinds for a graph, nested candidates.
 
-Ancestors come from one equality join by page: a node's ancestors are those whose span of places
-(``node`` to ``last``) holds it.  Pages have bounded numbers of nodes, and only chosen nodes are joined.
+What goes up the tree is read in passes over whole pages, which cost in proportion to their nodes.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions.hashing import hash31
 from agora.functions.text import squeezed
 from agora.operators import dom
-from agora.operators.dom import above, input_distances  # noqa: F401
+from agora.operators.dom import input_distances  # noqa: F401
+from agora.operators.tree import Pages, by_page
 
 #: What the kinds of graph nodes are told by.
 ACTION_TAGS = ("a", "button", "input", "label", "select", "summary", "textarea")
@@ -49,13 +51,73 @@ def attributes() -> dict[str, Column]:
     }
 
 
-def paths(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(page_id, node, xpath, sigpath, node_id) of ``chosen``: indexed tags and signature ids from the root down."""
-    steps = above(dom.signatures(placed(nodes)).select("page_id", "node", "last", "depth", "tag", "tag_index", "signature", "sig_id"), chosen)
-    step = F.struct(F.col("up_depth").alias("depth"), F.concat(F.lit("/"), "up_tag", F.lit("["), "up_tag_index", F.lit("]")).alias("step"), F.col("up_sig_id").alias("sig"))
-    down = steps.groupBy("page_id", "node").agg(F.array_sort(F.collect_list(step)).alias("steps"), F.max_by("up_signature", "up_depth").alias("signature"))
-    out = down.select("page_id", "node", "signature", F.array_join(F.transform("steps", lambda s: s["step"]), "").alias("xpath"), F.array_join(F.transform("steps", lambda s: s["sig"].cast("string")), "->").alias("sigpath"))
-    return out.select("page_id", "node", "xpath", "sigpath", hash31(F.concat_ws("|", "xpath", "signature")).alias("node_id"))
+def _escaped(name: str) -> str:
+    """An id as CSS writes it: a backslash before what is no plain character."""
+    return "".join("\\" + c if c in " !\"#$%&'()*+,./:;<=>?@[\\]^`{|}~" else c for c in name)
+
+
+def _steps(pages: Pages) -> tuple[np.ndarray, np.ndarray]:
+    """(index, count): each node's place among its siblings of the same tag, and how many these are."""
+    tags = pages.rows.column("tag").dictionary_encode().indices.to_numpy()
+    family = np.where(pages.parent >= 0, pages.parent, -1 - pages.first)
+    order = np.lexsort((pages.node, tags, family))
+    fresh = np.concatenate([[True], (tags[order][1:] != tags[order][:-1]) | (family[order][1:] != family[order][:-1])])
+    starts = np.flatnonzero(fresh)
+    sizes = np.diff([*starts, len(order)])
+    index, count = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    index[order], count[order] = np.arange(len(order)) - np.repeat(starts, sizes) + 1, np.repeat(sizes, sizes)
+    return index, count
+
+
+def paths(nodes: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """(page_id, node, xpath, xpath_star, css_path, sigpath, node_id) of ``chosen``, or of all nodes.
+
+    An xpath has an index where it is over 1, and its last becomes ``*`` in xpath_star.  A css_path
+    goes up to the nearest id and has an index where siblings share the tag.  sigpath has the
+    signature ids from the root down.
+    """
+
+    def step(pages: Pages) -> pa.RecordBatch:
+        index, count = _steps(pages)
+        tags, ids, sigs, shapes = (pages.rows.column(c).to_pylist() for c in ("tag", "id", "sig_id", "signature"))
+        places, counts, parents = index.tolist(), count.tolist(), pages.parent.tolist()
+        out = []
+        for row in np.flatnonzero(pages.rows.column("_chosen").fill_null(False).to_numpy(zero_copy_only=False)).tolist():
+            xpath, css, sig, at, ended = [], [], [], row, False
+            while at >= 0:
+                xpath.append(tags[at] if places[at] == 1 else f"{tags[at]}[{places[at]}]")
+                sig.append(str(sigs[at]))
+                if not ended:
+                    ended = bool(ids[at])
+                    css.append(f"css={tags[at]}#{_escaped(ids[at])}" if ended else f"css={tags[at]}" + (f":nth-of-type({places[at]})" if counts[at] > 1 else ""))
+                at = parents[at]
+            path = "/" + "/".join(reversed(xpath))
+            star = (path[: path.rindex("[")] if path.endswith("]") else path) + "[*]"
+            out.append((int(pages.page[row]), int(pages.node[row]), path, star, " >> ".join(reversed(css)), "->".join(reversed(sig)), f"{path}|{shapes[row]}"))
+        columns = [*zip(*out)] or [()] * 7
+        kinds = (pa.int64(), pa.int32(), *[pa.string()] * 5)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["page_id", "node", "xpath", "xpath_star", "css_path", "sigpath", "named"])
+
+    shaped = dom.signatures(nodes).select("page_id", "node", "parent", "last", "depth", "tag", F.coalesce(F.col("attrs")["id"], F.lit("")).alias("id"), "sig_id", "signature")
+    if chosen is None:
+        marked = shaped.withColumn("_chosen", F.lit(True))
+    else:
+        marked = shaped.join(chosen.select("page_id").distinct(), "page_id", "left_semi").join(chosen.select("page_id", "node").distinct().withColumn("_chosen", F.lit(True)), ["page_id", "node"], "left")
+    found = by_page(marked, step, "page_id long, node int, xpath string, xpath_star string, css_path string, sigpath string, named string")
+    return found.withColumn("node_id", hash31(F.col("named"))).drop("named")
+
+
+def resolved(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(ref_id, page_id, node, by) of ``wanted`` (ref_id, page_id, css_path, xpath): the node that a css_path names, else the xpath.
+
+    A path finds what has it on the page: an equality join of ``paths``, the first in document order
+    where several have it.  Rows whose paths are on no node have a null node.
+    """
+    every = paths(nodes.join(wanted.select("page_id").distinct(), "page_id", "left_semi"))
+    asked = wanted.select("ref_id", "page_id", F.explode(F.array(F.struct(F.lit("css").alias("by"), F.col("css_path").alias("path")), F.struct(F.lit("xpath").alias("by"), F.col("xpath").alias("path")))).alias("w")).select("ref_id", "page_id", "w.by", "w.path").where("path <> ''")
+    held = every.select("page_id", "node", F.explode(F.array("css_path", "xpath")).alias("path"))
+    met = asked.join(held, ["page_id", "path"]).groupBy("ref_id", "page_id").agg(F.min(F.struct("by", "node")).alias("m"))
+    return wanted.select("ref_id", "page_id").join(met, ["ref_id", "page_id"], "left").select("ref_id", "page_id", F.col("m.node").alias("node"), F.col("m.by").alias("by"))
 
 
 def kinds(nodes: DataFrame) -> DataFrame:
@@ -93,7 +155,6 @@ def kinds(nodes: DataFrame) -> DataFrame:
 
 def nested_penalty(candidates: DataFrame, score: str = "score", least: float = 0.35, factor: float = 0.6) -> DataFrame:
     """Candidates (page_id, node, last) with ``final_score``: times ``factor`` below another whose score is ``least`` or more."""
-    outer = candidates.where(F.col(score) >= least).select("page_id", F.col("node").alias("o_node"), F.col("last").alias("o_last"))
-    inner = candidates.select("page_id", "node").join(outer, "page_id").where("o_node < node AND node <= o_last").select("page_id", "node").distinct().withColumn("nested", F.lit(True))
-    final = F.when(F.col("nested"), F.col(score) * factor).otherwise(F.col(score))
-    return candidates.join(inner, ["page_id", "node"], "left").withColumn("final_score", final).drop("nested")
+    order = Window.partitionBy("page_id").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(F.col(score) >= least, F.col("last"))).over(order)  # spans are nested or apart
+    return candidates.withColumn("_reach", reach).withColumn("final_score", F.when(F.col("_reach") >= F.col("node"), F.col(score) * factor).otherwise(F.col(score))).drop("_reach")

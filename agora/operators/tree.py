@@ -19,7 +19,7 @@ class Pages:
     """Some whole pages: ``parent`` and ``last`` are rows of this batch, -1 where there is none."""
 
     def __init__(self, rows: pa.Table):
-        self.rows = rows.combine_chunks()
+        self.rows = rows.combine_chunks().to_batches()[0]
         self.page = self.column("page_id")
         self.node = self.column("node").astype(np.int64)
         starts = np.concatenate([[0], np.flatnonzero(self.page[1:] != self.page[:-1]) + 1])

@@ -36,6 +36,7 @@ class _Tree(HTMLParser):
         self.rows: list[list] = []
         self.open: list[int] = []
         self.n_pieces = 0
+        self.teller = -1  # whose the last piece is
 
     def _close(self, upto: int) -> None:
         for node in self.open[upto:]:
@@ -65,8 +66,12 @@ class _Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open:
             self.rows[self.open[-1]][6].append(data)
-            self.rows[-1][8].append(data)
-            self.n_pieces += 1
+            if self.rows[-1][8] and self.teller == self.open[-1]:  # as after an end tag that ends nothing
+                self.rows[-1][8][-1] += data
+            else:
+                self.rows[-1][8].append(data)
+                self.n_pieces += 1
+            self.teller = self.open[-1]
 
 
 def parsed(html: str | None) -> list[list]:
