@@ -28,6 +28,25 @@ def keyword_text(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKD", t).translate(marks).lower() if t else "")
 
 
+def _bases() -> dict[str, str]:
+    """Small letters that decompose into a letter of ASCII and marks, with that letter."""
+    found = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        base, *marks = unicodedata.normalize("NFKD", c)
+        if c.islower() and base.isascii() and marks and all(map(unicodedata.combining, marks)):
+            found[c] = base
+    return found
+
+
+_BASES = _bases()
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def plain(text: Column) -> Column:
+    """Lower case with the marks of Latin letters taken off, whether they are one character or more."""
+    return F.translate(F.lower(text), "".join(_BASES) + _MARKS, "".join(_BASES.values()))
+
+
 def scan_text(text: Column, most: int = 12_000) -> Column:
     return F.substring(squeezed(text), 1, most)
 

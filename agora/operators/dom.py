@@ -7,7 +7,6 @@ the children in its largest group of like children, and coverages are means over
 from __future__ import annotations
 
 import re
-import unicodedata
 from functools import reduce
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import types as T
 
 from agora.functions.hashing import hash31
 from agora.functions.numbers import ratio
-from agora.functions.text import emoji_count, squeezed
+from agora.functions.text import emoji_count, plain, squeezed
 from agora.operators.tree import Pages, by_page
 from agora.session import written
 
@@ -45,32 +44,13 @@ def _finds(text: Column, pattern: str) -> Column:
     return _has(text, *_stems(pattern)) & text.rlike(pattern)
 
 
-def _bases() -> dict[str, str]:
-    """Small letters that decompose into a letter of ASCII and marks, with that letter."""
-    found = {}
-    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
-        base, *marks = unicodedata.normalize("NFKD", c)
-        if c.islower() and base.isascii() and marks and all(map(unicodedata.combining, marks)):
-            found[c] = base
-    return found
-
-
-_BASES = _bases()
-_MARKS = "".join(map(chr, range(0x300, 0x370)))
-
-
-def _plain(text: Column) -> Column:
-    """Lower case with the marks of Latin letters taken off, whether they are one character or more."""
-    return F.translate(F.lower(text), "".join(_BASES) + _MARKS, "".join(_BASES.values()))
-
-
 def marked(nodes: DataFrame) -> DataFrame:
     """Nodes with one 0/1 column (or length) for each thing that regions count in their subtrees."""
     attr = lambda name: F.coalesce(F.col("attrs")[name], F.lit(""))
     # what many flags read is made once, in a projection of its own
     nodes = nodes.withColumns({"_space": squeezed(F.col("text")), "_href": F.lower(attr("href"))})
-    nodes = nodes.withColumns({"_text": _plain(F.col("_space")), "_blob": _plain(F.concat_ws(" ", attr("class"), attr("id"), attr("name"), attr("aria-label"), attr("title"), attr("placeholder")))})
-    nodes = nodes.withColumn("_label", F.concat_ws(" ", F.col("_text"), _plain(attr("aria-label")), _plain(attr("title"))))
+    nodes = nodes.withColumns({"_text": plain(F.col("_space")), "_blob": plain(F.concat_ws(" ", attr("class"), attr("id"), attr("name"), attr("aria-label"), attr("title"), attr("placeholder")))})
+    nodes = nodes.withColumn("_label", F.concat_ws(" ", F.col("_text"), plain(attr("aria-label")), plain(attr("title"))))
     tag, text, blob, label, href = (F.col(c) for c in ("tag", "_text", "_blob", "_label", "_href"))
     control = tag.isin("button", "a") | (attr("role") == "button")
     shown = ~tag.isin("script", "style")
@@ -91,7 +71,7 @@ def marked(nodes: DataFrame) -> DataFrame:
         "m_prop_date": attr("itemprop") == "datePublished",
         "m_prop_text": attr("itemprop") == "text",
         "m_author": (F.trim(blob) != "") & blob.rlike(r"\b(?:author|user|username|byline|nickname|profile)"),
-        "m_avatar": (tag == "img") & F.concat_ws(" ", blob, _plain(attr("src")), _plain(attr("alt"))).rlike("avatar|gravatar|profile|userpic"),
+        "m_avatar": (tag == "img") & F.concat_ws(" ", blob, plain(attr("src")), plain(attr("alt"))).rlike("avatar|gravatar|profile|userpic"),
         "m_time": (tag == "time") | F.col("attrs").getItem("datetime").isNotNull() | _has(text, "ago", "yesterday", "just now") & text.rlike(r"\b\d+\s*(?:s|m|h|d|sec|min|hour|day|week|month|year)s?\s+ago\b|\byesterday\b|\bjust now\b"),
         "m_profile": (tag == "a") & href.rlike("/(?:user|users|u|profile|member|members|author)/|/@"),
         "m_reply": control & label.rlike(r"\b(?:reply|respond|antworten|repondre|responder)\b"),
@@ -107,7 +87,7 @@ def marked(nodes: DataFrame) -> DataFrame:
         "m_collapse": control & label.rlike(r"\b(?:collapse|expand|show replies|hide replies)\b"),
         "m_more": _has(label, "more") & label.rlike(r"\b(?:load more|show more|view more|more comments)\b"),
         "m_submit": ((tag == "input") & (attr("type") == "submit")) | ((tag == "button") & (attr("type") == "submit")),
-        "m_submit_kw": tag.isin("button", "input") & F.concat_ws(" ", label, _plain(attr("value"))).rlike(HIGH),
+        "m_submit_kw": tag.isin("button", "input") & F.concat_ws(" ", label, plain(attr("value"))).rlike(HIGH),
         "m_counter": _has(text, "/", "characters") & text.rlike(r"\b\d+\s*/\s*\d+\b|characters (?:left|remaining)"),
         "m_cart": _has(text, "add to", "buy now") & text.rlike(r"add to (?:cart|bag|basket)|buy now"),
         "m_price": text.rlike(r"[$€£]\s?\d|eur|\d\s?(?:usd|gbp)"),
@@ -127,7 +107,7 @@ def marked(nodes: DataFrame) -> DataFrame:
         "m_like_count": (_has(blob, "like", "vote", "count", "react") | control) & text.rlike(r"^\d+[km]?$") & blob.rlike(r"\b(?:like|upvote|heart|helpful|agree)"),
         "m_kw_name": _finds(F.lower(F.array_join(F.map_keys("attrs"), " ")), HIGH),
         "m_kw_tag": _finds(tag, HIGH),
-        "m_submit_kw_med": tag.isin("button", "input") & _finds(F.concat_ws(" ", label, _plain(attr("value"))), MEDIUM),
+        "m_submit_kw_med": tag.isin("button", "input") & _finds(F.concat_ws(" ", label, plain(attr("value"))), MEDIUM),
         "m_json_comment": (tag == "script") & (F.lower(attr("type")) == "application/ld+json") & text.rlike(r'"@type"\s*:\s*"comment"'),
         "m_json_action": (tag == "script") & (F.lower(attr("type")) == "application/ld+json") & text.rlike(r'"@type"\s*:\s*"commentaction"'),
         "m_external": (tag == "a") & href.rlike("^(?:https?:)?//"),

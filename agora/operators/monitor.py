@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora.functions.text import squeezed
+from agora.functions.text import plain, squeezed
 from agora.functions.urls import match_score
 
 #: Statements that write.
@@ -85,15 +88,55 @@ ACTIVITY = {
     "avatars": ((0.4, 0.06),),
     "activity": ((10, 0.10), (3, 0.05)),
 }
-TABLE_COST = 0.15
-
-
-def activity_score(family: Column, homogeneity: Column, times: Column, authors: Column, replies: Column, avatars: Column, activity: Column, table: Column) -> Column:
-    """The light score of a live region, between 0 and 1, from its repetition, coverages and activity."""
+#: What attributes, places and tags add to the score or take from it.
+KEYWORDS = (
+    (r"\b(comment|comments|commenter|reply|replies|discussion|discussions|review|reviews|feedback|thread|threads|answer|answers|question|questions|forum|forums|qa|komentarz|komentarze|komentarzy|odpowiedz|odpowiedzi|comentario|comentarios|commentaire|commentaires|kommentar|kommentare|antwort|antworten|resposta|respostas|respuesta|respuestas|reponse|reponses)\b|\bq\s*(?:&|/)\s*a\b", 0.15),
+    (r"\b(post|posts|message|messages|response|responses|conversation|conversations|community|communities)\b", 0.08),
+    (r"\b(item|card|entry|block|unit|feed|list)\b", 0.03),
+)
+COMMERCE = r"\b(add.to.cart|buy.now|price|checkout|purchase|\$|€|£)\b"
+NAVIGATION = r"\b(nav|navigation|menu|header|footer|breadcrumb|sidebar)\b"
+SCHEMA, FEED, COMMENT, COMPOSER, COMMERCE_COST, NAVIGATION_COST, TABLE_COST = 0.12, 0.08, 0.08, 0.06, 0.15, 0.10, 0.15
+
+
+def activity_score(
+    family: Column, homogeneity: Column, times: Column, authors: Column, replies: Column, avatars: Column, activity: Column, table: Column,
+    *, blob: Column | None = None, itemtype: Column | None = None, role: Column | None = None, composer: Column | None = None,
+) -> Column:
+    """The score of a live region, between 0 and 1.
+
+    Of its repetition, the coverages of its units, its activity and its tag; ``blob`` are the tags,
+    attribute names and values of it and its parent, with its short text, in which words for
+    discussions add, and those for shops and menus take away; schema types, roles and an input
+    nearby (``composer``) add.
+    """
     steps = lambda x, *pairs: F.coalesce(*(F.when(x >= at, w) for at, w in pairs), F.lit(0.0))
     found = {"family": family, "homogeneity": homogeneity, "times": times, "authors": authors, "replies": replies, "avatars": avatars, "activity": activity}
-    total = sum((steps(found[name], *pairs) for name, pairs in ACTIVITY.items()), F.lit(0.0)) - F.when(table, TABLE_COST).otherwise(0.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
+    total = sum((steps(found[name], *pairs) for name, pairs in ACTIVITY.items()), F.lit(0.0))
+    some = lambda c, w: F.when(c, w).otherwise(0.0)
+    if blob is not None:
+        total += F.coalesce(*(F.when(plain(blob).rlike(p), w) for p, w in KEYWORDS), F.lit(0.0))
+        total = total - some(blob.rlike("(?i)" + COMMERCE), COMMERCE_COST) - some(blob.rlike("(?i)" + NAVIGATION), NAVIGATION_COST)
+    if itemtype is not None:
+        total += some(F.lower(itemtype).rlike("comment|review"), SCHEMA)
+    if role is not None:
+        total = total + some(role == "feed", FEED) + some(role == "comment", COMMENT)
+    if composer is not None:
+        total += some(composer, COMPOSER)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total - some(table, TABLE_COST)))
+
+
+def live_score(family: int, homogeneity: float, activity: int, tag: str, attrs: dict[str, str], parent_tag: str, parent_attrs: dict[str, str], rows: bool) -> float:
+    """The terms of ``activity_score`` that a tree without texts can tell, of one region of a keyed state."""
+    steps = lambda x, pairs: next((w for at, w in pairs if x >= at), 0.0)
+    blob = " ".join([tag, *(x for kv in sorted(attrs.items()) for x in kv), parent_tag, *(x for kv in sorted(parent_attrs.items()) for x in kv)])
+    words = "".join(c for c in unicodedata.normalize("NFKD", blob) if not "\u0300" <= c <= "\u036f").lower()
+    total = sum(steps(x, ACTIVITY[name]) for name, x in (("family", family), ("homogeneity", homogeneity), ("activity", activity)))
+    total += next((w for p, w in KEYWORDS if re.search(p, words, re.A)), 0.0)
+    total += SCHEMA * bool(re.search("comment|review", attrs.get("itemtype", "").lower()))
+    total += FEED * (attrs.get("role") == "feed") + COMMENT * (attrs.get("role") == "comment")
+    total -= COMMERCE_COST * bool(re.search(COMMERCE, blob, re.I | re.A)) + NAVIGATION_COST * bool(re.search(NAVIGATION, blob, re.I | re.A))
+    return round(max(0.0, min(1.0, total - TABLE_COST * (rows or tag in ("table", "tbody", "tr")))), 9)
 
 
 #: Parts of a query's matches that are ranked on their own before the best of them are ranked together.

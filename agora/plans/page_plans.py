@@ -112,8 +112,3 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = streams.drained(streams.sessions(streams.events(spark, sf_dir), "6 hours"), "complete", "sessions")
     return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
-
-
-@query("SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<script\\b|javascript:|\\bon(?:error|load|click)\\s*=') THEN 'block' WHEN regexp_matches(html, '(?i)<(?:iframe|object|embed|form)\\b|data:text/html') THEN 'flag' ELSE 'pass' END AS verdict FROM pages")
-def insert_security(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", streams.blocked().alias("verdict"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from agora.session import shared_dir
+from agora.streaming.trees import merged_ring
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 #: Counts of like units at which a region is scored anew; then every tenth.
@@ -91,7 +92,33 @@ def promotions(stream: DataFrame, key: str = "user_id") -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, tier int, count int", "count int", "append", GroupStateTimeout.NoTimeout)
 
 
-def blocked(html: str = "html") -> Column:
-    """What inserted content is let do: block, flag or pass, by the first pattern that fits."""
-    col = F.col(html)
-    return F.when(col.rlike(r"(?i)<script\b|javascript:|\bon(?:error|load|click)\s*="), "block").when(col.rlike(r"(?i)<(?:iframe|object|embed|form)\b|data:text/html"), "flag").otherwise("pass")
+def ring(stream: DataFrame, keys: list[str], by: list[Column], size: int, name: str) -> tuple[DataFrame, str]:
+    """(the last ``size`` rows of each key by ``by``, the folder of all its versions), a version a micro-batch.
+
+    A version is the one before with the batch's rows, of which Spark ranks both; so no task holds
+    more than a key's ring and its new rows, and a batch that is run again writes the same version.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    base = f"{shared_dir(spark)}/ring-{name}-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(schema).parquet(f"{base}/versions/{number - 1}") if number else None
+        merged_ring(before, batch, keys, by, size).write.mode("overwrite").parquet(f"{base}/versions/{number}")
+
+    query = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    query.awaitTermination()
+    last = query.lastProgress["batchId"] if query.lastProgress else -1
+    return (spark.read.schema(schema).parquet(f"{base}/versions/{last}") if last >= 0 else spark.createDataFrame([], schema)), f"{base}/versions"
+
+
+def numbered(stream: DataFrame, mode: str, name: str) -> DataFrame:
+    """Runs a stream over all that is available; its rows with the ``batch`` that they came from."""
+    base = f"{shared_dir(stream.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
+    spark, schema = stream.sparkSession, stream.schema
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{base}/out/{number}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    query.awaitTermination()
+    return spark.read.schema(schema.add("batch", "long")).option("recursiveFileLookup", "true").parquet(f"{base}/out")

@@ -1,5 +1,6 @@
 import pytest
 
+from agora.functions.text import plain
 from agora.operators import crawl, dom, scoring
 from agora.sources import html
 from agora.streaming.streams import crossed, tier
@@ -87,7 +88,7 @@ def test_sums_over_subtrees_like_plain_walks(spark):
 
 def test_plain_takes_marks_off(spark):
     df = spark.createDataFrame([("Odpowiedź ÉLÈVE e\u0301 Ż ł ß",)], "t string")
-    assert df.select(dom._plain(df.t)).first()[0] == "odpowiedz eleve e z ł ß"
+    assert df.select(plain(df.t)).first()[0] == "odpowiedz eleve e z ł ß"
 
 
 def test_signature(spark):
