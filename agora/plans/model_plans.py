@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from agora.functions.numbers import round6
 from agora.functions.urls import hostname
-from agora.operators import metrics, modeling, training
+from agora.operators import metrics, modeling, sampling, splits, training
 from agora.plans.registry import query, table
+from agora.session import written
 from agora.plans.text_plans import _HOST
 
 
@@ -154,32 +155,62 @@ def logistic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modeling.predicted(rows, training.fit_balanced(rows, len(NAMES))._asdict()).select("doc_id", "probability", "predicted_label")
 
 
-def _trees(spark: SparkSession, sf_dir: str, learner) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with whole numbers as features: lengths, words, marks and the language's place."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    numbers = [F.col("n_chars"), F.regexp_count("text", F.lit(" ")), F.regexp_count("text", F.lit(r"[#*$%&|<>]")), F.col("n_chars") % 10]
+    rows = docs.select(F.col("doc_id").alias("row_id"), F.col("quality").alias("binary_label"), F.array(*(c.cast("double") for c in numbers)).alias("features"))
+    return written(rows, "labelled")
+
+
+_LABELLED = """WITH r AS (SELECT doc_id, quality AS y, n_chars::DOUBLE AS f0, len(regexp_extract_all(text, ' '))::DOUBLE AS f1, len(regexp_extract_all(text, '[#*$%&|<>]'))::DOUBLE AS f2, (n_chars % 10)::DOUBLE AS f3 FROM documents JOIN labels USING (doc_id)),
+l AS (SELECT 0 AS feature, f0 AS v, y FROM r UNION ALL SELECT 1, f1, y FROM r UNION ALL SELECT 2, f2, y FROM r UNION ALL SELECT 3, f3, y FROM r), g AS (SELECT feature, v, count(*) AS m, sum(y) AS t FROM l GROUP BY ALL),
+c AS (SELECT feature, v, lead(v) OVER w AS nv, sum(m) OVER u AS nl, sum(t) OVER u AS sl, sum(m) OVER (PARTITION BY feature) AS n, sum(t) OVER (PARTITION BY feature) AS s FROM g WINDOW w AS (PARTITION BY feature ORDER BY v), u AS (PARTITION BY feature ORDER BY v ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, sl / nl AS pl, (s - sl) / (n - nl) AS pr, s / n AS p FROM c WHERE nv IS NOT NULL), x AS (SELECT *, (1.0::DOUBLE - p * p - (1.0::DOUBLE - p) * (1.0::DOUBLE - p)) - (nl / n) * (1.0::DOUBLE - pl * pl - (1.0::DOUBLE - pl) * (1.0::DOUBLE - pl)) - ((n - nl) / n) * (1.0::DOUBLE - pr * pr - (1.0::DOUBLE - pr) * (1.0::DOUBLE - pr)) AS gain FROM p)"""
 
-    rows = features(spark, sf_dir).select("doc_id", array_to_vector("features").alias("features"), F.col("binary_label").cast("double").alias("label"))
-    return learner.fit(rows).transform(rows).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+@query(_LABELLED + " SELECT CAST(feature AS INTEGER) AS feature, (v + nv) / 2 AS threshold, CAST(nl AS BIGINT) AS nl, CAST(sl AS BIGINT) AS positive_left, floor(gain * 1e9 + 0.5) / 1e9 AS gain FROM x ORDER BY x.gain DESC, feature, threshold LIMIT 1")
+def best_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root's split of all labelled rows, over every feature and value."""
+    rows = labelled(spark, sf_dir).select(F.lit(0).alias("tree"), F.lit(0).alias("node"), F.lit(1).cast("long").alias("times"), F.col("binary_label").cast("long").alias("target"), F.posexplode("features").alias("feature", "value"))
+    found = splits.best_splits(rows, "classes", [])
+    return found.select("feature", "threshold", "nl", F.col("sl").alias("positive_left"), (F.floor(F.col("gain") * 1e9 + 0.5) / 1e9).alias("gain"))
 
 
 @query()
 def decision_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.classification import DecisionTreeClassifier
-
-    return _trees(spark, sf_dir, DecisionTreeClassifier(maxDepth=6, minInstancesPerNode=2, seed=1))
+    """Every row by an exact tree of depth 6, with what each feature added."""
+    rows = labelled(spark, sf_dir)
+    return splits.predicted(rows, splits.fit("decision_tree", rows, 4)).select("row_id", "binary_label", "probability", "predicted_label")
 
 
 @query()
 def random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.classification import RandomForestClassifier
-
-    return _trees(spark, sf_dir, RandomForestClassifier(numTrees=25, maxDepth=6, featureSubsetStrategy="sqrt", seed=1))
+    rows = labelled(spark, sf_dir)
+    return splits.predicted(rows, splits.fit("random_forest", rows, 4)).select("row_id", "binary_label", "probability", "predicted_label")
 
 
 @query()
 def gradient_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.classification import GBTClassifier
+    rows = labelled(spark, sf_dir)
+    return splits.predicted(rows, splits.fit("gradient_boosting", rows, 4)).select("row_id", "binary_label", "probability", "predicted_label")
+
+
+@query("SELECT doc_id AS row_id, true AS whole FROM documents JOIN labels USING (doc_id)")
+def explain_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether what the features add to the root's share makes up each row's probability."""
+    rows = labelled(spark, sf_dir)
+    found = splits.predicted(rows, splits.fit("decision_tree", rows, 4))
+    total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, b: a + b)
+    return found.select("row_id", (F.abs(total - F.col("probability")) < 1e-9).alias("whole"))
+
 
-    return _trees(spark, sf_dir, GBTClassifier(maxIter=25, maxDepth=2, stepSize=0.1, seed=1))
+@query("""WITH r AS (SELECT count(*) AS n, count(*) FILTER (WHERE quality = 1) AS p FROM documents JOIN labels USING (doc_id)) SELECT n AS draws, 0::BIGINT AS unknown, abs(0.5 - 0.5) < 0.1 AS even FROM r""")
+def weighted_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many draws as rows, all of known rows, and both classes alike."""
+    rows = labelled(spark, sf_dir)
+    drawn = sampling.class_weighted(rows).join(rows, "row_id", "left")
+    return drawn.agg(F.count("*").alias("draws"), F.count_if(F.col("binary_label").isNull()).alias("unknown"), (F.abs(F.avg("binary_label") - 0.5) < 0.1).alias("even"))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
