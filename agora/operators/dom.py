@@ -1,8 +1,4 @@
-"""Structure and features of page regions, as windows and aggregates over the node table.
-
-Counts over subtrees are differences of running sums in document order; the units of a region are
-the children in its largest group of like children, and coverages are means over units.
-"""
+"""Structure of pages over the node table: signatures, groups of like children, ways to inputs, and the words of discussions."""
 
 from __future__ import annotations
 
@@ -29,123 +25,6 @@ QA = r"\b(?:answer|answers|question|questions|qa|qa_answers|odpowiedz|odpowiedzi
 THREAD = r"\b(?:forum|forums|thread|threads|discussion|discussions|post|posts)\b"
 
 
-def _has(text: Column, *words: str) -> Column:
-    return reduce(Column.__or__, (F.contains(text, F.lit(w)) for w in words))
-
-
-def _stems(pattern: str) -> list[str]:
-    """Plain words of which every match of a pattern of alternatives has one at least."""
-    listed = {w for w in re.findall(r"[a-z_]+|&|/", pattern.replace(r"\b", " ").replace(r"\s*", " ")) if len(w) > 1 or not w.isalpha()}
-    return sorted(w for w in listed if not any(w != v and w.startswith(v) for v in listed))
-
-
-def _finds(text: Column, pattern: str) -> Column:
-    """``text.rlike(pattern)``, tried where one of the pattern's plain words occurs alone."""
-    return _has(text, *_stems(pattern)) & text.rlike(pattern)
-
-
-def marked(nodes: DataFrame) -> DataFrame:
-    """Nodes with one 0/1 column (or length) for each thing that regions count in their subtrees."""
-    attr = lambda name: F.coalesce(F.col("attrs")[name], F.lit(""))
-    # what many flags read is made once, in a projection of its own
-    nodes = nodes.withColumns({"_space": squeezed(F.col("text")), "_href": F.lower(attr("href"))})
-    nodes = nodes.withColumns({"_text": plain(F.col("_space")), "_blob": plain(F.concat_ws(" ", attr("class"), attr("id"), attr("name"), attr("aria-label"), attr("title"), attr("placeholder")))})
-    nodes = nodes.withColumn("_label", F.concat_ws(" ", F.col("_text"), plain(attr("aria-label")), plain(attr("title"))))
-    tag, text, blob, label, href = (F.col(c) for c in ("tag", "_text", "_blob", "_label", "_href"))
-    control = tag.isin("button", "a") | (attr("role") == "button")
-    shown = ~tag.isin("script", "style")
-    flags = {
-        "m_link": (tag == "a") & (href != ""),
-        "m_button": control & ~((tag == "a") & (attr("role") != "button")),
-        "m_textarea": tag == "textarea",
-        "m_editable": F.col("attrs").getItem("contenteditable").isNotNull(),
-        "m_heading_count": tag.rlike("^h[1-6]$") & text.rlike(COUNTED),
-        "m_kw_text": shown & _finds(text, HIGH),
-        "m_kw_text_med": shown & _finds(text, MEDIUM),
-        "m_kw_attr": _finds(blob, HIGH),
-        "m_itemtype": attr("itemtype").rlike("(?i)comment"),
-        "m_role_comment": attr("role") == "comment",
-        "m_role_feed": attr("role") == "feed",
-        "m_article": tag == "article",
-        "m_prop_author": attr("itemprop") == "author",
-        "m_prop_date": attr("itemprop") == "datePublished",
-        "m_prop_text": attr("itemprop") == "text",
-        "m_author": (F.trim(blob) != "") & blob.rlike(r"\b(?:author|user|username|byline|nickname|profile)"),
-        "m_avatar": (tag == "img") & F.concat_ws(" ", blob, plain(attr("src")), plain(attr("alt"))).rlike("avatar|gravatar|profile|userpic"),
-        "m_time": (tag == "time") | F.col("attrs").getItem("datetime").isNotNull() | _has(text, "ago", "yesterday", "just now") & text.rlike(r"\b\d+\s*(?:s|m|h|d|sec|min|hour|day|week|month|year)s?\s+ago\b|\byesterday\b|\bjust now\b"),
-        "m_profile": (tag == "a") & href.rlike("/(?:user|users|u|profile|member|members|author)/|/@"),
-        "m_reply": control & label.rlike(r"\b(?:reply|respond|antworten|repondre|responder)\b"),
-        "m_report": control & label.rlike(r"\b(?:report|flag)\b"),
-        "m_reaction": control & label.rlike(r"\b(?:like|likes|upvote|helpful|react)\b"),
-        "m_edit": control & label.rlike(r"\b(?:edit|delete|remove)\b"),
-        "m_share": control & label.rlike(r"\bshare\b"),
-        "m_up": _has(label, "vote") & label.rlike(r"\bupvote\b|\bvote up\b"),
-        "m_down": _has(label, "vote") & label.rlike(r"\bdownvote\b|\bvote down\b"),
-        "m_permalink": (tag == "a") & (href.rlike("#comment|permalink|/comment/") | _has(label, "permalink")),
-        "m_deleted": _has(text, "[", "comment deleted") & text.rlike(r"\[(?:deleted|removed)\]|comment deleted"),
-        "m_quote": tag == "blockquote",
-        "m_collapse": control & label.rlike(r"\b(?:collapse|expand|show replies|hide replies)\b"),
-        "m_more": _has(label, "more") & label.rlike(r"\b(?:load more|show more|view more|more comments)\b"),
-        "m_submit": ((tag == "input") & (attr("type") == "submit")) | ((tag == "button") & (attr("type") == "submit")),
-        "m_submit_kw": tag.isin("button", "input") & F.concat_ws(" ", label, plain(attr("value"))).rlike(HIGH),
-        "m_counter": _has(text, "/", "characters") & text.rlike(r"\b\d+\s*/\s*\d+\b|characters (?:left|remaining)"),
-        "m_cart": _has(text, "add to", "buy now") & text.rlike(r"add to (?:cart|bag|basket)|buy now"),
-        "m_price": text.rlike(r"[$€£]\s?\d|eur|\d\s?(?:usd|gbp)"),
-        "m_rating": _has(blob, "star", "rating") & blob.rlike(r"\b(?:star|stars|rating)\b"),
-        "m_mention": _has(text, "@") & text.rlike(r"(?:^|\s)@[a-z0-9_]{2,}"),
-        "m_hashtag": _has(text, "#") & text.rlike(r"(?:^|\s)#[a-z0-9_]{2,}"),
-        "m_interactive": tag.isin("button", "input", "select", "textarea") | (attr("role") == "button") | F.col("attrs").getItem("tabindex").isNotNull(),
-        "m_form": tag == "form",
-        "m_options": ((tag == "button") | (attr("role") == "button")) & label.rlike(r"\b(?:more|options|menu|actions|settings|ellipsis)\b"),
-        "m_verified": (F.trim(blob) != "") & blob.rlike(r"\b(?:verified|checkmark|badge|tick|official)\b"),
-        "m_spoiler": _has(F.concat_ws(" ", blob, text), "spoiler", "content", "cw:", "sensitive") & F.concat_ws(" ", blob, text).rlike(r"\b(?:spoiler|content.?warning|cw:|sensitive)\b"),
-        "m_read_more": shown & _has(text, "more", "expand") & text.rlike(r"\b(?:read\s+more|show\s+more|see\s+more|expand)\b"),
-        "m_edited": shown & _has(text, "edited", "updated", "modified") & text.rlike(r"\(\s*edited\s*\)|\b(?:last\s+modified|updated|edited)\b"),
-        "m_featured": shown & _has(text, "pinned", "featured", "sticky", "stickied") & text.rlike(r"\b(?:pinned|featured|sticky|stickied)\b"),
-        "m_indent": F.lower(attr("style")).rlike(r"margin-?left:\s*\d+|padding-?left:\s*\d+") | blob.rlike(r"\b(?:indent|level|depth|nested|child-comment|sub-comment)\b"),
-        "m_level": F.concat_ws(" ", blob, F.lower(attr("data-depth")), F.lower(attr("data-level"))).rlike(r"\b(?:level|depth|tier|indent|nested|child)\b"),
-        "m_like_count": (_has(blob, "like", "vote", "count", "react") | control) & text.rlike(r"^\d+[km]?$") & blob.rlike(r"\b(?:like|upvote|heart|helpful|agree)"),
-        "m_kw_name": _finds(F.lower(F.array_join(F.map_keys("attrs"), " ")), HIGH),
-        "m_kw_tag": _finds(tag, HIGH),
-        "m_submit_kw_med": tag.isin("button", "input") & _finds(F.concat_ws(" ", label, plain(attr("value"))), MEDIUM),
-        "m_json_comment": (tag == "script") & (F.lower(attr("type")) == "application/ld+json") & text.rlike(r'"@type"\s*:\s*"comment"'),
-        "m_json_action": (tag == "script") & (F.lower(attr("type")) == "application/ld+json") & text.rlike(r'"@type"\s*:\s*"commentaction"'),
-        "m_external": (tag == "a") & href.rlike("^(?:https?:)?//"),
-    }
-    amounts = {
-        "a_chars": F.when(shown, F.length("_space")).otherwise(0),
-        "a_words": F.when(shown, F.when(F.col("_space") == "", 0).otherwise(F.size(F.split("_space", " ")))).otherwise(0),
-        "a_emoji": F.when(shown, emoji_count(F.col("_space"))).otherwise(0),
-        "a_questions": F.when(shown, F.length("_space") - F.length(F.replace("_space", F.lit("?"), F.lit("")))).otherwise(0),
-        "a_exclaims": F.when(shown, F.length("_space") - F.length(F.replace("_space", F.lit("!"), F.lit("")))).otherwise(0),
-        "a_link_chars": F.when(tag == "a", F.length("_space")).otherwise(0),
-    }
-    out = nodes.withColumns({k: F.coalesce(v, F.lit(False)).cast("int") for k, v in flags.items()} | amounts)
-    return out.withColumn("container_text", blob).drop("_space", "_text", "_blob", "_label", "_href")
-
-
-#: What single nodes hold that their sums over subtrees would hide.
-OWN = ("m_kw_attr", "m_kw_text", "m_author", "m_editable", "m_interactive", "m_form", "m_indent", "m_level", "m_kw_name", "m_kw_tag", "m_verified", "m_options")
-
-
-def counted(nodes: DataFrame) -> DataFrame:
-    """Marked nodes whose m_ and a_ columns are sums over the node and all its descendants.
-
-    Nodes come together by page, in order, once; sums over subtrees are differences of running
-    sums, for whole pages at a time.  ``own_`` columns keep what some had before.
-    """
-    names = nodes.columns
-    sums = [c for c in names if c[:2] in ("m_", "a_")]
-    kinds = T.StructType([T.StructField(f.name, T.LongType()) if f.name in sums else f for f in nodes.schema.fields] + [T.StructField(f"own_{c}", T.LongType()) for c in OWN])
-
-    def summed(pages: Pages) -> pa.RecordBatch:
-        own = {c: pages.column(c).astype(np.int64) for c in sums}
-        columns = {c: pa.array(pages.sums(own[c])) if c in sums else pages.rows.column(c) for c in names}
-        return pa.RecordBatch.from_pydict(columns | {f"own_{c}": pa.array(own[c]) for c in OWN})
-
-    return by_page(nodes, summed, kinds)
-
-
 def signatures(nodes: DataFrame) -> DataFrame:
     """Nodes with child_count, signature (tag and the sorted tags of its children) and sig_id."""
     tags = nodes.groupBy("page_id", F.col("parent").alias("node")).agg(F.array_sort(F.collect_list("tag")).alias("tags"))
@@ -157,7 +36,8 @@ def signatures(nodes: DataFrame) -> DataFrame:
 def repeated(nodes: DataFrame) -> DataFrame:
     """(page_id, node) of parents with their largest group of like children: by signature, or by tag if that is larger.
 
-    Columns: repeating_group_count, group_kind (signature or tag), group_value and sibling_homogeneity_score.
+    Columns: repeating_group_count, sig_group_count, xpath_star_group_count, sig_value, group_kind (signature
+    or tag), group_value and sibling_homogeneity_score.
     """
     children = nodes.where("parent >= 0")
 
@@ -174,9 +54,12 @@ def repeated(nodes: DataFrame) -> DataFrame:
         "page_id",
         F.col("parent").alias("node"),
         F.greatest("s_most", "t_most").alias("repeating_group_count"),
+        F.col("s_most").alias("sig_group_count"),
+        F.col("t_most").alias("xpath_star_group_count"),
+        F.col("s.value").alias("sig_value"),
         F.when(tagwise, "tag").otherwise("signature").alias("group_kind"),
         F.when(tagwise, F.col("t.value")).otherwise(F.col("s.value")).alias("group_value"),
-        F.when(F.col("children") < 2, 0.0).otherwise(ratio(F.col("s_most"), F.col("children"))).alias("sibling_homogeneity_score"),
+        F.when(F.col("children") < 2, 0.0).otherwise(ratio(F.greatest("s_most", "t_most"), F.col("children"))).alias("sibling_homogeneity_score"),
     )
 
 
@@ -212,124 +95,3 @@ def input_distances(nodes: DataFrame, chosen: DataFrame, editable: Column | None
         "nearest_input_distance": F.least(text, edit),
         **{name: F.coalesce(col < most, F.lit(False)) for name, col, most in (("has_nearby_textarea", text, 30), ("textarea_close", text, 20), ("aligned_with_textarea", text, 15), ("textarea_very_close", text, 10), ("aligned_with_content_editable", edit, 15))},
     })
-
-
-def regions(pages_nodes: DataFrame, least_units: int = 2) -> DataFrame:
-    """Features of every node with at least ``least_units`` like children, under the names that ``scoring`` reads."""
-    every = written(signatures(counted(marked(pages_nodes).drop("attrs", "text"))), "counted-nodes")
-    groups = written(repeated(every), "groups")
-    found = groups.where(F.col("repeating_group_count") >= least_units)
-    roots = every.join(found, ["page_id", "node"])
-    # the next node of a like signature lies below a node exactly if any does
-    alike = Window.partitionBy("page_id", "signature").orderBy("node")
-    inner = groups.where("repeating_group_count >= 2").select("page_id", "node", F.lit(True).alias("inner_group"))
-    children = every.withColumn("recursive", F.coalesce(F.lead("node").over(alike) <= F.col("last"), F.lit(False))).join(inner, ["page_id", "node"], "left")
-    units = children.select("page_id", F.col("parent").alias("node"), F.col("node").alias("u_node"), "recursive", F.coalesce("inner_group", F.lit(False)).alias("inner_group"), *(F.col(f"own_{c}").alias(f"u_own_{c}") for c in ("m_indent", "m_level")), F.col("signature").alias("u_signature"), F.col("tag").alias("u_tag"), *(F.col(c).alias(f"u_{c}") for c in every.columns if c[:2] in ("m_", "a_")), F.col("child_count").alias("u_children"))
-    joined = found.join(units, ["page_id", "node"]).where(F.when(F.col("group_kind") == "tag", F.col("u_tag")).otherwise(F.col("u_signature")) == F.col("group_value"))
-    has = lambda c: F.avg((F.col(f"u_{c}") > 0).cast("double"))
-    both = lambda *c: F.max(F.least(*(F.col(f"u_{x}") for x in c)) > 0)
-    of_units = joined.groupBy("page_id", "node").agg(
-        has("m_reply").alias("reply_button_unit_coverage"),
-        has("m_report").alias("report_flag_unit_coverage"),
-        has("m_reaction").alias("reaction_coverage"),
-        has("m_edit").alias("edit_delete_coverage"),
-        has("m_time").alias("time_datetime_per_unit"),
-        has("m_profile").alias("profile_link_coverage"),
-        F.avg(((F.col("u_m_kw_attr") + F.col("u_m_kw_text")) > 0).cast("double")).alias("keyword_unit_high_coverage"),
-        F.avg(((F.col("u_m_avatar") > 0) & (F.col("u_m_author") > 0)).cast("double")).alias("author_avatar_coverage"),
-        F.max((F.col("u_m_avatar") > 0) & (F.col("u_m_author") > 0) & (F.col("u_m_time") > 0)).alias("author_timestamp_colocated"),
-        both("m_up", "m_down").alias("upvote_downvote_pair"),
-        F.max(F.col("u_m_permalink") > 0).alias("permalink_per_unit"),
-        F.max(F.col("u_m_share") > 0).alias("share_button_per_unit"),
-        F.max(F.col("u_m_quote") > 0).alias("quote_block_per_unit"),
-        F.max(F.col("u_m_price") > 0).alias("price_currency_in_unit"),
-        F.avg((F.col("u_a_chars") < 10).cast("double")).alias("empty_unit_share"),
-        F.max("recursive").alias("sig_id_recursive_nesting"),
-        F.max("inner_group").cast("int").alias("reply_nesting_depth"),
-        F.max_by(F.col("u_m_featured") > 0, -F.col("u_node")).alias("pinned_post_indicator"),
-        *(F.count_if(F.col(c) > 0).alias(n) for c, n in (("u_own_m_indent", "indented_unit_count"), ("u_own_m_level", "depth_indicator_unit_count"), ("u_m_read_more", "units_with_read_more"), ("u_m_edited", "edited_unit_count"), ("u_m_like_count", "units_with_like_count"))),
-    )
-    pages = every.where("parent < 0").groupBy("page_id").agg((F.max("m_json_comment") > 0).alias("json_ld_has_comment_type"), (F.max("m_json_action") > 0).alias("json_ld_has_comment_action"))
-    inputs = input_distances(every, found, F.col("own_m_editable") > 0)
-    scope = every.select("page_id", F.col("node").alias("parent"), *(F.col(c).alias(f"p_{c}") for c in ("m_heading_count", "m_textarea", "m_more", "m_cart", "m_counter", "m_submit", "m_submit_kw", "m_submit_kw_med")))
-    near = F.concat(F.lit("/"), F.array_join(F.slice(F.reverse(F.split("ancestors", "/")), 1, 5), "/"), F.lit("/"))
-    out = roots.join(of_units, ["page_id", "node"]).join(inputs, ["page_id", "node"]).join(scope, ["page_id", "parent"], "left").join(pages, "page_id")
-    links, n = F.col("m_link"), F.col("repeating_group_count")
-    some = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
-    return out.withColumns({
-        "schema_org_comment_itemtype": some("m_itemtype"),
-        "aria_role_comment": some("m_role_comment"),
-        "aria_role_feed_with_articles": some("m_role_feed") & some("m_article"),
-        "aria_role_feed": some("m_role_feed"),
-        "microdata_itemprop_author": some("m_prop_author"),
-        "microdata_itemprop_date_published": some("m_prop_date"),
-        "microdata_itemprop_text": some("m_prop_text"),
-        "comment_header_with_count": some("p_m_heading_count") | some("m_heading_count"),
-        "attributes_contain_keywords": some("m_kw_attr"),
-        "keyword_container_high": some("own_m_kw_attr"),
-        "keyword_container_med": F.col("container_text").rlike(MEDIUM),
-        "keyword_attr_value_high": some("own_m_kw_attr"),
-        "keyword_attr_name_high": some("own_m_kw_name"),
-        "keyword_tag_name_high": some("own_m_kw_tag"),
-        "submit_button_keyword_med": some("p_m_submit_kw_med"),
-        "keyword_direct_text_high": some("own_m_kw_text"),
-        "keyword_text_high": some("m_kw_text"),
-        "keyword_text_med": some("m_kw_text_med"),
-        "keyword_unit_high": F.col("keyword_unit_high_coverage") > 0,
-        "submit_button_keyword_high": some("p_m_submit_kw"),
-        "submit_button_present": some("p_m_submit"),
-        "sig_id_count_weak": n >= 3,
-        "sig_id_count_medium": n >= 8,
-        "sig_id_count_strong": n >= 15,
-        "depth_and_variety_pass": (F.col("last") - F.col("node") >= 3) & (F.col("child_variety") >= 5),
-        "deleted_placeholder_present": some("m_deleted"),
-        "collapse_expand_control": some("m_collapse"),
-        "pagination_load_more_adjacent": some("p_m_more"),
-        "char_counter_near_textarea": some("p_m_counter") & some("p_m_textarea"),
-        "has_avatar": some("m_avatar"),
-        "includes_author": some("m_author"),
-        "has_relative_time": some("m_time"),
-        "has_text_content": F.col("a_chars") > 20,
-        "text_word_count": F.col("a_words"),
-        "text_contains_links": links > 0,
-        "text_contains_mentions": some("m_mention"),
-        "text_contains_hashtags": some("m_hashtag"),
-        "link_density": ratio(F.col("a_link_chars"), F.col("a_chars")),
-        "external_link_density_low": (links > 0) & (F.col("m_external") / F.greatest(links, F.lit(1)) < 0.2),
-        "high_external_link_density": (links > 0) & (F.col("m_external") / F.greatest(links, F.lit(1)) > 0.6),
-        "table_row_structure": F.col("tag").isin("table", "tbody"),
-        "no_text_content_in_units": F.col("empty_unit_share") > 0.8,
-        "add_to_cart_present": some("p_m_cart") | some("m_cart"),
-        "nav_header_ancestor": near.rlike("/(?:nav|header)/") | F.col("tag").isin("nav", "header"),
-        "star_rating_present": some("m_rating"),
-        "star_rating_no_text": some("m_rating") & (F.col("a_words") <= 15),
-        "keyword_container_raw": F.col("container_text"),
-        "thread_depth_indicator": F.col("depth_indicator_unit_count") > 0,
-        "indent_margin_pattern": F.col("indented_unit_count") > 0,
-        "read_more_truncation": F.col("units_with_read_more") > 0,
-        "has_edit_history_indicator": F.col("edited_unit_count") > 0,
-        "like_count_pattern": F.col("units_with_like_count") > 0,
-        "has_more_options_button": F.col("m_options") > F.col("own_m_options"),
-        "verification_badge_count": F.col("m_verified") - F.col("own_m_verified"),
-        "spoiler_tag_present": some("m_spoiler"),
-        "ui_interactive_element_count": F.col("m_interactive") - F.col("own_m_interactive"),
-        "ui_form_count": F.col("m_form") - F.col("own_m_form"),
-        "ui_contenteditable_count": F.col("m_editable") - F.col("own_m_editable"),
-        "text_emoji_count": F.col("a_emoji"),
-        "text_question_mark_count": F.col("a_questions"),
-        "text_exclamation_mark_count": F.col("a_exclaims"),
-    })
-
-
-def suppressed(candidates: DataFrame, score: str = "score", most: int = 25) -> DataFrame:
-    """Greedy choice within each page: the best first, none above or below one already kept, at most ``most``.
-
-    A page's candidates are one sorted array, folded natively; pages have bounded numbers of nodes.
-    """
-    row = F.struct((-F.col(score)).alias("s"), (-F.col("repeating_group_count")).alias("g"), F.col("node"), F.col("last"))
-    sorted_ = candidates.groupBy("page_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
-    apart = lambda kept, c: ~F.exists(kept, lambda k: (k["node"] <= c["last"]) & (c["node"] <= k["last"]))
-    kind = candidates.select(F.array(row)).schema[0].dataType.simpleString()
-    kept = F.aggregate("all", F.array().cast(kind), lambda kept, c: F.when(apart(kept, c) & (F.size(kept) < most), F.array_append(kept, c)).otherwise(kept))
-    chosen = sorted_.select("page_id", F.posexplode(kept).alias("candidate_rank", "c")).select("page_id", F.col("c.node").alias("node"), (F.col("candidate_rank") + 1).alias("candidate_rank"))
-    return candidates.join(chosen, ["page_id", "node"])

@@ -95,7 +95,7 @@ def ugc_type() -> Column:
         F.when(_if("star_rating_present AND has_text_content AND NOT add_to_cart_present"), "product_review")
         .when(_if("aria_role_feed OR share_button_per_unit OR text_contains_mentions OR text_contains_hashtags"), "social_feed")
         .when(container.rlike(QA), "qa_answers")
-        .when(_if("(reply_button_unit_coverage >= 0.5 OR has_nearby_textarea OR comment_header_with_count) AND NOT upvote_downvote_pair AND NOT thread_depth_indicator"), "comment_thread")
+        .when(_if("(reply_button_per_unit OR has_nearby_textarea OR comment_header_with_count) AND NOT upvote_downvote_pair AND NOT thread_depth_indicator"), "comment_thread")
         .when(_if("upvote_downvote_pair OR reply_nesting_depth > 0 OR sig_id_recursive_nesting OR thread_depth_indicator") | container.rlike(THREAD), "forum_thread")
         .when(_if("schema_org_comment_itemtype"), "comment_thread")
         .otherwise("ugc_region")
@@ -126,9 +126,3 @@ def scored(regions: DataFrame) -> DataFrame:
     keyworded = F.col("keyword_gate_tier").isin("strong_keywords", "reinforced_keywords", "medium_keywords_plus_structure")
     label = F.when(F.col("detected"), "ugc").when((F.col("score") >= 10) | F.col("repeated_structure_support") | keyworded, "uncertain").otherwise("not_ugc")
     return out.withColumn("heuristic_pseudo_label", label)
-
-
-def quick_score() -> Column:
-    """The cheap score by which regions are found before all features are made."""
-    parts = [("repeating_group_count >= 3", 3), ("repeating_group_count >= 8", 2), ("sibling_homogeneity_score >= 0.65", 2), ("text_word_count >= 40", 2), ("attributes_contain_keywords", 3), ("nav_header_ancestor", -3), ("link_density > 0.75", -2)]
-    return reduce(Column.__add__, (F.when(_if(c), w).otherwise(0) for c, w in parts))

