@@ -44,7 +44,7 @@ def css_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selectors.select(page_nodes(spark, sf_dir), SELECTED).groupBy("selector", "page_id").agg(F.count("*").alias("n"))
 
 
-_DECODED = "replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_DECODED = "replace(replace(replace(replace({0}, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 
 
 @query(

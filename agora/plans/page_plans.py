@@ -35,8 +35,8 @@ def best(found: DataFrame, most: int = 50) -> DataFrame:
 #: The two structures of the test pages that repeat, in SQL: the list of links, and the article's paragraphs.
 _STRUCTURES = r"""WITH h AS (SELECT page_id, regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1) AS u, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
 t AS (SELECT page_id, 'ul' AS tag, u AS inner_html, regexp_extract_all(u, '(?s)<a href="[^"]*">(.*?)</a>', 1) AS parts FROM h UNION ALL SELECT page_id, 'article', a, list_transform(string_split(a, '<p>')[2:], lambda x: regexp_replace(x, '<[^>]*>', ' ', 'g')) FROM h),
-d AS (SELECT page_id, tag, len(parts) AS n, len(parts) + (tag = 'article')::INT AS child_count, list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\n\r\f\x0b]+', ' ', 'g'))) AS parts,
-trim(regexp_replace(replace(replace(replace(regexp_replace(inner_html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\n\r\f\x0b]+', ' ', 'g')) AS words FROM t WHERE len(parts) > 0),
+d AS (SELECT page_id, tag, len(parts) AS n, len(parts) + (tag = 'article')::INT AS child_count, list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\n\r\f\x0b]+', ' ', 'g'))) AS parts,
+trim(regexp_replace(replace(replace(replace(replace(regexp_replace(inner_html, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\n\r\f\x0b]+', ' ', 'g')) AS words FROM t WHERE len(parts) > 0),
 c AS (SELECT *, length(words) AS chars, n / child_count AS same, (CASE WHEN n >= 4 AND n / child_count >= 0.75 THEN 3 ELSE 0 END + CASE WHEN n >= 3 THEN 3 ELSE 0 END + CASE WHEN n >= 8 THEN 2 ELSE 0 END + CASE WHEN child_count > 1 AND n / child_count >= 0.6 THEN 2 ELSE 0 END + (tag = 'ul')::INT + (length(words) >= 200)::INT) AS quick FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY quick DESC, n DESC, chars DESC) AS place FROM c WHERE quick >= 3 AND ((n >= 4 AND same >= 0.75 AND chars >= 20) OR (n >= 3 AND same >= 0.5 AND chars >= 80) OR (child_count >= 4 AND same >= 0.75 AND chars >= 160)))"""
 #: Of the rules those that the test pages can meet, written out on their own.

@@ -68,17 +68,17 @@ def attribute_security(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of mutations made of all events: views, clicks and signups insert, errors remove, purchases set attributes.
 
-    A page is a 97th of the users.  Every third insertion is a section, which the next ones go into.
+    A page is a 97th of the users.  Some insertions are sections, which the next ones go into.
     """
     k = F.get_json_object("props", "$.k").cast("int")
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 97).alias("page"), F.col("event_id").alias("seq"), "event_type", k.alias("k"))
     e = e.withColumn("inserts", F.col("event_type").isin("view", "click", "signup"))
     before = Window.partitionBy("page").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     e = e.withColumns({
-        "section": F.last(F.when(F.col("inserts") & (F.col("k") % 3 == 0), F.col("seq")), True).over(before),
-        "entry": F.last(F.when(F.col("inserts") & (F.col("k") % 3 != 0), F.col("seq")), True).over(before),
+        "section": F.last(F.when(F.col("inserts") & (F.col("k") % 30 == 0), F.col("seq")), True).over(before),
+        "entry": F.last(F.when(F.col("inserts") & (F.col("k") % 30 != 0), F.col("seq")), True).over(before),
     })
-    top = (F.col("k") % 3 == 0) & (F.col("k") % 2 == 0)
+    top = F.col("k") % 60 == 0
     in_section = F.coalesce("section", F.lit(0).cast("long"))
     kind = F.when(F.col("inserts"), "insert").when(F.col("event_type") == "error", "remove").otherwise("attribute")
     names = F.when(F.col("k") % 2 == 0, "class").otherwise("role")
@@ -87,7 +87,7 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page", "seq", kind.alias("kind"),
         F.when(F.col("inserts"), F.when(top, F.lit(0).cast("long")).otherwise(in_section)).when(kind == "remove", F.lit(0).cast("long")).otherwise(in_section).alias("target"),
         F.when(F.col("inserts"), F.col("seq")).when(kind == "remove", F.col("entry")).alias("node"),
-        F.when(F.col("inserts"), F.when(F.col("k") % 3 == 0, "section").when(F.col("k") % 2 == 0, "div").otherwise("p")).alias("tag"),
+        F.when(F.col("inserts"), F.when(F.col("k") % 30 == 0, "section").when(F.col("k") % 7 == 0, "div").otherwise("p")).alias("tag"),
         F.when(kind == "attribute", names).alias("name"),
         F.when(kind == "attribute", values).when(F.col("k") % 7 == 0, "<img onerror=x>").otherwise("<p>").alias("value"),
     )
@@ -115,9 +115,9 @@ def followed(spark: SparkSession, log: DataFrame, files: int | None = None) -> D
 
 
 _LOG = """WITH RECURSIVE e AS (SELECT user_id % 97 AS page, event_id AS seq, event_type, CAST(props->>'k' AS INTEGER) AS k, event_type IN ('view', 'click', 'signup') AS ins FROM events),
-w AS (SELECT *, last_value(CASE WHEN ins AND k % 3 = 0 THEN seq END IGNORE NULLS) OVER b AS section, last_value(CASE WHEN ins AND k % 3 <> 0 THEN seq END IGNORE NULLS) OVER b AS entry FROM e WINDOW b AS (PARTITION BY page ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+w AS (SELECT *, last_value(CASE WHEN ins AND k % 30 = 0 THEN seq END IGNORE NULLS) OVER b AS section, last_value(CASE WHEN ins AND k % 30 <> 0 THEN seq END IGNORE NULLS) OVER b AS entry FROM e WINDOW b AS (PARTITION BY page ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 gone AS (SELECT DISTINCT page, entry AS node FROM w WHERE event_type = 'error'),
-nodes AS (SELECT page, seq AS node, CASE WHEN k % 6 = 0 THEN 0 ELSE coalesce(section, 0) END AS parent, CASE WHEN k % 3 = 0 THEN 'section' WHEN k % 2 = 0 THEN 'div' ELSE 'p' END AS tag FROM w WHERE ins),
+nodes AS (SELECT page, seq AS node, CASE WHEN k % 60 = 0 THEN 0 ELSE coalesce(section, 0) END AS parent, CASE WHEN k % 30 = 0 THEN 'section' WHEN k % 7 = 0 THEN 'div' ELSE 'p' END AS tag FROM w WHERE ins),
 live AS (SELECT * FROM nodes ANTI JOIN gone USING (page, node)),
 tags AS (SELECT page, parent AS node, string_agg(tag, ',' ORDER BY tag) AS tags FROM live GROUP BY ALL), shaped AS (SELECT l.page, l.parent, l.tag || '[' || coalesce(tags, '') || ']' AS sig FROM live l LEFT JOIN tags t ON l.page = t.page AND l.node = t.node),
 grp AS (SELECT page, node, max(n) AS size, sum(n) AS children FROM (SELECT page, parent AS node, sig, count(*) AS n FROM shaped GROUP BY ALL) GROUP BY ALL), act AS (SELECT page, parent AS node, count(*) AS activity FROM nodes GROUP BY ALL),
@@ -136,7 +136,7 @@ raws AS (SELECT *, round(greatest(0, CASE WHEN size >= 15 THEN 0.25 WHEN size >=
 + CASE WHEN blob LIKE '%comment%' THEN 0.15 WHEN blob LIKE '%card%' OR blob LIKE '%feed%' THEN 0.03 ELSE 0 END + CASE WHEN feed THEN 0.08 ELSE 0 END - CASE WHEN blob LIKE '%price%' THEN 0.25 ELSE 0 END), 9)::DOUBLE AS raw FROM known),
 ups AS (SELECT page, node, parent AS up FROM known WHERE parent IS NOT NULL UNION SELECT u.page, u.node, p.parent FROM ups u JOIN place p ON p.page = u.page AND p.node = u.up WHERE p.parent IS NOT NULL),
 nested AS (SELECT DISTINCT u.page, u.node FROM ups u JOIN raws r ON r.page = u.page AND r.node = u.up WHERE r.raw >= 0.35)
-SELECT r.page, r.node, CAST(size AS INTEGER) AS size, CAST(r.raw * 1000 + 0.5 AS BIGINT) AS raw_milli, n.node IS NOT NULL AS nested FROM raws r LEFT JOIN nested n ON n.page = r.page AND n.node = r.node"""
+SELECT r.page, r.node, CAST(size AS INTEGER) AS size, CAST(r.raw * 1000 + 0.5 AS BIGINT) AS raw_milli, n.node IS NOT NULL AND r.raw > 0 AS nested FROM raws r LEFT JOIN nested n ON n.page = r.page AND n.node = r.node"""
 
 
 @query(_SCORED)
