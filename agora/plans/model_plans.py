@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from agora.functions.numbers import round6
 from agora.functions.urls import hostname
-from agora.operators import metrics, modeling, sampling, splits, training
+from agora.operators import artifacts, metrics, modeling, sampling, splits, training
 from agora.plans.registry import query, table
 from agora.session import written
 from agora.plans.text_plans import _HOST
@@ -213,6 +213,28 @@ def weighted_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.agg(F.count("*").alias("draws"), F.count_if(F.col("binary_label").isNull()).alias("unknown"), (F.abs(F.avg("binary_label") - 0.5) < 0.1).alias("even"))
 
 
+#: A fixed artifact over whole numbers, for the queries that only apply one.
+ARTIFACT = {"algorithm": "logistic_regression", "threshold": 0.5, "vectorizer": {"numeric": {"n_chars": (1000.0, 2000.0), "words": (200.0, 400.0)}, "categorical": {"lang": ["de", "en", "es", "fr"]}}, "model": {"algorithm": "logistic_regression", "weights": WEIGHTS, "bias": BIAS}}
+
+
+@query(
+    """WITH r AS (SELECT doc_id, source, 0.5::DOUBLE * ((n_chars - 1000.0::DOUBLE) / 2000.0::DOUBLE) + -0.25::DOUBLE * ((len(regexp_extract_all(text, ' ')) - 200.0::DOUBLE) / 400.0::DOUBLE) + 0.1::DOUBLE * (lang = 'de')::INT + 0.2::DOUBLE * (lang = 'en')::INT + -0.1::DOUBLE * (lang = 'es')::INT + 0.3::DOUBLE * (lang = 'fr')::INT - 0.2::DOUBLE AS s FROM documents JOIN labels USING (doc_id)),
+p AS (SELECT source AS item_id, 1 / (1 + exp(-s)) AS p FROM r) SELECT item_id, count(*) AS candidates, CAST(count(*) FILTER (WHERE p >= 0.5) AS BIGINT) AS positives, floor(avg(p) * 1e6 + 0.5) / 1e6 AS mean_probability, floor(max(p) * 1e6 + 0.5) / 1e6 AS best_probability FROM p GROUP BY item_id"""
+)
+def scored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates scored by an artifact, summed up by their items."""
+    found = artifacts.summed(artifacts.scored(candidates(spark, sf_dir), ARTIFACT), "item_id", "dataset_row_id")
+    return found.select("item_id", "candidates", "positives", round6(F.col("mean_probability")).alias("mean_probability"), round6(F.col("best_probability")).alias("best_probability"))
+
+
+@query()
+def trained_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split, vectorizer, boosting and metrics in one go; every candidate by the artifact that comes out."""
+    rows = candidates(spark, sf_dir)
+    made = artifacts.train(rows, F.col("item_id"), "dataset_row_id", NUMERIC, CATEGORICAL, "decision_tree", "class_weighted")
+    return artifacts.scored(rows, made).select("dataset_row_id", "binary_label", "predicted_label", "probability")
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as candidate rows of their sources, with the features of ``NUMERIC`` and ``CATEGORICAL``."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agora.operators import store
 from agora.plans.registry import query, table
+from agora.sources import exports
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,3 +188,22 @@ def refill_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dominant_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
     return sized.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("n").desc(), "status")).cast("long")).where("rank = 1")
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS job_id, CAST(o_orderkey AS VARCHAR) AS row_number, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS title, o_orderstatus AS status, CASE WHEN o_orderkey % 2 = 0 THEN '2' ELSE '0' END AS candidate_count, CASE WHEN o_orderkey % 5 = 0 THEN 'wall' ELSE '' END AS blocker_type, CAST(o_orderkey % 7 AS VARCHAR) AS candidate_review_count, '' AS screenshot_url, 49 AS width FROM orders""")
+def items_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as items of their customers' jobs, as rows of the items' export."""
+    key = F.col("o_orderkey")
+    items = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("job_id"), key.alias("row_number"), F.when(key % 3 != 0, F.col("o_orderpriority")).alias("title"), F.col("o_orderstatus").alias("status"),
+        F.when(key % 2 == 0, F.array("o_orderkey", "o_custkey")).alias("candidates"), F.struct(F.when(key % 5 == 0, "wall").alias("blocker_type")).alias("scan_result"), F.struct((key % 7).alias("total")).alias("candidate_review_summary"),
+    )
+    rows = exports.item_records(items)
+    return rows.select("job_id", "row_number", "title", "status", "candidate_count", "blocker_type", "candidate_review_count", "screenshot_url", F.lit(len(rows.columns)).alias("width"))
+
+
+@query("""SELECT url, CASE WHEN page_id % 2 = 0 THEN 't' ELSE '' END AS title, CAST(page_id % 5 AS BIGINT) AS depth, (page_id % 4) / 4.0::DOUBLE AS relevance_score, CASE page_id % 3 WHEN 0 THEN 'a|b' WHEN 1 THEN 'a' ELSE '' END AS matched_categories FROM pages WHERE page_id % 7 <> 0 AND (page_id % 4) / 4.0 >= 0.5""")
+def crawl_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("page_id")
+    pages = table(spark, sf_dir, "pages").select("url", F.when(key % 2 == 0, "t").alias("title"), (key % 5).alias("depth"), ((key % 4) / 4).alias("relevance_score"), (key % 7 != 0).alias("is_relevant"), F.when(key % 3 == 0, F.array(F.lit("a"), F.lit("b"))).when(key % 3 == 1, F.array(F.lit("a"))).alias("matched_categories"))
+    return exports.crawl_records(pages, 0.5)
