@@ -26,14 +26,21 @@ def _rows(docs: DataFrame, judged: DataFrame, *read: str, how: str) -> DataFrame
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what fails the base rules or lies outside its language's perplexity band.
 
-    Null and empty texts fail; texts are read whole; an empty table stays empty.
+    Null and empty texts fail; texts of any length are read whole; repeated rows have one verdict; a
+    text on a bound of its band stays; other columns, whatever their names, are carried and not
+    read; an empty table stays empty.
     """
     judged = quality.judge(docs.withColumn("row", row_hash("lang")), "row")
     return _rows(docs, judged.where("NOT kept").select("doc_id", "row"), "lang", how="left_anti")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what the classifier predicts to be toxic; null and empty texts stay; an empty table stays empty."""
+    """Rejects what the classifier predicts to be toxic.
+
+    Null and empty texts stay; texts of any length are scored whole; repeated rows have one verdict;
+    a score of exactly the threshold counts as toxic; other columns, whatever their names, are
+    carried and not read; an empty table stays empty.
+    """
     judged = toxicity.judge(docs.withColumn("row", row_hash()), table(spark, sf_dir, "labels"), "row")
     return _rows(docs, judged.where("predicted = 1").select("doc_id", "row"), how="left_anti")
 
@@ -41,7 +48,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of similar texts: one of the least doc_id, rows without doc_id last.
 
-    Null and empty texts are one group; of repeated rows one stays; an empty table stays empty.
+    Null and empty texts are one group; of repeated rows one stays; of rows with equal doc_id and
+    other texts the one of the least hash; texts of any length are compared whole; other columns,
+    whatever their names, are carried and not read; an empty table stays empty.
     """
     first = written(simhash.similar(docs, words=5).where("first").groupBy("doc_id", "row").agg(F.count("*").alias("n")), "kept")
     kept = _rows(docs, first.select("doc_id", "row"), how="left_semi")
@@ -53,12 +62,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts tags in the place of personal data; null texts stay null; repeated rows stay; an empty table stays empty."""
+    """Puts tags in the place of personal data.
+
+    Null texts stay null; texts of any length are read whole; repeated rows stay, alike; of spans
+    that overlap the first, then the longer, names the tag; other columns, whatever their names, are carried and not read; an
+    empty table stays empty.
+    """
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 ids; null texts are empty; an empty table gives no pieces."""
+    """The pieces of all documents in sequences of 2048 ids.
+
+    Null texts are empty; texts of any length are cut into as many pieces as they need; repeated
+    rows each have their own; of plans of one cost the order of positions decides; other columns are
+    not read, whatever their names; an empty table gives no pieces.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, size=2048)
 
 
