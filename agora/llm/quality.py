@@ -82,7 +82,10 @@ def teaches(text: str, counts: tuple[int, int, int, int, int]) -> bool:
 
 
 def grams(text: str) -> np.ndarray:
-    """The 64-bit key of each character with the three before it; a line break stands before the text."""
+    """The 64-bit key of each character with the three before it; a line break stands before the text.
+
+    A character counts by the low 16 bits of its code point, so that those beyond U+FFFF share keys with others.
+    """
     units = np.frombuffer(("\n" * (ORDER - 1) + text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) & np.uint64(0xFFFF)
     keys = units[ORDER - 1 :].copy()
     for back in range(1, ORDER):
