@@ -49,40 +49,6 @@ def dot(vector_: Column, weights: list[float]) -> Column:
     return F.aggregate(F.zip_with(vector_, F.array(*map(F.lit, map(float, weights))), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
 
-def fit_logistic(rows: DataFrame, width: int, iterations: int = 500, rate: float = 0.08, l2: float = 5e-4, balanced: bool = True) -> dict:
-    """Full-batch gradient descent from zero over (features, binary_label): each round is one sum over all rows.
-
-    Each task multiplies its batches by the weights and returns one row, so that a round moves only
-    as many rows as there are tasks.
-    """
-    counts = rows.agg(F.count_if(F.col("binary_label") == 1), F.count("*")).first()
-    pos, n = counts[0], counts[1]
-    if not n:
-        return {"weights": [0.0] * width, "bias": 0.0, "loss": []}
-    share = {1: n / (2 * pos) if balanced and 0 < pos < n else 1.0, 0: n / (2 * (n - pos)) if balanced and 0 < pos < n else 1.0}
-    weights, bias, losses = np.zeros(width), 0.0, []
-    held = rows.select("features", "binary_label").persist()
-    for _ in range(iterations):
-
-        def step(frames, w=weights, b=bias):
-            total = np.zeros(width + 2)
-            for frame in frames:
-                if len(frame):
-                    x, y = np.stack(frame["features"]), frame["binary_label"].to_numpy(float)
-                    p = 1 / (1 + np.exp(-np.clip(x @ w + b, -35, 35)))
-                    each = np.where(y == 1, share[1], share[0])
-                    error = each * (p - y)
-                    total += np.concatenate([x.T @ error, [error.sum(), -(each * np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-12, 1))).sum()]])
-            yield pd.DataFrame({"k": range(width + 2), "v": total})
-
-        sums = {r["k"]: r["v"] for r in held.mapInPandas(step, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-        total = np.array([sums[k] for k in range(width + 2)])
-        losses.append(float(total[-1] / n))
-        weights, bias = weights - rate * (total[:width] / n + l2 * weights), bias - rate * total[width] / n
-    held.unpersist()
-    return {"weights": weights.tolist(), "bias": float(bias), "loss": losses}
-
-
 def predicted(rows: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """Rows with probability (six decimals) and the label by the unrounded one."""
     p = sigmoid(dot(F.col("features"), model["weights"]) + model["bias"])
@@ -196,19 +162,42 @@ def nearest(rows: DataFrame, k: int = 5, most: int = 1 << 15) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "near_id"))).where(F.col("rank") <= k)
 
 
-def smote(rows: DataFrame, extra: int | None = None, k: int = 5, seed: int = 7) -> DataFrame:
-    """``extra`` synthetic rows (id, near_id, copy, features) between rows of the smaller class and one of their nearest.
+def blends(rows: DataFrame, extra: int | None = None, k: int = 5, seed: int = 7) -> DataFrame:
+    """(id, near_id, copy, alpha): between which two rows each of ``extra`` synthetic ones lies, and where.
 
     As many as there are rows (id, features) if ``extra`` is not given; each row gives as many as
-    any other, or one more.  Which neighbour and how far towards it follow hashes.
+    any other, or one more.  Which of its ``k`` nearest and how far towards it follow hashes.
     """
     n = rows.count()
     whole, rest = divmod(n if extra is None else extra, max(1, n))
     times = F.lit(whole) + (F.col("hash_rank") <= rest).cast("int")
-    spread = hash_rank(rows.select("id", "features"), "id").where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
-    near = nearest(rows, k)
-    choices = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "near_id"))).alias("near"))  # k each
-    picked = spread.join(choices, "id").withColumn("near_id", F.element_at("near", (1 + F.pmod(F.xxhash64("id", "copy", F.lit(seed)), F.size("near"))).cast("int"))["near_id"])
-    other = rows.select(F.col("id").alias("near_id"), F.col("features").alias("other"))
-    alpha = F.pmod(F.xxhash64("id", "near_id", "copy", F.lit(seed)), 1000) / 1000.0
-    return picked.join(other, "near_id").select("id", "near_id", "copy", F.zip_with("features", "other", lambda a, b: round6(a + (b - a) * alpha)).alias("features"))
+    spread = hash_rank(rows.select("id"), "id").where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
+    choices = nearest(rows, k).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "near_id"))).alias("near"))  # k each
+    at = (1 + F.pmod(F.xxhash64("id", "copy", F.lit(seed)), F.size("near"))).cast("int")
+    picked = spread.join(choices, "id").select("id", "copy", F.element_at("near", at)["near_id"].alias("near_id"))
+    return picked.withColumn("alpha", F.pmod(F.xxhash64("id", "near_id", "copy", F.lit(seed)), 1000) / 1000.0)
+
+
+def smote(rows: DataFrame, extra: int | None = None, k: int = 5, seed: int = 7) -> DataFrame:
+    """(id, near_id, copy, features): synthetic rows between rows (id, features) of the smaller class, by ``blends``."""
+    both = blends(rows, extra, k, seed).join(rows.select("id", "features"), "id").join(rows.select(F.col("id").alias("near_id"), F.col("features").alias("other")), "near_id")
+    return both.select("id", "near_id", "copy", F.zip_with("features", "other", lambda a, b: round6(a + (b - a) * F.col("alpha"))).alias("features"))
+
+
+def smote_rows(rows: DataFrame, numbers: list[str], flags: list[str], categories: list[str], extra: int | None = None, k: int = 5, seed: int = 7) -> DataFrame:
+    """Synthetic rows with named values, beside the ids of the two that each lies between.
+
+    ``rows`` (id, features, and the named columns) are of one class.  Numbers lie between, what is
+    no number counting as 0; flags and categories are those of the nearer row, a missing flag being
+    false and a missing category of the other the first one's.
+    """
+    names = [*numbers, *flags, *categories]
+    other = rows.select(F.col("id").alias("near_id"), *(F.col(c).alias(f"_{c}") for c in names))
+    both = blends(rows.select("id", "features"), extra, k, seed).join(rows.select("id", *names), "id").join(other, "near_id")
+    first = F.col("alpha") < 0.5
+    value = lambda c: number(F.col(c))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    made = {c: round6(value(c) + (value(f"_{c}") - value(c)) * F.col("alpha")) for c in numbers}
+    made |= {c: F.when(first, F.coalesce(F.col(c), F.lit(False))).otherwise(F.coalesce(F.col(f"_{c}"), F.lit(False))) for c in flags}
+    made |= {c: F.when(first | (text(f"_{c}") == ""), text(c)).otherwise(text(f"_{c}")) for c in categories}
+    return both.select(F.concat_ws("::", F.col("id").cast("string"), F.lit("smote"), F.col("copy").cast("string")).alias("dataset_row_id"), F.col("id").alias("source_row_id"), F.col("near_id").alias("neighbor_row_id"), F.round("alpha", 4).alias("alpha"), F.lit("synthetic_smote").alias("analysis_source"), *(v.alias(c) for c, v in made.items()))

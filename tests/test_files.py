@@ -61,8 +61,19 @@ def test_hash_ranks_are_gapless(spark):
 
 def test_logistic_learns(spark):
     rows = spark.range(200).selectExpr("array((id - 100) / 50.0D) AS features", "IF(id > 100, 1, 0) AS binary_label")
-    model = modeling.fit_logistic(rows, 1, iterations=15, rate=0.8)
-    assert model["loss"][-1] < model["loss"][0] and model["weights"][0] > 0
+    model = training.fit_balanced(rows, 1, 60)
+    assert model.loss[-1] < model.loss[0] and model.weights[0] > 0
+
+
+def test_synthetic_rows_of_all_kinds(spark):
+    rows = spark.createDataFrame([(k, [float(k), 0.0], float(k) if k else None, k % 2 == 0 if k % 3 else None, "abc"[k % 3] if k % 4 else None) for k in range(12)], "id long, features array<double>, size double, deep boolean, kind string")
+    held = {r.id: r for r in rows.collect()}
+    made = modeling.smote_rows(rows, ["size"], ["deep"], ["kind"], extra=40, k=3).collect()
+    assert len(made) == 40 and len({r.dataset_row_id for r in made}) == 40
+    for r in made:
+        a, b, t = held[r.source_row_id], held[r.neighbor_row_id], r.alpha
+        assert a.id != b.id and abs(r["size"] - round((a["size"] or 0) + ((b["size"] or 0) - (a["size"] or 0)) * t, 6)) < 2e-6
+        assert r.deep == bool(a.deep if t < 0.5 else b.deep) and r.kind == ((a.kind or "") if t < 0.5 or not b.kind else b.kind)
 
 
 def test_nearest(spark):
@@ -121,8 +132,14 @@ def test_many_models_like_one(spark):
 
 def test_balanced_like_the_plain_fit(spark):
     rows = spark.range(200).selectExpr("array((id - 100) / 50.0D) AS features", "IF(id > 130, 1, 0) AS binary_label")
-    one, other = training.fit_balanced(rows, 1, 12), modeling.fit_logistic(rows, 1, 12)
-    assert np.allclose(one.weights, other["weights"]) and np.isclose(one.bias, other["bias"])
+    found = training.fit_balanced(rows, 1, 12)
+    x = (np.arange(200) - 100) / 50
+    y = (np.arange(200) > 130).astype(float)
+    each, w, b = np.where(y == 1, 200 / (2 * y.sum()), 200 / (2 * (1 - y).sum())), 0.0, 0.0
+    for _ in range(12):
+        error = each * (1 / (1 + np.exp(-(x * w + b))) - y)
+        w, b = w - 0.08 * ((x * error).mean() + 5e-4 * w), b - 0.08 * error.mean()
+    assert np.allclose(found.weights, [w]) and np.isclose(found.bias, b)
 
 
 def test_folds_curves_and_strategies(spark):
