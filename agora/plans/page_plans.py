@@ -47,7 +47,8 @@ len(list_filter(parts, lambda x: regexp_matches(x, '(?i)\b(deleted|removed|hidde
 SELECT page_id, tag, CAST(2 * (n >= 3)::INT + 3 * (n >= 8)::INT + 4 * (n >= 15)::INT + 3 * (same >= 0.65)::INT + 2 * (NOT ul)::INT + 1 + 2 * (chars > 20 AND n_words >= 40)::INT + 2 * (n >= 4 AND same >= 0.75)::INT + (ul AND n >= 3)::INT + 2 * timed::INT - 4 * priced::INT - 6 * bare::INT - 4 * ul::INT - 2 * (ul AND linked)::INT AS INTEGER) AS score, false AS detected FROM f"""
 
 
-@query()
+@query("""WITH d(tag, deepest) AS (VALUES ('html', 0), ('head', 1), ('body', 1), ('meta', 2), ('title', 2), ('style', 2), ('script', 2), ('nav', 2), ('div', 2), ('article', 2), ('footer', 2), ('ul', 3), ('h1', 3), ('p', 3), ('li', 4), ('b', 4), ('a', 5), ('br', 5))
+SELECT tag, CAST(sum(len(regexp_extract_all(html, '<' || tag || '[ >]'))) AS BIGINT) AS n, deepest FROM pages, d GROUP BY tag, deepest HAVING n > 0""")
 def dom_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.nodes(table(spark, sf_dir, "pages")).groupBy("tag").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
 
@@ -80,9 +81,9 @@ def region_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).select("page_id", "node", "confidence", "ugc_type", "keyword_gate_tier", "heuristic_pseudo_label", F.array_join("matched_signals", ",").alias("matched"), F.array_join("penalty_signals", ",").alias("penalties"))
 
 
-@query()
+@query(_RULED.replace("SELECT page_id, tag, CAST(2", ", s AS (SELECT page_id, tag, n, chars, CAST(2").replace(", false AS detected FROM f", " FROM f) SELECT page_id, tag, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, n DESC, chars DESC) AS INTEGER) AS candidate_rank, score FROM s"))
 def overlap_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best(candidates(spark, sf_dir)).select("page_id", "node", "candidate_rank", "score")
+    return best(candidates(spark, sf_dir)).select("page_id", "tag", "candidate_rank", "score")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
