@@ -19,7 +19,7 @@ def agrees(spark, tmp_path, name, table, schema, rows):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(wanted, key=repr) and wanted
 
 
-@pytest.mark.parametrize("name", ["discovered_roots"])
+@pytest.mark.parametrize("name", ["discovered_roots", "inner_texts"])
 def test_references_that_were_cut_off(spark, tmp_path, name):
     """A title that is cut within its last reference keeps the rest as it is written."""
     rows = [(k, "https://a.example.org/x", f"<html><body><nav><ul>{ITEMS}</ul></nav><article><h1>This &amp; that &lt;{end}</h1>{BODY}</article></body></html>") for k, end in enumerate(["&amp", "&lt", "&quo", "&", "&amp;"])]
