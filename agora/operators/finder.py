@@ -73,12 +73,13 @@ def anchors(pages: DataFrame, nodes: DataFrame, kind: Column | None = None, most
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most).select("page_id", "url", "title", "discovery_score", "rank")
 
 
-def evaluated(found: DataFrame) -> DataFrame:
+def evaluated(found: DataFrame, ending: str | None = r"\.(?:html|htm)$") -> DataFrame:
     """``found`` with title, score, status, signals (the first six) and access_note.
 
     ``found`` has url, final_url, html, ok, http_status, error, kind, source, snippet, title and
     discovery_score.  Hard signals count 12 each, words count by the site's kind; status is
-    validated, likely, blocked-but-likely, weak or unresolved.
+    validated, likely, blocked-but-likely, weak or unresolved.  ``ending`` is what the last part of an
+    article's address may end in to tell it as one; None for nothing.
     """
     html, kind = F.coalesce("html", F.lit("")), F.coalesce("kind", F.lit(""))
     held = found.withColumns({"_lower": F.lower(html), "_url": F.lower(F.coalesce(F.nullif("final_url", F.lit("")), "url")), "_title": F.coalesce(F.nullif(title_of(html), F.lit("")), "title", F.lit("")), "_snippet": F.coalesce("snippet", F.lit(""))})
@@ -113,7 +114,7 @@ def evaluated(found: DataFrame) -> DataFrame:
     parts = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
     last, before = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")), F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
     words = F.size(F.filter(F.split(last, "-"), lambda s: s != ""))
-    articles = (F.size(parts) >= 2) & (url.rlike(r"\d{4}/\d{2}/\d{2}") | url.rlike(r"\d{5,}") | (words >= 4) | last.rlike(r"\.(?:html|htm)$") | before.rlike(SECTION)) & (F.col("_articles") > 0)
+    articles = (F.size(parts) >= 2) & (url.rlike(r"\d{4}/\d{2}/\d{2}") | url.rlike(r"\d{5,}") | (words >= 4) | (last.rlike(ending) if ending else F.lit(False)) | before.rlike(SECTION)) & (F.col("_articles") > 0)
     others = ((kind == "qa") & (html.rlike(QA_SCHEMA) | url.rlike(QA_PATH))) | (thread & url.rlike(THREAD_PATH)) | ((kind == "review") & (lower.rlike(REVIEW_TEXT) | url.rlike(REVIEW_PATH)))
     held = held.withColumns({"score": score, "signals": signals, "_others": others, "_strong": articles | others})
     status = (

@@ -32,3 +32,9 @@ def test_what_ends_a_reference():
         assert (text(f"<p>{given}", False), text(f"<p>{given}", True)) == (loose, strict)
     (script,) = html.parsed("<script a='&lt&quot;'>if (a && b &lt; &amp) {}</script>", True)
     assert script[6] == "if (a && b &lt; &amp) {}" and script[5] == {"a": '&lt"'}
+
+
+@pytest.mark.parametrize("url", ["https://www.a.example.net/en/7442.html", "https://a.example.org/x/1", "https://a.example.org/blog/1.htm"])
+def test_endings_of_addresses(spark, tmp_path, url):
+    """An address that ends in .html is an article's only by what else it says."""
+    agrees(spark, tmp_path, "page_evaluation", "pages", "page_id long, url string, html string", [(page, url, "<title>x</title>disqus giscus commento") for page in (6, 20, 36, 48, 60)])
