@@ -25,6 +25,55 @@ QA = r"\b(?:answer|answers|question|questions|qa|qa_answers|odpowiedz|odpowiedzi
 THREAD = r"\b(?:forum|forums|thread|threads|discussion|discussions|post|posts)\b"
 
 
+def shapes(pages: Pages) -> dict[str, pa.Array]:
+    """What ``signatures`` and ``repeated`` tell, of whole pages in one pass, for plans that need both with texts.
+
+    child_count, child_variety, signature; sig_group_count and xpath_star_group_count with sig_value and
+    tag_value, the largest groups of like children (the first of equal ones), null without children.
+    """
+    tags = pages.rows.column("tag").dictionary_encode()
+    words = sorted(tags.dictionary.to_pylist())
+    places = {w: k for k, w in enumerate(words)}
+    codes = np.array([places[w] for w in tags.dictionary.to_pylist()], np.int64)[tags.indices.to_numpy()]
+    n = len(codes)
+    children = np.flatnonzero(pages.parent >= 0)
+    fresh = lambda *keys: np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])[: len(keys[0])]
+
+    def sized(values: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Children by parent and value, where each group of them begins, and its parent and size."""
+        order = children[np.lexsort((children, values[children], pages.parent[children]))]
+        starts = np.flatnonzero(fresh(pages.parent[order], values[order]))
+        return order, starts, pages.parent[order][starts], np.diff([*starts, len(order)])
+
+    def largest(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order, starts, parents, sizes = sized(values)
+        by = np.lexsort((order[starts], -sizes, parents))
+        best = by[fresh(parents[by])]
+        most, value = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        most[parents[best]], value[parents[best]] = sizes[best], values[order[starts[best]]]
+        return most, value
+
+    order, starts, parents, _ = sized(codes)
+    count, variety = np.bincount(pages.parent[children], minlength=n), np.bincount(parents, minlength=n)
+    named, below = [words[c] for c in codes[order].tolist()], [""] * n
+    cuts = np.flatnonzero(fresh(pages.parent[order]))
+    for up, a, b in zip(pages.parent[order][cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+        below[up] = ",".join(named[a:b])
+    signature = pa.array([f"{words[c]}[{b}]" for c, b in zip(codes.tolist(), below)], pa.string())
+    coded = signature.dictionary_encode()
+    (t_most, t), (s_most, s) = largest(codes), largest(coded.indices.to_numpy().astype(np.int64))
+    none = count == 0
+    taken = lambda values, at: pa.array(values, pa.string()).take(pa.array(at, mask=none))
+    return {
+        "child_count": pa.array(count.astype(np.int32)), "child_variety": pa.array(variety.astype(np.int32)), "signature": signature,
+        "sig_group_count": pa.array(s_most, mask=none), "xpath_star_group_count": pa.array(t_most, mask=none),
+        "sig_value": taken(coded.dictionary, s), "tag_value": taken(words, t),
+    }
+
+
+SHAPES = "child_count int, child_variety int, signature string, sig_group_count long, xpath_star_group_count long, sig_value string, tag_value string"
+
+
 def signatures(nodes: DataFrame) -> DataFrame:
     """Nodes with child_count, signature (tag and the sorted tags of its children) and sig_id."""
     tags = nodes.groupBy("page_id", F.col("parent").alias("node")).agg(F.array_sort(F.collect_list("tag")).alias("tags"))

@@ -80,7 +80,7 @@ def _says(text: Column, name: str) -> Column:
 
 
 def _prepared(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes with what ``scope`` reads: signatures, groups, which are roots, and what texts are wanted of."""
+    """Nodes with what ``scope`` reads: which are roots, and what texts are wanted of."""
     tag, role, css = F.col("tag"), attribute("role"), attribute("class")
     like = lambda *words: reduce(Column.__or__, (F.contains(css, F.lit(w)) for w in words))
     button = (tag == "button") | (role == "button")
@@ -97,13 +97,11 @@ def _prepared(nodes: DataFrame, roots: DataFrame) -> DataFrame:
         "is_editable": F.col("attrs").getItem("contenteditable").isNotNull(),
         "is_article": role == "article",
     }
-    shaped = dom.signatures(nodes)
-    groups = dom.repeated(shaped).select("page_id", "node", "sig_group_count")
     wanted = roots.select("page_id", "node", "group_kind", "group_value", "sig_value", F.lit(True).alias("is_root"))
     pages = roots.select("page_id").distinct()
-    kept = shaped.join(pages, "page_id", "left_semi").join(groups, ["page_id", "node"], "left").join(wanted, ["page_id", "node"], "left")
+    kept = nodes.join(pages, "page_id", "left_semi").join(wanted, ["page_id", "node"], "left")
     kept = kept.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in marks.items()} | {"attr_text": attr_text(), "is_root": F.coalesce("is_root", F.lit(False))})
-    return kept.select("page_id", "node", "parent", "last", "depth", "tag", "attrs", "text", "pieces", "pieces_end", "signature", "attr_text", F.coalesce("sig_group_count", F.lit(0)).alias("sig_group_count"), "group_kind", "group_value", "sig_value", "is_root", *marks)
+    return kept.select("page_id", "node", "parent", "last", "depth", "tag", "attrs", "text", "pieces", "pieces_end", "attr_text", "group_kind", "group_value", "sig_value", "is_root", *marks)
 
 
 _CARRIED = ["page_id", "node", "tag", "attrs", "text", "attr_text", "signature", "sig_group_count", "button", "control", "reacts", "counts", "link"]
@@ -121,7 +119,7 @@ def scope(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     row for each.
     """
     prepared = _prepared(nodes, roots)
-    held = dict(prepared.dtypes)
+    held = dict(prepared.dtypes) | {"signature": "string", "sig_group_count": "long"}
     ddl = {"int32": "int", "int64": "long", "bool": "boolean", "string": "string"}
     schema = ", ".join([f"{c} {held[c]}" for c in _CARRIED] + [f"{c} {ddl.get(str(k), 'array<string>')}" for c, k in _MADE.items()])
 
@@ -137,7 +135,8 @@ def scope(nodes: DataFrame, roots: DataFrame) -> DataFrame:
             steps.append(pages.down(least - 2 * depth, np.minimum) + depth)
         articles = pages.sums(flag["is_article"].astype(np.int64)) - flag["is_article"] > 0
         tags = pages.rows.column("tag").dictionary_encode().indices.to_numpy()
-        shapes = pages.rows.column("signature").to_pylist()
+        shaped = dom.shapes(pages)
+        shapes = shaped["signature"].to_pylist()
         named, attr_texts = pages.rows.column("tag").to_pylist(), pages.rows.column("attr_text").to_pylist()
         counts, pieces_end = np.diff(pages.rows.column("pieces").offsets.to_numpy()), pages.column("pieces_end").astype(np.int64)
         pieces = [" ".join(x.split()) for x in pages.rows.column("pieces").flatten().to_pylist()]
@@ -200,7 +199,8 @@ def scope(nodes: DataFrame, roots: DataFrame) -> DataFrame:
                 for k in (up + 1 + np.flatnonzero(parent[up + 1 : last[up] + 1] == up)).tolist():
                     if k != r:
                         put(k, root=root, place="sibling", inner_text=inner(k))
-        taken = pa.Table.from_batches([pages.rows]).select(_CARRIED).take(pa.array(rows, pa.int64()))
+        whole = pa.Table.from_batches([pages.rows]).append_column("signature", shaped["signature"]).append_column("sig_group_count", shaped["sig_group_count"].fill_null(0))
+        taken = whole.select(_CARRIED).take(pa.array(rows, pa.int64()))
         for name, kind in _MADE.items():
             taken = taken.append_column(name, pa.array(made[name], kind))
         return taken.combine_chunks()

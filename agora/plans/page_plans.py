@@ -19,11 +19,16 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", hostname(F.col("url")).alias("host"))
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions of all pages: roots are found first, and features made for them alone."""
+#: What ranks the regions of a page, and their scores.
+RANKED = ("page_id", "node", "last", "tag", "unit_count", "total_text_length", "score", "detected")
+
+
+def candidates(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Regions of all pages, some columns of them or all: roots are found first, and features made for them alone."""
     nodes = page_nodes(spark, sf_dir)
     roots = written(discovery.roots(discovery.structured(nodes)), "roots")
-    return written(scoring.scored(features.regions(nodes, roots, hosts(spark, sf_dir))), "candidates")
+    found = scoring.scored(features.regions(nodes, roots, hosts(spark, sf_dir)))
+    return written(found.select(*columns) if columns else found, "candidates")
 
 
 def best(found: DataFrame, most: int = 50) -> DataFrame:
@@ -73,7 +78,7 @@ def repeated_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RULED)
 def rule_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).select("page_id", "tag", "score", "detected")
+    return candidates(spark, sf_dir, "page_id", "tag", "score", "detected")
 
 
 @query()
@@ -83,12 +88,12 @@ def region_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RULED.replace("SELECT page_id, tag, CAST(2", ", s AS (SELECT page_id, tag, n, chars, CAST(2").replace(", false AS detected FROM f", " FROM f) SELECT page_id, tag, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, n DESC, chars DESC) AS INTEGER) AS candidate_rank, score FROM s"))
 def overlap_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best(candidates(spark, sf_dir)).select("page_id", "tag", "candidate_rank", "score")
+    return best(candidates(spark, sf_dir, *RANKED)).select("page_id", "tag", "candidate_rank", "score")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to regions to rule scores, the best of each page, summed up per host."""
-    found = best(candidates(spark, sf_dir), most=5)
+    found = best(candidates(spark, sf_dir, *RANKED), most=5)
     joined = hosts(spark, sf_dir).withColumnRenamed("host", "hostname").join(found.select("page_id", "score", "detected"), "page_id", "left")
     return joined.groupBy("hostname").agg(F.count("score").alias("candidates"), F.count_if("detected").alias("detected"), F.max("score").alias("best_score"))
 
