@@ -138,9 +138,10 @@ def replaced(items: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def restarted(items: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Items of the named jobs (job_id) as they were put in: pending, without results."""
-    mine = items.join(jobs.select("job_id").distinct(), "job_id", "left_semi")
-    return replaced(items, mine.select("job_id", "row_number", *(c for c in ("input_url", "normalized_url") if c in items.columns)))
+    """Items of the named jobs (job_id) as they were put in: pending, without results.  One join tells which these are."""
+    held = items.join(jobs.select("job_id").distinct().withColumn("_again", F.lit(True)), "job_id", "left")
+    kept = {"job_id": F.col("job_id"), "row_number": F.col("row_number"), "status": F.coalesce(F.when(F.col("_again"), "pending"), "status")}
+    return held.select(*(kept[c] if c in ("job_id", "row_number") else kept[c].alias(c) if c in kept else F.col(c) if c in ("input_url", "normalized_url") else F.when(F.col("_again").isNull(), F.col(c)).alias(c) for c in items.columns))
 
 
 def resumed_unfinished(items: DataFrame, salt: str) -> DataFrame:
