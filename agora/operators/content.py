@@ -7,6 +7,8 @@ node holds is a part of it, between its opening and its end.
 from __future__ import annotations
 
 import html as entities
+import re
+from collections.abc import Callable
 from itertools import accumulate
 
 import numpy as np
@@ -19,6 +21,19 @@ from agora.sources.html import VOID
 
 #: Elements whose text is not escaped.
 RAW = ("script", "style")
+#: Blanks that SQL squeezes by name, and the spaces that its trim takes from both ends (those of category Zs).
+_NAMED = re.compile("[ \t\n\r]+")
+_SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def squeezed(text: str) -> str:
+    """All blanks that Unicode knows are one space, and none at the ends."""
+    return " ".join(text.split())
+
+
+def sql_squeezed(text: str) -> str:
+    """Spaces, tabs and ends of lines are one space, other blanks stay; spaces of all widths are taken from the ends."""
+    return _NAMED.sub(" ", text).strip(_SPACES)
 
 
 def _chosen(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -27,11 +42,11 @@ def _chosen(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     return nodes.join(pages, "page_id", "left_semi").join(keys, ["page_id", "node"], "left")
 
 
-def laid_out(pages: Pages) -> tuple[list[str], np.ndarray, np.ndarray]:
+def laid_out(pages: Pages, squeeze: Callable[[str], str] = squeezed) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(texts, starts, ends): each page's squeezed text, and where in it each node's own and inner text stands."""
     pieces = pages.rows.column("pieces")
     counts = np.diff(pieces.offsets.to_numpy())
-    words = [" ".join(x.split()) for x in pieces.flatten().to_pylist()]
+    words = [squeeze(x) for x in pieces.flatten().to_pylist()]
     ends_of = pages.column("pieces_end").astype(np.int64)
     before = np.concatenate([[0], np.cumsum(counts)])[:-1]
     base = before[pages.first]
@@ -49,11 +64,11 @@ def laid_out(pages: Pages) -> tuple[list[str], np.ndarray, np.ndarray]:
     return texts, starts, ends
 
 
-def texts(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(page_id, node, inner_text) of ``chosen``: all text at and below a node in order, blanks squeezed."""
+def texts(nodes: DataFrame, chosen: DataFrame, squeeze: Callable[[str], str] = squeezed) -> DataFrame:
+    """(page_id, node, inner_text) of ``chosen``: all text at and below a node in order, blanks squeezed piece by piece."""
 
     def step(pages: Pages) -> pa.RecordBatch:
-        laid, starts, ends = laid_out(pages)
+        laid, starts, ends = laid_out(pages, squeeze)
         which = np.cumsum(np.concatenate([[0], pages.first[1:] != pages.first[:-1]]))
         rows = np.flatnonzero(pages.rows.column("_chosen").fill_null(False).to_numpy(zero_copy_only=False))
         found = [laid[which[r]][starts[r] : ends[r]] for r in rows.tolist()]

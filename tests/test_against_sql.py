@@ -34,6 +34,39 @@ def test_what_ends_a_reference():
     assert script[6] == "if (a && b &lt; &amp) {}" and script[5] == {"a": '&lt"'}
 
 
+def test_references_that_are_read():
+    """Of closed references those that are named, and each once."""
+    (row,) = html.parsed("<p a='&copy;&lt;'>&#39;&nbsp;&copy; &amp;lt; &amp;&lt;&AMP;&lt", True, ("lt", "amp"))
+    assert (row[6], row[5]) == ("&#39;&nbsp;&copy; &lt; &<&AMP;&lt", {"a": "&copy;<"})
+
+
+@pytest.mark.parametrize("name", ["inner_texts", "unit_samples"])
+def test_references_that_sql_does_not_read(spark, tmp_path, name):
+    """A text keeps the references that its SQL leaves as they are."""
+    texts = ["it&#39;s", "it&#x27;s", "a&nbsp;b", "&copy;", "caf&eacute;", "&AMP; &LT;", "&amp;copy; &quot;&lt;&gt;"]
+    rows = [(k, "u", f'<html><body><nav><ul><li><a href="/x">{t}</a></li></ul></nav><article><h1>{t}</h1></article></body></html>') for k, t in enumerate(texts)]
+    agrees(spark, tmp_path, name, "pages", "page_id long, url string, html string", rows)
+
+
+def test_blanks_of_texts(spark, tmp_path):
+    """SQL squeezes spaces, tabs and ends of lines alone, and takes spaces of every width from the ends."""
+    blanks = ["\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u202f", "\u3000", "\ufeff"]
+    rows = [(k, "u", f'<nav><a href="/x">{b}a{b}b {b}{b} c{b}</a></nav><article><h1>a{b}b</h1><h1>{b}</h1></article>') for k, b in enumerate(blanks)]
+    agrees(spark, tmp_path, "inner_texts", "pages", "page_id long, url string, html string", rows)
+
+
+def test_headings_and_links_anywhere(spark, tmp_path):
+    """Those outside article and nav count; those with other elements or attributes do not."""
+    pages = [
+        '<html><body><h1>Out</h1><p><a href="/x">one</a></p></body></html>',
+        '<article><h1>a <b>x</b> c</h1><h1 class="k">d</h1><h1></h1><h1>e</h1><h1>e</h1></article>',
+        '<nav><h1>N</h1><ul><li><a href="/x"><b>q</b></a><li><a href="/x" rel="y">r</a><li><a>s</a><li><a name="t">t</a><li><a href="">u</a></ul></nav>',
+        '<article><h1><a href="/q">Q</a></h1></article>',
+        None,
+    ]
+    agrees(spark, tmp_path, "inner_texts", "pages", "page_id long, url string, html string", [(k, "u", p) for k, p in enumerate(pages)])
+
+
 @pytest.mark.parametrize("url", ["https://www.a.example.net/en/7442.html", "https://a.example.org/x/1", "https://a.example.org/blog/1.htm"])
 def test_endings_of_addresses(spark, tmp_path, url):
     """An address that ends in .html is an article's only by what else it says."""
