@@ -13,7 +13,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.operators.tree import Pages, by_page
@@ -37,9 +37,16 @@ def sql_squeezed(text: str) -> str:
 
 
 def _chosen(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
-    keys = chosen.select("page_id", "node").distinct().withColumn("_chosen", F.lit(True))
-    pages = chosen.select("page_id").distinct()
-    return nodes.join(pages, "page_id", "left_semi").join(keys, ["page_id", "node"], "left")
+    """The nodes of pages that have chosen ones, and which these are.
+
+    The chosen go along with the nodes, each as a row behind its own, so that pages come together by one shuffle.
+    """
+    keys = chosen.select("page_id", "node").where("page_id IS NOT NULL").distinct()
+    both = nodes.withColumn("_key", F.lit(0)).unionByName(keys.withColumn("_key", F.lit(1)), allowMissingColumns=True)
+    order = Window.partitionBy("page_id").orderBy("node", "_key")
+    page = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = both.withColumns({"_chosen": (F.lead("_key").over(order) == 1) & (F.lead("node").over(order) == F.col("node")), "_some": F.max("_key").over(page)})
+    return marked.where("_key = 0 AND _some = 1").drop("_key", "_some")
 
 
 def laid_out(pages: Pages, squeeze: Callable[[str], str] = squeezed) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -144,3 +144,14 @@ def test_folded_reviews(spark):
     log = [("a", 1, "uncertain", "x"), ("a", 2, "", None), ("a", 3, "comment_region", "y"), ("a", 4, "uncertain", ""), ("b", 1, "uncertain", "z"), ("b", 2, None, None)]
     got = reviews.folded(spark.createDataFrame(log, "key string, at long, label string, xpath string"), ["key"], "at", ["xpath"]).collect()
     assert [tuple(r) for r in got] == [("a", "uncertain", "y", 3, 4)]
+
+
+def test_chosen_go_along_with_their_pages(spark):
+    """Nodes that are not there, pages without chosen ones and null pages bring nothing; nodes are shuffled once."""
+    nodes = html.nodes(spark.createDataFrame([(1, "<p>a<b>b</b></p><i>c</i>"), (2, "<p>d</p>"), (3, "<p>e</p>"), (None, "<p>f</p>")], "page_id long, html string"))
+    chosen = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (1, 7), (2, 1), (4, 0), (None, 0)], "page_id long, node int")
+    found = content.texts(nodes, chosen)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "b"), (1, 2, "c")]
+    assert [r.outer_html for r in content.markup(nodes, chosen).orderBy("node").collect()] == ["<b>b</b>", "<i>c</i>"]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning(page_id") == 2 and "Join" not in plan  # of nodes, and of the chosen to be distinct
