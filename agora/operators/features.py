@@ -269,8 +269,7 @@ def of_roots(rows: DataFrame, hosts: DataFrame | None) -> DataFrame:
     rows = (rows.join(hosts.select("page_id", F.col("host").alias("_host")), "page_id", "left") if hosts is not None else rows.withColumn("_host", F.lit(""))).withColumn("_full", F.when(place == "root", plain(full_attr_text())))
     prop = lambda *names: any_(inner & attribute("itemprop").isin(*names))
     submit = (place == "submit") & (_says(text, "submit") | _says(attribute("value"), "submit") | _says(aria, "submit"))
-    name = F.substring(F.coalesce(text, F.lit("")), 1, 40)
-    label = F.when(name != "", name).otherwise(F.substring(attribute("value"), 1, 40))
+    label = F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(attribute("value"))
     of = lambda name: F.max(F.when(place == "root", F.col(name)))
     root_says = lambda name: any_((place == "root") & _says(text, name))
     links = inner & F.col("link")
@@ -291,7 +290,7 @@ def of_roots(rows: DataFrame, hosts: DataFrame | None) -> DataFrame:
         prop("author").alias("microdata_itemprop_author"), prop("datePublished", "dateCreated").alias("microdata_itemprop_date_published"), prop("text", "description").alias("microdata_itemprop_text"),
         any_((place == "sibling") & _says(text, "load_more")).alias("pagination_load_more_adjacent"),
         any_((place == "parent") & _says(text, "counter")).alias("char_counter_near_textarea"), any_((place == "parent") & _says(text, "cart")).alias("add_to_cart_present"),
-        F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.when(submit, F.struct("node", label.alias("label"))))), 1, 3), lambda x: x["label"]), " | ").alias("submit_labels"), any_(submit).alias("submit_button_present"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(submit, F.struct("node", label.alias("label"))))), lambda x: x["label"]), " | ").alias("submit_labels"), any_(submit).alias("submit_button_present"),
         any_(inner & F.col("child") & _says(text, "collapse")).alias("collapse_expand_control"),
         (any_(inner & _says(F.col("attr_text"), "spoiler")) | any_(inner & F.col("child") & _says(text, "spoiler"))).alias("spoiler_tag_present"),
         any_(inner & F.col("child") & (tag == "tr")).alias("has_tr_children"), any_(inner & _says(F.col("attr_text"), "rating")).alias("star_rating_present"), root_says("deleted").alias("deleted_placeholder_present"),
@@ -322,7 +321,7 @@ def regions(nodes: DataFrame, roots: DataFrame, hosts: DataFrame | None = None)
     numbers = [c for c, k in summed.dtypes if c not in ("page_id", "root") and k in ("bigint", "int", "double")]
     out = out.na.fill(0, numbers).na.fill(False, ["pinned_post_indicator", "json_ld_has_comment_type", "json_ld_has_comment_action"])
     text, n, full = F.col("inner_text"), F.col("repeating_group_count"), F.col("_full")
-    scanned = plain(F.substring(text, 1, 12_000))
+    scanned = plain(text)
     high = lambda c: plain(c).rlike(dom.HIGH)
     words = F.filter(F.split(text, " "), lambda w: w != "")
     near = lambda c, most: F.coalesce(F.col(c) < most, F.lit(False))
@@ -332,7 +331,7 @@ def regions(nodes: DataFrame, roots: DataFrame, hosts: DataFrame | None = None)
         "attributes_contain_keywords": full.rlike(dom.HIGH), "keyword_container_high": full.rlike(dom.HIGH), "keyword_container_med": full.rlike(dom.MEDIUM), "keyword_container_low": full.rlike(r"\b(item|card|entry|block|unit|feed|list)\b"),
         "keyword_attr_name_high": F.exists("attr_names", high), "keyword_attr_value_high": F.exists("attr_values", high), "keyword_tag_name_high": high(F.col("tag")), "keyword_direct_text_high": high(squeezed(F.col("text"))),
         "keyword_text_high": scanned.rlike(dom.HIGH), "keyword_text_med": scanned.rlike(dom.MEDIUM), "keyword_unit_high": F.col("keyword_unit_high_coverage") > 0,
-        "keyword_container_raw": F.substring(full, 1, 160), "submit_button_keyword_high": high(F.col("submit_labels")), "submit_button_keyword_med": plain(F.col("submit_labels")).rlike(dom.MEDIUM),
+        "keyword_container_raw": full, "submit_button_keyword_high": high(F.col("submit_labels")), "submit_button_keyword_med": plain(F.col("submit_labels")).rlike(dom.MEDIUM),
         "sig_id_count_weak": n >= 3, "sig_id_count_medium": n >= 8, "sig_id_count_strong": n >= 15, "depth_and_variety_pass": (F.col("inner_depth") >= 3) & (F.col("tag_variety") >= 5),
         "author_timestamp_colocated": F.col("author_timestamp_unit_count") > 0, "sig_id_recursive_nesting": F.col("recursive"), "upvote_downvote_pair": F.col("units_with_vote_pair") > 0,
         **{k: F.col(c) > 0 for k, c in (("permalink_per_unit", "units_with_permalink"), ("share_button_per_unit", "units_with_share"), ("quote_block_per_unit", "units_with_blockquote"), ("price_currency_in_unit", "price_currency_unit_count"), ("read_more_truncation", "units_with_read_more"), ("has_edit_history_indicator", "edited_unit_count"), ("indent_margin_pattern", "indented_unit_count"), ("thread_depth_indicator", "depth_indicator_unit_count"), ("like_count_pattern", "units_with_like_count"), ("has_avatar", "avatar_img_count"), ("includes_author", "author_element_count"), ("has_more_options_button", "more_options_button_count"), ("has_action_buttons", "action_button_count"), ("verification_badge_present", "verification_badge_count"), ("text_contains_links", "link_count"))},
