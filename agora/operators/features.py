@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions.numbers import ratio
@@ -70,6 +70,13 @@ PATTERNS = {
     "like_count": r"(?i)\b(like|upvote|heart|helpful|agree)\b",
     "bare_count": r"(?i)^\d+[km]?$",
 }
+#: What a text must have for a pattern to be found in it: one of these in lower case, where 0 stands for any digit.
+NEEDLES = {
+    "relative": "0 just today yesterday", "date": "0", "month": "0", "near_time": "0 just", "price": "0 price usd eur gbp", "deleted": "[", "read_more": "more expand", "edited": "edited modified updated", "pinned": "pinned featured sticky stickied",
+    "counter": "/ char", "cart": "cart bag buy purchase checkout", "load_more": "more next", "collapse": "show hide expand collapse view", "spoiler": "spoiler warning cw: sensitive",
+}
+HIGH_NEEDLES = "comment repl discussion review feedback thread answer question forum qa komentarz odpowied kommentar antwort respost respuesta reponse & /"
+MEDIUM_NEEDLES = "post message response conversation communit"
 #: Ancestors, from the parent on, among which navigation and headers are looked for.
 NEAR = 5
 _FAR = 1 << 40
@@ -79,8 +86,24 @@ def _says(text: Column, name: str) -> Column:
     return F.coalesce(text, F.lit("")).rlike(PATTERNS[name])
 
 
+def _holds(low: Column, digits: Column, needles: str) -> Column:
+    return reduce(Column.__or__, (digits if n == "0" else F.contains(low, F.lit(n)) for n in needles.split()))
+
+
+def _long_says(name: str) -> Column:
+    """As ``_says`` of the inner text, for rows of ``_searched``: the pattern is tried only on a text that has what it needs."""
+    return _holds(F.col("_low"), F.col("_digits"), NEEDLES[name]) & _says(F.col("inner_text"), name)
+
+
+def _searched(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"_low": F.lower("inner_text"), "_digits": F.col("inner_text").rlike("[0-9]")})
+
+
 def _prepared(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes with what ``scope`` reads: which are roots, and what texts are wanted of."""
+    """Nodes of pages with roots, with what ``scope`` reads: which are roots, and what texts are wanted of.
+
+    Roots go along with the nodes, each as a row behind its own, so that pages come together by one shuffle.
+    """
     tag, role, css = F.col("tag"), attribute("role"), attribute("class")
     like = lambda *words: reduce(Column.__or__, (F.contains(css, F.lit(w)) for w in words))
     button = (tag == "button") | (role == "button")
@@ -97,10 +120,16 @@ def _prepared(nodes: DataFrame, roots: DataFrame) -> DataFrame:
         "is_editable": F.col("attrs").getItem("contenteditable").isNotNull(),
         "is_article": role == "article",
     }
-    wanted = roots.select("page_id", "node", "group_kind", "group_value", "sig_value", F.lit(True).alias("is_root"))
-    pages = roots.select("page_id").distinct()
-    kept = nodes.join(pages, "page_id", "left_semi").join(wanted, ["page_id", "node"], "left")
-    kept = kept.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in marks.items()} | {"attr_text": attr_text(), "is_root": F.coalesce("is_root", F.lit(False))})
+    given = ["page_id", "node", "parent", "last", "depth", "tag", "attrs", "text", "pieces", "pieces_end"]
+    told = ["group_kind", "group_value", "sig_value"]
+    wanted = roots.where("page_id IS NOT NULL").select("page_id", "node", *told, F.lit(1).alias("_key"))
+    both = nodes.select(*given, F.lit(0).alias("_key")).unionByName(wanted, allowMissingColumns=True)
+    order = Window.partitionBy("page_id").orderBy("node", "_key")
+    page = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = lambda c: F.lead(c).over(order)
+    both = both.withColumns({"_some": F.max("_key").over(page), "is_root": F.coalesce((after("_key") == 1) & (after("node") == F.col("node")), F.lit(False)), **{f"_{c}": after(c) for c in told}})
+    kept = both.where("_key = 0 AND _some = 1").withColumns({c: F.when(F.col("is_root"), F.col(f"_{c}")) for c in told})
+    kept = kept.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in marks.items()} | {"attr_text": attr_text()})
     return kept.select("page_id", "node", "parent", "last", "depth", "tag", "attrs", "text", "pieces", "pieces_end", "attr_text", "group_kind", "group_value", "sig_value", "is_root", *marks)
 
 
@@ -215,11 +244,14 @@ def page_marks(nodes: DataFrame) -> DataFrame:
     return found.groupBy("page_id").agg(says("Comment").alias("json_ld_has_comment_type"), says("CommentAction").alias("json_ld_has_comment_action"))
 
 
-def _far_host(href: Column, host: Column) -> Column:
-    """Whether a link leads to another host."""
+def _link_host(href: Column) -> Column:
+    """The host that a link names; empty if it names none."""
     found = F.regexp_extract(F.trim(href), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)
-    name = F.lower(F.regexp_replace(F.regexp_replace(found, r"^.*@", ""), r":\d*$", ""))
-    return (name != "") & (name != F.coalesce(host, F.lit("")))
+    return F.lower(F.regexp_replace(F.regexp_replace(found, r"^.*@", ""), r":\d*$", ""))
+
+
+def _either(*tests: Column) -> Column:
+    return reduce(Column.__or__, (F.coalesce(t, F.lit(False)) for t in tests))
 
 
 def of_units(rows: DataFrame) -> DataFrame:
@@ -228,76 +260,85 @@ def of_units(rows: DataFrame) -> DataFrame:
     tag, aria, text, href = F.col("tag"), attribute("aria-label"), F.col("inner_text"), attribute("href")
     label = F.concat_ws(" ", aria, F.coalesce(text, F.lit("")))
     image, source = inside & (tag == "img"), F.coalesce(F.col("attrs")["src"], F.col("attrs")["data-src"], F.lit(""))
-    any_ = lambda test: F.max(F.coalesce(test, F.lit(False)))
-    told = lambda name: any_(inside & F.col("control") & (_says(aria, name) | _says(text, name)))
-    own = lambda name: any_(is_unit & _says(text, name))
+    told = lambda name: inside & F.col("control") & (_says(aria, name) | _says(text, name))
+    own = lambda name: is_unit & _long_says(name)
     timed = inside & (tag == "time") & F.col("attrs").getItem("datetime").isNotNull()
     names = F.exists(F.map_keys("attrs"), lambda k: k.rlike(PATTERNS["time_attribute"]))
-    words = is_unit & (plain(full_attr_text()).rlike(dom.HIGH))
-    return rows.where(F.col("unit").isNotNull() & (F.col("place") == "inner")).groupBy("page_id", "root", "unit").agg(
-        told("reply").alias("reply"), told("report").alias("report"), told("edit").alias("edit"), told("share").alias("share"),
-        any_(inside & F.col("reacts") & (_says(label, "reaction") | _says(attribute("class"), "reaction")) & (_says(label, "amount") | _says(F.col("next_text"), "amount"))).alias("reaction"),
-        any_(inside & F.col("link") & _says(href, "profile")).alias("profile"),
-        any_(inside & F.col("link") & (_says(href, "permalink") | _says(label, "permalink"))).alias("permalink"),
-        any_(inside & F.col("button") & _says(label, "up")).alias("up"),
-        any_(inside & F.col("button") & _says(label, "down")).alias("down"),
-        any_(image & (_says(F.col("attr_text"), "unit_avatar") | _says(source, "unit_avatar_url"))).alias("avatar"),
-        any_(inside & _says(F.col("attr_text"), "unit_author")).alias("author"),
-        any_(image & _says(F.col("attr_text"), "near_avatar")).alias("near_avatar"),
-        any_(inside & _says(F.col("attr_text"), "near_author")).alias("near_author"),
-        (any_(timed) | own("near_time")).alias("near_time"),
-        (any_(timed) | any_(is_unit & names) | own("relative") | own("date") | own("month")).alias("time"),
-        any_(words).alias("keyword"), own("price").alias("price"), own("deleted").alias("deleted"), own("read_more").alias("read_more"), own("edited").alias("edited"), own("pinned").alias("pinned"),
-        any_(inside & (tag == "blockquote")).alias("quote"),
-        any_(inside & F.col("button")).alias("action"),
-        any_(is_unit & (attribute("style").rlike(PATTERNS["indent_style"]) | _says(F.col("attr_text"), "indent"))).alias("indent"),
-        any_(is_unit & (_says(F.col("attr_text"), "thread_depth") | _says(attribute("data-depth"), "thread_depth") | _says(attribute("data-level"), "thread_depth"))).alias("levels"),
-        any_(inside & F.col("counts") & F.coalesce(text, F.lit("")).rlike(PATTERNS["bare_count"]) & _says(F.concat_ws(" ", "attr_text", "parent_attrs"), "like_count")).alias("like_count"),
-        any_(is_unit & (F.col("inner_chars") < 10)).alias("empty"),
-        any_(is_unit & (F.col("sig_group_count") >= 2)).alias("nests"),
-        F.max(F.when(is_unit, F.struct("inner_text"))).alias("u"),
-    )
+    tests = {
+        "reply": told("reply"), "report": told("report"), "edit": told("edit"), "share": told("share"),
+        "reaction": inside & F.col("reacts") & (_says(label, "reaction") | _says(attribute("class"), "reaction")) & (_says(label, "amount") | _says(F.col("next_text"), "amount")),
+        "profile": inside & F.col("link") & _says(href, "profile"),
+        "permalink": inside & F.col("link") & (_says(href, "permalink") | _says(label, "permalink")),
+        "up": inside & F.col("button") & _says(label, "up"),
+        "down": inside & F.col("button") & _says(label, "down"),
+        "avatar": image & (_says(F.col("attr_text"), "unit_avatar") | _says(source, "unit_avatar_url")),
+        "author": inside & _says(F.col("attr_text"), "unit_author"),
+        "near_avatar": image & _says(F.col("attr_text"), "near_avatar"),
+        "near_author": inside & _says(F.col("attr_text"), "near_author"),
+        "near_time": _either(timed, own("near_time")),
+        "time": _either(timed, is_unit & names, own("relative"), own("date"), own("month")),
+        "keyword": is_unit & plain(full_attr_text()).rlike(dom.HIGH), "price": own("price"), "deleted": own("deleted"), "read_more": own("read_more"), "edited": own("edited"), "pinned": own("pinned"),
+        "quote": inside & (tag == "blockquote"),
+        "action": inside & F.col("button"),
+        "indent": is_unit & (attribute("style").rlike(PATTERNS["indent_style"]) | _says(F.col("attr_text"), "indent")),
+        "levels": is_unit & (_says(F.col("attr_text"), "thread_depth") | _says(attribute("data-depth"), "thread_depth") | _says(attribute("data-level"), "thread_depth")),
+        "like_count": inside & F.col("counts") & F.coalesce(text, F.lit("")).rlike(PATTERNS["bare_count"]) & _says(F.concat_ws(" ", "attr_text", "parent_attrs"), "like_count"),
+        "empty": is_unit & (F.col("inner_chars") < 10),
+        "nests": is_unit & (F.col("sig_group_count") >= 2),
+    }
+    inner = _searched(rows.where(F.col("unit").isNotNull() & (F.col("place") == "inner")))
+    return inner.groupBy("page_id", "root", "unit").agg(*(F.max(_either(test)).alias(k) for k, test in tests.items()), F.max(F.when(is_unit, F.struct("inner_text"))).alias("u"))
 
 
 def of_roots(rows: DataFrame, hosts: DataFrame | None) -> DataFrame:
-    """(page_id, root, ...): what each root's subtree and surroundings have."""
+    """(page_id, root, ...): what each root's subtree and surroundings have.
+
+    A root's own columns are taken from its row, tests of all other rows are summed up as flags and
+    counts of fixed size, and hosts meet the links alone; so no text is sorted.
+    """
+    keys = ["page_id", "root"]
     place, tag, text = F.col("place"), F.col("tag"), F.col("inner_text")
     inner, aria = place == "inner", attribute("aria-label")
     source = F.coalesce(F.col("attrs")["src"], F.col("attrs")["data-src"], F.lit(""))
-    any_ = lambda test: F.max(F.coalesce(test, F.lit(False)))
-    some = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
-    rows = (rows.join(hosts.select("page_id", F.col("host").alias("_host")), "page_id", "left") if hosts is not None else rows.withColumn("_host", F.lit(""))).withColumn("_full", F.when(place == "root", plain(full_attr_text())))
+    any_ = lambda test: F.max(_either(test))
+    some = lambda test: F.count_if(_either(test))
     prop = lambda *names: any_(inner & attribute("itemprop").isin(*names))
-    submit = (place == "submit") & (_says(text, "submit") | _says(attribute("value"), "submit") | _says(aria, "submit"))
+    submit = _says(text, "submit") | _says(attribute("value"), "submit") | _says(aria, "submit")
     label = F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(attribute("value"))
-    of = lambda name: F.max(F.when(place == "root", F.col(name)))
-    root_says = lambda name: any_((place == "root") & _says(text, name))
     links = inner & F.col("link")
-    return rows.groupBy("page_id", "root").agg(
-        *(of(c).alias(c) for c in ("tag", "inner_text", "inner_chars", "text", "attr_text", "signature", "inner_depth", "tag_variety", "guided", "guide_depth", "textarea_steps", "editable_steps", "recursive", "_full")),
-        F.max(F.when(place == "root", F.map_keys("attrs"))).alias("attr_names"), F.max(F.when(place == "root", F.map_values("attrs"))).alias("attr_values"),
+    own = _searched(rows.where("place = 'root'")).select(
+        *keys, "tag", "inner_text", "inner_chars", "text", "attr_text", "signature", "inner_depth", "tag_variety", "guided", "guide_depth", "textarea_steps", "editable_steps", "recursive", plain(full_attr_text()).alias("_full"),
+        F.map_keys("attrs").alias("attr_names"), F.map_values("attrs").alias("attr_values"), (attribute("role") == "feed").alias("is_feed"), _either(_long_says("deleted")).alias("deleted_placeholder_present"),
+        _either(_holds(F.col("_low"), F.col("_digits"), NEEDLES["relative"]) & F.exists("pieces", lambda p: p.rlike(PATTERNS["relative"]))).alias("has_relative_time_text"),
+    )
+    submits = rows.where((place == "submit") & submit).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", label.alias("label")))), lambda x: x["label"]), " | ").alias("submit_labels"))
+    hrefs = rows.where(links).select(*keys, _link_host(attribute("href")).alias("_name")).where("_name <> ''").groupBy(*keys, "_name").agg(F.count("*").alias("n"))
+    if hosts is not None:
+        hrefs = hrefs.join(hosts.select("page_id", F.col("host").alias("_host")), "page_id", "left").where(F.col("_name") != F.coalesce("_host", F.lit("")))
+    summed = _searched(rows).groupBy(*keys).agg(
         any_((place == "heading") & plain(F.coalesce(text, F.lit(""))).rlike(dom.COUNTED)).alias("comment_header_with_count"),
         some(inner & F.col("button")).alias("action_button_count"),
         some(inner & F.col("button") & (_says(aria, "more_options") | _says(text, "more_options"))).alias("more_options_button_count"),
         some(inner & _says(F.col("attr_text"), "author")).alias("author_element_count"),
         some(inner & (tag == "img") & (_says(F.concat_ws(" ", "attr_text", attribute("alt")), "avatar") | _says(source, "avatar_url"))).alias("avatar_img_count"),
-        some(links).alias("link_count"), F.sum(F.when(links, F.col("inner_chars")).otherwise(0)).alias("link_text_length"), some(links & _far_host(attribute("href"), F.col("_host"))).alias("external_link_count"),
+        some(links).alias("link_count"), F.sum(F.when(links, F.col("inner_chars")).otherwise(0)).alias("link_text_length"),
         some(inner & (tag == "time") & F.col("attrs").getItem("datetime").isNotNull()).alias("time_datetime_element_count"),
-        any_((place == "root") & F.exists("pieces", lambda p: p.rlike(PATTERNS["relative"]))).alias("has_relative_time_text"),
         some(inner & _says(attribute("itemtype"), "schema")).alias("schema_org_comment_count"), some(inner & (attribute("role") == "comment")).alias("aria_role_comment_count"),
-        some(inner & (attribute("role") == "feed")).alias("aria_role_feed_count"), any_((place == "root") & (attribute("role") == "feed")).alias("is_feed"),
+        some(inner & (attribute("role") == "feed")).alias("aria_role_feed_count"),
         any_(inner & (attribute("role") == "feed") & F.col("feed_articles")).alias("aria_role_feed_with_articles"),
         prop("author").alias("microdata_itemprop_author"), prop("datePublished", "dateCreated").alias("microdata_itemprop_date_published"), prop("text", "description").alias("microdata_itemprop_text"),
-        any_((place == "sibling") & _says(text, "load_more")).alias("pagination_load_more_adjacent"),
-        any_((place == "parent") & _says(text, "counter")).alias("char_counter_near_textarea"), any_((place == "parent") & _says(text, "cart")).alias("add_to_cart_present"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(submit, F.struct("node", label.alias("label"))))), lambda x: x["label"]), " | ").alias("submit_labels"), any_(submit).alias("submit_button_present"),
-        any_(inner & F.col("child") & _says(text, "collapse")).alias("collapse_expand_control"),
-        (any_(inner & _says(F.col("attr_text"), "spoiler")) | any_(inner & F.col("child") & _says(text, "spoiler"))).alias("spoiler_tag_present"),
-        any_(inner & F.col("child") & (tag == "tr")).alias("has_tr_children"), any_(inner & _says(F.col("attr_text"), "rating")).alias("star_rating_present"), root_says("deleted").alias("deleted_placeholder_present"),
+        any_((place == "sibling") & _long_says("load_more")).alias("pagination_load_more_adjacent"),
+        any_((place == "parent") & _long_says("counter")).alias("char_counter_near_textarea"), any_((place == "parent") & _long_says("cart")).alias("add_to_cart_present"),
+        any_((place == "submit") & submit).alias("submit_button_present"),
+        any_(inner & F.col("child") & _long_says("collapse")).alias("collapse_expand_control"),
+        any_(inner & (_says(F.col("attr_text"), "spoiler") | _either(F.col("child") & _long_says("spoiler")))).alias("spoiler_tag_present"),
+        any_(inner & F.col("child") & (tag == "tr")).alias("has_tr_children"), any_(inner & _says(F.col("attr_text"), "rating")).alias("star_rating_present"),
         some(inner & (_says(F.col("attr_text"), "verified") | _says(attribute("title"), "verified"))).alias("verification_badge_count"),
         some(inner & (tag.isin("button", "input", "select", "textarea") | (attribute("role") == "button") | F.col("attrs").getItem("tabindex").isNotNull())).alias("ui_interactive_element_count"),
         some(inner & (tag == "form")).alias("ui_form_count"), some(inner & F.col("attrs").getItem("contenteditable").isNotNull()).alias("ui_contenteditable_count"),
     )
+    out = own.join(summed, keys).join(submits, keys, "left").join(hrefs.groupBy(*keys).agg(F.sum("n").alias("external_link_count")), keys, "left")
+    return out.na.fill("", ["submit_labels"]).na.fill(0, ["external_link_count"])
 
 
 def regions(nodes: DataFrame, roots: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
@@ -321,7 +362,8 @@ def regions(nodes: DataFrame, roots: DataFrame, hosts: DataFrame | None = None)
     numbers = [c for c, k in summed.dtypes if c not in ("page_id", "root") and k in ("bigint", "int", "double")]
     out = out.na.fill(0, numbers).na.fill(False, ["pinned_post_indicator", "json_ld_has_comment_type", "json_ld_has_comment_action"])
     text, n, full = F.col("inner_text"), F.col("repeating_group_count"), F.col("_full")
-    scanned = plain(text)
+    out = out.withColumn("_plain", plain(text))
+    scanned = lambda needles, pattern: _holds(F.col("_plain"), F.lit(False), needles) & F.col("_plain").rlike(pattern)
     high = lambda c: plain(c).rlike(dom.HIGH)
     words = F.filter(F.split(text, " "), lambda w: w != "")
     near = lambda c, most: F.coalesce(F.col(c) < most, F.lit(False))
@@ -330,7 +372,7 @@ def regions(nodes: DataFrame, roots: DataFrame, hosts: DataFrame | None = None)
         "schema_org_comment_itemtype": F.col("schema_org_comment_count") > 0, "aria_role_comment": F.col("aria_role_comment_count") > 0, "aria_role_feed": (F.col("aria_role_feed_count") > 0) | F.col("is_feed"),
         "attributes_contain_keywords": full.rlike(dom.HIGH), "keyword_container_high": full.rlike(dom.HIGH), "keyword_container_med": full.rlike(dom.MEDIUM), "keyword_container_low": full.rlike(r"\b(item|card|entry|block|unit|feed|list)\b"),
         "keyword_attr_name_high": F.exists("attr_names", high), "keyword_attr_value_high": F.exists("attr_values", high), "keyword_tag_name_high": high(F.col("tag")), "keyword_direct_text_high": high(squeezed(F.col("text"))),
-        "keyword_text_high": scanned.rlike(dom.HIGH), "keyword_text_med": scanned.rlike(dom.MEDIUM), "keyword_unit_high": F.col("keyword_unit_high_coverage") > 0,
+        "keyword_text_high": scanned(HIGH_NEEDLES, dom.HIGH), "keyword_text_med": scanned(MEDIUM_NEEDLES, dom.MEDIUM), "keyword_unit_high": F.col("keyword_unit_high_coverage") > 0,
         "keyword_container_raw": full, "submit_button_keyword_high": high(F.col("submit_labels")), "submit_button_keyword_med": plain(F.col("submit_labels")).rlike(dom.MEDIUM),
         "sig_id_count_weak": n >= 3, "sig_id_count_medium": n >= 8, "sig_id_count_strong": n >= 15, "depth_and_variety_pass": (F.col("inner_depth") >= 3) & (F.col("tag_variety") >= 5),
         "author_timestamp_colocated": F.col("author_timestamp_unit_count") > 0, "sig_id_recursive_nesting": F.col("recursive"), "upvote_downvote_pair": F.col("units_with_vote_pair") > 0,
@@ -338,9 +380,9 @@ def regions(nodes: DataFrame, roots: DataFrame, hosts: DataFrame | None = None)
         "reply_button_per_unit": F.col("reply_button_unit_coverage") >= 0.5, "has_relative_time": (F.col("time_datetime_element_count") > 0) | F.col("has_relative_time_text"),
         "textarea_tree_proximity": F.col("textarea_steps"), "contenteditable_tree_proximity": F.col("editable_steps"), "nearest_input_distance": F.least("textarea_steps", "editable_steps"),
         "has_nearby_textarea": near("textarea_steps", 30), "textarea_close": near("textarea_steps", 20), "aligned_with_textarea": near("textarea_steps", 15), "textarea_very_close": near("textarea_steps", 10), "aligned_with_content_editable": near("editable_steps", 15),
-        "has_text_content": F.col("inner_chars") > 20, "total_text_length": F.col("inner_chars"), "text_char_count": F.col("inner_chars"), "text_word_count": F.size(words), "text_contains_mentions": _says(text, "mention"), "text_contains_hashtags": _says(text, "hashtag"),
+        "has_text_content": F.col("inner_chars") > 20, "total_text_length": F.col("inner_chars"), "text_char_count": F.col("inner_chars"), "text_word_count": F.size(words), "text_contains_mentions": F.contains(text, F.lit("@")) & _says(text, "mention"), "text_contains_hashtags": F.contains(text, F.lit("#")) & _says(text, "hashtag"),
         "text_emoji_count": emoji_count(text), "text_question_mark_count": F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit(""))), "text_exclamation_mark_count": F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))),
         "link_density": ratio(F.col("link_text_length"), F.col("inner_chars")), "external_link_proportion": outside, "high_external_link_density": outside > 0.6, "external_link_density_low": outside < 0.2,
         "table_row_structure": F.col("tag").isin("table", "tbody") | F.col("has_tr_children"), "no_text_content_in_units": F.col("text_empty_unit_proportion") > 0.8, "nav_header_ancestor": F.col("guided"), "star_rating_no_text": F.col("star_rating_present") & (F.size(words) <= 15),
     })
-    return out.withColumnRenamed("root", "node").drop("_full", "text", "is_feed", "guided", "recursive", "attr_names", "attr_values", "textarea_steps", "editable_steps")
+    return out.withColumnRenamed("root", "node").drop("_full", "_plain", "text", "is_feed", "guided", "recursive", "attr_names", "attr_values", "textarea_steps", "editable_steps")
